@@ -42,6 +42,12 @@ def node_count(nodes):
 
 
 def _with_keys(df, by, seed):
+    """Add the stream keys, spreading the rows for the work to come.
+
+    A few small rows grow into thousands of draws each, so adaptive execution must not
+    merge their partitions by size: the number of partitions is given.
+    """
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
     keyed = df.withColumn("_k", stream_keys(seed, *by))
     return keyed.withColumns({f"_{x}": F.col(f"_k.{x}") for x in "abc"}).drop("_k")
 

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from localstat.functions.scalars import close
 
 _EXPECTED_LISA = """
-WITH moments AS (
-  SELECT batch, avg(value) AS mean, sqrt(avg(value * value) - avg(value) * avg(value)) AS sd
-  FROM {obs} GROUP BY batch
+WITH means AS (
+  SELECT batch, avg(value) AS mean FROM {obs} GROUP BY batch
+), deviations AS (
+  SELECT o.batch, o.node, o.value - m.mean AS dev FROM {obs} o JOIN means m ON o.batch = m.batch
+), moments AS (
+  SELECT batch, sqrt(avg(dev * dev)) AS sd FROM deviations GROUP BY batch
 ), scores AS (
-  SELECT o.batch, o.node, try_divide(o.value - m.mean, m.sd) AS z
-  FROM {obs} o JOIN moments m ON o.batch = m.batch
+  SELECT d.batch, d.node,
+    CASE WHEN m.sd = 0 THEN double('NaN') ELSE try_divide(d.dev, m.sd) END AS z
+  FROM deviations d JOIN moments m ON d.batch = m.batch
 ), degrees AS (
   SELECT src, count(*) AS degree FROM {edges} GROUP BY src
 ), around AS (

@@ -52,7 +52,7 @@ def stream_window_lisa(sdf, edges, width, delay, sink, checkpoint, ts="ts", trig
     return stream_lisa(closed, sink, checkpoint, lambda df: spatial_lisa(df, edges), trigger=trigger)
 
 
-def stream_history(sdf, k, state, sink, checkpoint, order=("batch",), then=None, trigger=None):
+def stream_history(sdf, k, state, sink, checkpoint, order=("batch",), before=None, then=None, trigger=None):
     """Histories of the last ``k`` readings per node, kept across micro-batches.
 
     The state is a table with the last ``k`` readings of every node. A micro-batch
@@ -60,15 +60,15 @@ def stream_history(sdf, k, state, sink, checkpoint, order=("batch",), then=None,
     function as the batch job, and writes its own version; two versions alternate, so a
     repeated micro-batch still finds its input. Nothing is gathered per node beyond
     ``k`` values, however many readings a node sends. ``order`` must be unique per node
-    and increase from one micro-batch to the next. ``then`` turns the histories of a
-    micro-batch into its result.
+    and increase from one micro-batch to the next. ``before`` prepares the readings of a
+    micro-batch, ``then`` turns its histories into the result.
     """
     columns = list(dict.fromkeys([*order, "batch", "node", "value"]))
 
     def run(df, batch_id):
         spark = df.sparkSession
         df = df if "batch" in df.columns else df.withColumn("batch", F.lit(batch_id))
-        new = df.withColumn("_new", F.lit(True))
+        new = (before(df) if before else df).withColumn("_new", F.lit(True))
         if batch_id > 0:
             kept = spark.read.parquet(f"{state}/version={(batch_id - 1) % 2}")
             new = new.unionByName(kept.withColumn("_new", F.lit(False)), allowMissingColumns=True)
@@ -92,11 +92,11 @@ def stream_history(sdf, k, state, sink, checkpoint, order=("batch",), then=None,
     )
 
 
-def stream_temporal_lisa(sdf, edges, k, state, sink, checkpoint, anchor="oldest", trigger=None):
+def stream_temporal_lisa(sdf, edges, k, state, sink, checkpoint, anchor="oldest", before=None, trigger=None):
     """Temporal statistic of every micro-batch over histories kept across them."""
     return stream_history(
         sdf, k, state, sink, checkpoint,
-        then=lambda hist: lisa_from_history(hist, edges, anchor), trigger=trigger,
+        before=before, then=lambda hist: lisa_from_history(hist, edges, anchor), trigger=trigger,
     )
 
 
