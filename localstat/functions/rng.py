@@ -47,7 +47,7 @@ def below(u, n):
     return F.call_function("div", u * n, F.lit(PRIME))
 
 
-def draws_needed(choices, r, max_size=4, risk=1e-15):
+def draws_needed(choices, r, max_size=4, risk=1e-18):
     """How many draws give at least ``r`` distinct sets, except with probability ``risk``.
 
     A draw picks a size 1..max_size evenly, then a set of that size out of ``choices``

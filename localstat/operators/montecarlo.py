@@ -27,6 +27,10 @@ ENUMERATE_BELOW = 16
 TIE = 1e-9
 # Neighbour lists up to this length travel with the rows; longer ones are joined.
 INLINE_DEGREE = 1_000
+# Compare-and-swap steps that sort four values.
+SORT_STEPS = [(0, 1), (2, 3), (0, 2), (1, 3), (1, 2)]
+# Generated rows that one task should handle.
+DRAWS_PER_TASK = 4_000_000
 
 _KEYS = ["_a", "_b", "_c"]
 
@@ -42,16 +46,25 @@ def node_count(nodes):
 
 
 def _with_keys(df, by, seed):
-    """Add the stream keys, spreading the rows for the work to come.
-
-    A few small rows grow into thousands of draws each, so adaptive execution must not
-    merge their partitions by size: the number of partitions is given.
-    """
-    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    """Add the stream keys ``_a, _b, _c``."""
     keyed = df.withColumn("_k", stream_keys(seed, *by))
     return keyed.withColumns({f"_{x}": F.col(f"_k.{x}") for x in "abc"}).drop("_k")
 
 
+def _spread(df, by, work):
+    """Spread rows by key over enough partitions for ``work`` generated rows.
+
+    A few small rows grow into thousands of draws each, so the number of partitions is
+    given: adaptive execution would merge them by their size before they grow.
+    """
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, -(-work // DRAWS_PER_TASK))
+    # A repartitioning equal to the one already in the plan would be dropped.
+    if n == int(spark.conf.get("spark.sql.shuffle.partitions")):
+        n += 1
+    return df.repartition(n, *by)
+
+
 def _other(index, exclude_self=True):
     """Node with the given 0-based index among all nodes, or among all but ``node``."""
     number = index + 1
@@ -66,9 +79,8 @@ def _first_of(size, values):
     return result
 
 
-def _drawn(keyed, by, n_nodes, r, exclude_self):
+def _drawn(keyed, by, choices, r, exclude_self):
     """The first ``r`` distinct sets per key in draw order, by Floyd's sampling."""
-    choices = n_nodes - 1 if exclude_self else n_nodes
     draws = draws_needed(choices, r, LARGEST_SET)
     carried = [c for c in keyed.columns if c not in by]
 
@@ -86,29 +98,32 @@ def _drawn(keyed, by, n_nodes, r, exclude_self):
             pick = F.when(pick.isin(*[F.col(p) for p in picked]), j).otherwise(pick)
         rows = rows.withColumn(f"_m{s}", pick)
         picked.append(f"_m{s}")
-    members = _first_of(F.col("_size"), [_other(F.col(p), exclude_self) for p in picked])
-    rows = rows.select(*by, *carried, "_draw", F.sort_array(members).alias("members"))
-
-    distinct = rows.groupBy(*by, "members").agg(
+    # Sorted node numbers in four columns, absent ones zero: cheap keys to compare sets by.
+    slots = [
+        F.when(F.col("_size") > s, _other(F.col(p), exclude_self)).otherwise(F.lit(0).cast("bigint"))
+        for s, p in enumerate(picked)
+    ]
+    rows = rows.select(*by, *carried, "_draw", *[c.alias(f"_s{s}") for s, c in enumerate(slots)])
+    for i, j in SORT_STEPS:
+        low, high = F.least(f"_s{i}", f"_s{j}"), F.greatest(f"_s{i}", f"_s{j}")
+        rows = rows.withColumns({f"_s{i}": low, f"_s{j}": high})
+    names = [f"_s{s}" for s in range(LARGEST_SET)]
+    distinct = rows.groupBy(*by, *names).agg(
         F.min("_draw").alias("_draw"), *[F.first(c).alias(c) for c in carried]
     )
     order = Window.partitionBy(*by).orderBy("_draw")
-    return (
-        distinct.withColumn("draw", F.row_number().over(order) - 1)
-        .withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-        .where(F.col("draw") < r)
-        .where(
-            F.when(F.col("_found") >= r, True).otherwise(
-                F.raise_error(F.lit("too few distinct sets drawn; use another seed"))
-            )
-        )
-        .drop("_draw", "_found")
+    ranked = distinct.withColumn("draw", F.row_number().over(order) - 1).where(F.col("draw") < r)
+    members = (
+        F.when(F.col("_s0") > 0, F.array(*names))
+        .when(F.col("_s1") > 0, F.array(*names[1:]))
+        .when(F.col("_s2") > 0, F.array(*names[2:]))
+        .otherwise(F.array(*names[3:]))
     )
+    return ranked.withColumn("members", members).drop("_draw", *names)
 
 
-def _enumerated(keyed, by, n_nodes, r, exclude_self):
+def _enumerated(keyed, by, choices, r, exclude_self):
     """All sets of one to four nodes in a seeded random order, at most ``r`` per key."""
-    choices = n_nodes - 1 if exclude_self else n_nodes
     mask = F.col("_mask")
     rows = (
         keyed.withColumn("_mask", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(2**choices - 1).cast("bigint"))))
@@ -129,19 +144,30 @@ def _enumerated(keyed, by, n_nodes, r, exclude_self):
     return rows.withColumn("members", members).drop("_mask", "_x", "_u0", "_u1")
 
 
-def _sets(keyed, by, n_nodes, r, exclude_self=True):
-    make = _enumerated if n_nodes < ENUMERATE_BELOW else _drawn
-    return make(keyed, list(by), n_nodes, r, exclude_self)
+def _sets(df, by, n_nodes, r, seed, rows, exclude_self=True):
+    by = list(by)
+    choices = n_nodes - 1 if exclude_self else n_nodes
+    if n_nodes < ENUMERATE_BELOW:
+        make, per_row = _enumerated, 2**choices
+    else:
+        make, per_row = _drawn, draws_needed(choices, r, LARGEST_SET)
+    keyed = _with_keys(_spread(df, by, rows * per_row), by, seed)
+    return make(keyed, by, choices, r, exclude_self)
 
 
-def random_sets(keys, n_nodes, r, seed, by=("batch", "node"), exclude_self=True):
+def random_sets(
+    keys, n_nodes, r, seed, by=("batch", "node"), exclude_self=True, rows=None, keep_keys=False
+):
     """Add ``draw`` and ``members`` to every row of ``keys``: ``r`` distinct random sets.
 
     ``by`` identifies the rows. Leaving ``batch`` out shares the sets between batches.
     Below 16 nodes the sets are enumerated, and all of them are returned when there are
-    fewer than ``r``; otherwise asking for more than exist is an error.
+    fewer than ``r``; otherwise asking for more than exist is an error. ``rows`` is the
+    number of keys, counted when not given; it sets the number of partitions.
     """
-    return _sets(_with_keys(keys, by, seed), by, n_nodes, r, exclude_self).drop(*_KEYS)
+    rows = keys.count() if rows is None else rows
+    sets = _sets(keys, by, n_nodes, r, seed, rows, exclude_self)
+    return sets if keep_keys else sets.drop(*_KEYS)
 
 
 def explode_sets(sets):
@@ -199,6 +225,14 @@ def rank_position(sims):
     return ranked.withColumn("position", (F.col("below") + 1) / (F.col("n") + 1))
 
 
+def _complete(ranked, n_nodes, r):
+    """Fail rather than rank against fewer than ``r`` drawn sets."""
+    if n_nodes < ENUMERATE_BELOW:
+        return ranked
+    short = F.raise_error(F.lit("too few distinct sets drawn; use another seed"))
+    return ranked.withColumn("n", F.when(F.col("n") == r, F.col("n")).otherwise(short.cast("bigint")))
+
+
 def spatial_lisa_mc(obs, edges, n_nodes, r, seed, resample="per_batch"):
     """Local statistic with its Monte Carlo position.
 
@@ -210,11 +244,14 @@ def spatial_lisa_mc(obs, edges, n_nodes, r, seed, resample="per_batch"):
     z = materialise(standardise(obs).select("batch", "node", "z"), "z")
     lisa = lisa_from_z(z, edges)
     if resample == "per_batch":
-        sets = random_sets(lisa, n_nodes, r, seed)
+        sets = random_sets(lisa, n_nodes, r, seed, rows=z.count())
     else:
         nodes = edges.select(F.col("src").alias("node")).distinct()
-        sets = lisa.join(random_sets(nodes, n_nodes, r, seed, by=["node"]), "node")
-    return rank_position(simulated_lisa(random_set_mean(sets, z)))
+        sets = materialise(random_sets(nodes, n_nodes, r, seed, by=["node"]), "sets")
+        spread = _spread(lisa, ["batch", "node"], z.count() * r)
+        sets = spread.join(sized(sets), "node")
+    ranked = rank_position(simulated_lisa(random_set_mean(sets, z)))
+    return _complete(ranked, n_nodes, r)
 
 
 def _past_picks(sets, edges, n_nodes, scope, inline_degree):
@@ -275,7 +312,7 @@ def temporal_lisa_mc(
     z_rows = materialise(z_rows.select("batch", "node", "lag", "z"), "z")
     lagged = temporal_lag(z_rows, edges)
     lisa = lagged.withColumn("lisa", F.col("z") * F.col("lag")).drop("lag")
-    by = ["batch", "node"]
-    sets = _sets(_with_keys(lisa, by, seed), by, n_nodes, r)
+    sets = random_sets(lisa, n_nodes, r, seed, rows=z_rows.where("lag = 0").count(), keep_keys=True)
     rows = _past_picks(sets, edges, n_nodes, scope, inline_degree)
-    return rank_position(simulated_lisa(_averages(rows, z_rows, ["batch", "member", "lag"])))
+    ranked = rank_position(simulated_lisa(_averages(rows, z_rows, ["batch", "member", "lag"])))
+    return _complete(ranked, n_nodes, r)

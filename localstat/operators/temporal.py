@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from localstat.operators.stats import map_to_neighbours, scored
-from localstat.plans.scale import HOT_ROWS, largest_group, running_weight
+from localstat.plans.scale import HOT_ROWS, group_sizes, running_weight
 
 
 def history_arrays(obs, k, order=("batch",), hot_rows=None):
@@ -20,7 +20,7 @@ def history_arrays(obs, k, order=("batch",), hot_rows=None):
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     frame = (-(k - 1), Window.currentRow)
-    if largest_group(obs, ["node"]) <= hot_rows:
+    if group_sizes(obs, ["node"])[0] <= hot_rows:
         window = Window.partitionBy("node").orderBy(*order).rowsBetween(*frame)
         return obs.withColumn("vals", F.collect_list("value").over(window))
 

@@ -61,9 +61,10 @@ def sized(staged, max_rows=None):
     return F.broadcast(staged) if is_small(staged, max_rows) else staged
 
 
-def largest_group(df, by):
-    """Rows in the biggest group (one map-side combined count)."""
-    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+def group_sizes(df, by):
+    """Rows in the biggest group and in all of them (one map-side combined count)."""
+    row = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
+    return row[0] or 0, row[1] or 0
 
 
 def running_weight(df, by, order, name, weight=None, hot_rows=None):
@@ -78,13 +79,15 @@ def running_weight(df, by, order, name, weight=None, hot_rows=None):
     weight = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     upto = (Window.unboundedPreceding, Window.currentRow)
-    if largest_group(df, by) <= hot_rows:
+    largest, total = group_sizes(df, by)
+    if largest <= hot_rows:
         frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(*upto)
         return df.withColumn(name, F.sum(weight).over(frame))
 
     # The slice id depends on sampled range bounds, so it is fixed in a staged table.
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // hot_rows))
     slices = materialise(
-        df.repartitionByRange(*by, *order).withColumn("_slice", F.spark_partition_id()), "slices"
+        df.repartitionByRange(n, *by, *order).withColumn("_slice", F.spark_partition_id()), "slices"
     )
     totals = slices.groupBy(*by, "_slice").agg(F.sum(weight).alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,7 +113,7 @@ def quantiles(df, by, col, probs, hot_rows=None):
     by = list(by)
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     values = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).count()
-    if largest_group(values, by) <= hot_rows:
+    if group_sizes(values, by)[0] <= hot_rows:
         return df.groupBy(*by).agg(
             *[F.percentile(col, F.lit(p)).alias(f"q{i}") for i, p in enumerate(probs)]
         )
