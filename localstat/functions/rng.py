@@ -61,11 +61,11 @@ def draws_needed(choices, r, max_size=4, risk=1e-18):
         raise ValueError(f"only {total} distinct sets exist, {r} asked for")
 
     def enough(draws):
-        missing = sum(c * math.exp(draws * math.log1p(-1 / (max_size * c))) for c in counts if c)
-        spread = math.sqrt(draws * math.log(1 / risk) / 2)
-        if total - missing - spread >= r:
+        misses = [(c, draws * math.log1p(-1 / (max_size * c))) for c in counts if c]
+        found = sum(-c * math.expm1(log) for c, log in misses)
+        if found - math.sqrt(draws * math.log(1 / risk) / 2) >= r:
             return True
-        room = total - r + 1
+        missing, room = sum(c * math.exp(log) for c, log in misses), total - r + 1
         return missing < room and room * (1 + math.log(missing / room)) - missing <= math.log(risk)
 
     low, high = r, r + 1
