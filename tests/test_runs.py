@@ -1,0 +1,95 @@
+import random
+
+import numpy as np
+import pytest
+
+from localstat.operators import runs
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(9)
+    return [
+        (f"spatial_{base}_{rep}", base, k, topo, b, round(rng.uniform(0.1, 9), 3))
+        for base in runs.STATION_COUNTS
+        for rep in range(3)
+        for k, topo in ((rep % 2 + 1, ("sparse", "dense")[rep % 2]),)
+        for b in range(rng.randint(3, 12))
+    ]
+
+
+@pytest.fixture(scope="module")
+def durations(spark, rows):
+    return spark.createDataFrame(
+        rows, "run STRING, base BIGINT, k BIGINT, topology STRING, batch BIGINT, seconds DOUBLE"
+    )
+
+
+@pytest.mark.parametrize("limit", [None, 2])
+@pytest.mark.parametrize("by, at", [("run", 0), ("base", 1)])
+def test_summary(durations, rows, by, at, limit):
+    found = runs.duration_summary(durations, [by], hot_rows=limit).collect()
+    assert len(found) == len({r[at] for r in rows})
+    for r in found:
+        x = [row[5] for row in rows if row[at] == r[by]]
+        want = [min(x), *np.percentile(x, [25, 50, 75]), max(x), np.mean(x), np.std(x)]
+        assert np.allclose([r.min, r.p25, r.p50, r.p75, r.max, r.avg, r.std_dev], want)
+
+
+def mean(rows, **where):
+    names = ["run", "base", "k", "topology", "batch"]
+    return np.mean([r[5] for r in rows if all(r[names.index(n)] == v for n, v in where.items())])
+
+
+def test_wide_averages(durations, rows):
+    for r in runs.run_averages_wide(durations, 3).collect():
+        want = [mean(rows, run=f"spatial_{r.base}_{i}") for i in range(3)]
+        assert np.allclose([r.avg1, r.avg2, r.avg3], want)
+
+
+def test_history_pivot(durations, rows):
+    for r in runs.history_pivot(durations).collect():
+        want = [mean(rows, k=r.k, base=b) for b in runs.STATION_COUNTS]
+        assert np.allclose([r[f"base_{b}"] for b in runs.STATION_COUNTS], want)
+        assert r.avg == pytest.approx(np.mean(want))
+
+
+def test_topology_averages(durations, rows):
+    for r in runs.topology_averages(durations).collect():
+        assert r.avg == pytest.approx(mean(rows, topology=r.topology))
+
+
+@pytest.mark.parametrize("limit", [None, 2])
+def test_series(durations, rows, limit):
+    names = ["spatial_1_0", "spatial_16_0"]
+    picked = durations.where(durations.run.isin(names))
+    found = runs.run_series_wide(picked, names, hot_rows=limit).orderBy("idx").collect()
+    for name in names:
+        want = [r[5] for r in sorted(rows, key=lambda r: r[4]) if r[0] == name]
+        assert [r[name] for r in found if r[name] is not None] == want
+
+
+def test_delays(spark):
+    lines = [
+        "24/09/22 12:47:21 INFO JobScheduler: Total delay: 0.523 s for time 1411382841000 ms (execution: 0.411 s)",
+        "24/09/22 12:47:21 INFO JobScheduler: Added jobs for time 1411382841000 ms",
+        "24/09/22 12:47:24 INFO JobScheduler: Total delay: 1.5 s for time 1411382844000 ms (execution: 1.25 s)",
+    ]
+    df = spark.createDataFrame([(line,) for line in lines], "value STRING")
+    assert sorted(map(tuple, runs.parse_delays(df).collect())) == [("1411382841000", 0.411), ("1411382844000", 1.25)]
+
+
+def test_batches_with_data(spark):
+    sizes = {("b1", "p0"): 11, ("b1", "p1"): 3, ("b2", "p0"): 10, ("b3", "p0"): 12, ("b3", "p1"): 20}
+    rows = [key for key, n in sizes.items() for _ in range(n)]
+    lines = spark.createDataFrame(rows, "batch STRING, file STRING")
+    assert sorted(map(tuple, runs.batches_with_data(lines).collect())) == [("b1", 11), ("b3", 32)]
+    assert [r.batch for r in runs.batches_with_data(lines, max_total=20).collect()] == ["b1"]
+    delays = spark.createDataFrame([("b1", 1.0), ("b2", 2.0), ("b3", 3.0)], "batch STRING, seconds DOUBLE")
+    kept = runs.run_durations(delays, runs.batches_with_data(lines))
+    assert sorted(r.seconds for r in kept.collect()) == [1.0, 3.0]
+
+
+def test_duration_by_k(durations, rows):
+    got = {tuple(r) for r in runs.duration_by_k(durations).collect()}
+    assert got == {(r[5], r[2]) for r in rows}
