@@ -17,6 +17,7 @@ from localstat.functions.rng import PRIME, below, draws_needed, stream_keys, wit
 from localstat.operators.stats import lisa_from_z, standardise
 from localstat.operators.temporal import history_arrays, lag_rows, past_standardise, temporal_lag
 from localstat.operators.topology import max_degree, node_map, ranked_neighbours
+from localstat.plans import scale
 from localstat.plans.scale import is_small, materialise, sized
 
 LARGEST_SET = 4
@@ -277,8 +278,10 @@ def _past_picks(sets, edges, n_nodes, scope, inline_degree):
         picks = [_other(below(u, F.lit(n_nodes - 1))) for u in numbers]
         return rows.withColumn("member", members(picks)).drop(*spent)
 
-    if max_degree(edges) <= inline_degree:
-        lists = sized(materialise(node_map(edges, inline_degree), "neighbours"))
+    longest = max_degree(edges)
+    if longest <= inline_degree:
+        lists = materialise(node_map(edges, inline_degree), "neighbours")
+        lists = sized(lists, scale.BROADCAST_ROWS // max(longest, 1))
         degree = F.size("neighbours")
         picks = [F.element_at("neighbours", (below(u, degree) + 1).cast("int")) for u in numbers]
         return (

@@ -6,7 +6,7 @@
 from pyspark.sql import functions as F
 
 from localstat.functions.scalars import score
-from localstat.plans.scale import materialise, sized
+from localstat.plans.scale import is_small, materialise, sized
 
 
 def batch_stats(obs, by=("batch",), col="value"):
@@ -43,22 +43,31 @@ def standardise(obs):
 
 
 def map_to_neighbours(df, edges):
-    """Re-key every row to each neighbour of its node; the payload is kept."""
-    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("_to"))
+    """Re-key every row to each neighbour of its node; the payload is kept.
+
+    The edges are broadcast when they are few enough, and joined by shuffle otherwise.
+    """
+    links = sized(edges).select(F.col("src").alias("node"), F.col("dst").alias("_to"))
     return df.join(links, "node").drop("node").withColumnRenamed("_to", "node")
 
 
 def neighbour_mean(df, edges, col, name="mean"):
     """Mean of ``col`` over all rows of a node's neighbours that are present.
 
-    Rows are summed per (batch, node) before they fan out along the edges, so repeated
-    readings of a busy node travel once.
+    With broadcast edges the rows fan out and are summed on the map side. When the edges
+    have to be shuffled by node, the rows are summed per (batch, node) first, so that
+    many readings of one node travel as a single row.
     """
-    own = df.groupBy("batch", "node").agg(F.sum(col).alias("_s"), F.count(col).alias("_n"))
+    parts = [F.sum("_s").alias("_s"), F.sum("_n").alias("_n")]
+    own = df.select(
+        "batch", "node", F.col(col).alias("_s"), F.col(col).isNotNull().cast("bigint").alias("_n")
+    )
+    if not is_small(edges):
+        own = own.groupBy("batch", "node").agg(*parts)
     return (
         map_to_neighbours(own, edges)
         .groupBy("batch", "node")
-        .agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+        .agg(*parts)
         .where("_n > 0")
         .select("batch", "node", (F.col("_s") / F.nullif(F.col("_n"), F.lit(0))).alias(name))
     )

@@ -6,18 +6,21 @@ Written as SQL over the raw tables, apart from the operators it checks.
 from pyspark.sql import functions as F
 
 from localstat.functions.scalars import close
+from localstat.plans.scale import materialise, sized
+
+_MEANS = "SELECT batch, avg(value) AS mean FROM {obs} GROUP BY batch"
+
+_DEVIATIONS = """
+SELECT o.batch, any_value(m.mean) AS mean, sqrt(avg((o.value - m.mean) * (o.value - m.mean))) AS sd
+FROM {obs} o JOIN {means} m ON o.batch = m.batch
+GROUP BY o.batch
+"""
 
 _EXPECTED_LISA = """
-WITH means AS (
-  SELECT batch, avg(value) AS mean FROM {obs} GROUP BY batch
-), deviations AS (
-  SELECT o.batch, o.node, o.value - m.mean AS dev FROM {obs} o JOIN means m ON o.batch = m.batch
-), moments AS (
-  SELECT batch, sqrt(avg(dev * dev)) AS sd FROM deviations GROUP BY batch
-), scores AS (
-  SELECT d.batch, d.node,
-    CASE WHEN m.sd = 0 THEN double('NaN') ELSE try_divide(d.dev, m.sd) END AS z
-  FROM deviations d JOIN moments m ON d.batch = m.batch
+WITH scores AS (
+  SELECT o.batch, o.node,
+    CASE WHEN m.sd = 0 THEN double('NaN') ELSE try_divide(o.value - m.mean, m.sd) END AS z
+  FROM {obs} o JOIN {moments} m ON o.batch = m.batch
 ), degrees AS (
   SELECT src, count(*) AS degree FROM {edges} GROUP BY src
 ), around AS (
@@ -53,7 +56,10 @@ def expected_lisa(obs, edges):
     Equal to the operator's result wherever all neighbours of a node reported; a
     neighbour that did not report adds nothing here but still counts in the degree.
     """
-    return obs.sparkSession.sql(_EXPECTED_LISA, obs=obs, edges=edges)
+    sql = obs.sparkSession.sql
+    means = sized(materialise(sql(_MEANS, obs=obs), "means"))
+    moments = sized(materialise(sql(_DEVIATIONS, obs=obs, means=means), "moments"))
+    return sql(_EXPECTED_LISA, obs=obs, moments=moments, edges=edges)
 
 
 def expected_positions(z, sets, lisa):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from localstat.operators.stats import standardise
 from localstat.operators.temporal import history_arrays
 from localstat.operators.topology import grid_edges
+from localstat.plans.scale import materialise
 from localstat.sources.streams import stream_observations
 
 WIDTH, K, SEED = 5, 4, 42
@@ -40,17 +41,24 @@ def daily(rows):
 
 
 def obs(spark, sf_dir):
-    return daily(readings(spark, sf_dir))
+    """Daily mean per user, staged: the events are read and shuffled once, however many
+    passes an operator makes over the readings."""
+    return materialise(daily(readings(spark, sf_dir)), "obs")
 
 
 def nodes(spark, sf_dir):
     return table(spark, sf_dir, "events").select((F.col("user_id") + 1).alias("node")).distinct()
 
 
-def edges(spark, sf_dir):
+def grid(spark, sf_dir):
     return grid_edges(nodes(spark, sf_dir), WIDTH)
 
 
+def edges(spark, sf_dir):
+    """The grid as a staged table, so that joins know its size."""
+    return materialise(grid(spark, sf_dir), "edges")
+
+
 def scores(spark, sf_dir):
     return standardise(obs(spark, sf_dir)).select("batch", "node", "z")
 

@@ -255,7 +255,7 @@ def temporal_mc_global(spark, d):
 
 
 def node_map(spark, d):
-    return topology.node_map(inputs.edges(spark, d)).select("node", joined("neighbours"))
+    return topology.node_map(inputs.grid(spark, d)).select("node", joined("neighbours"))
 
 
 def map_to_neighbours(spark, d):
@@ -269,11 +269,11 @@ def station_assignment(spark, d):
 
 
 def grid_edges(spark, d):
-    return inputs.edges(spark, d)
+    return inputs.grid(spark, d)
 
 
 def undirected_links(spark, d):
-    return topology.undirected_links(inputs.edges(spark, d))
+    return topology.undirected_links(inputs.grid(spark, d))
 
 
 def grid_layout(spark, d):
@@ -281,7 +281,7 @@ def grid_layout(spark, d):
 
 
 def graph_json(spark, d):
-    return topology.graph_json(inputs.nodes(spark, d), inputs.edges(spark, d))
+    return topology.graph_json(inputs.nodes(spark, d), inputs.grid(spark, d))
 
 
 def topology_check(spark, d):
@@ -316,7 +316,7 @@ def adjacency_edges(spark, d):
 
 
 def xml_topology(spark, d):
-    nodes, edges = inputs.nodes(spark, d), inputs.edges(spark, d)
+    nodes, edges = inputs.nodes(spark, d), inputs.grid(spark, d)
     path = fresh_path(spark, "topology")
 
     def ids(prefix, col):
