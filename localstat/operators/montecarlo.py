@@ -171,7 +171,19 @@ def random_sets(
     return sets if keep_keys else sets.drop(*_KEYS)
 
 
-def explode_sets(sets):
+def nest_sets(sets, by=("batch", "node")):
+    """One row per key with its list of sets, in draw order (at most ``r`` of them)."""
+    listed = F.sort_array(F.collect_list(F.struct("draw", "members")))
+    return sets.groupBy(*by).agg(listed["members"].alias("sets"))
+
+
+def explode_sets(nested):
+    """One row per set out of lists of sets; ``draw`` is the place in the list."""
+    rest = [c for c in nested.columns if c != "sets"]
+    return nested.select(*rest, F.posexplode("sets").alias("draw", "members"))
+
+
+def set_members(sets):
     """One row per member of a set."""
     return sets.withColumn("member", F.explode("members")).drop("members")
 
@@ -202,7 +214,7 @@ def random_set_mean(sets, z):
 
     ``z`` (batch, node, z) should be a staged table; other columns of ``sets`` are kept.
     """
-    return _averages(explode_sets(sets), z, ["batch", "member"])
+    return _averages(set_members(sets), z, ["batch", "member"])
 
 
 def simulated_lisa(means):

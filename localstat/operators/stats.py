@@ -47,7 +47,11 @@ def map_to_neighbours(df, edges):
 
     The edges are broadcast when they are few enough, and joined by shuffle otherwise.
     """
-    links = sized(edges).select(F.col("src").alias("node"), F.col("dst").alias("_to"))
+    return _fan_out(df, sized(edges))
+
+
+def _fan_out(df, edges):
+    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("_to"))
     return df.join(links, "node").drop("node").withColumnRenamed("_to", "node")
 
 
@@ -62,10 +66,12 @@ def neighbour_mean(df, edges, col, name="mean"):
     own = df.select(
         "batch", "node", F.col(col).alias("_s"), F.col(col).isNotNull().cast("bigint").alias("_n")
     )
-    if not is_small(edges):
+    if is_small(edges):
+        edges = F.broadcast(edges)
+    else:
         own = own.groupBy("batch", "node").agg(*parts)
     return (
-        map_to_neighbours(own, edges)
+        _fan_out(own, edges)
         .groupBy("batch", "node")
         .agg(*parts)
         .where("_n > 0")

@@ -15,10 +15,12 @@ CTES = {
     "obs": "SELECT batch, node, avg(value) AS value FROM readings GROUP BY batch, node",
     "nodes": "SELECT DISTINCT user_id + 1 AS node FROM events",
     "edges": """
-        SELECT a.node AS src, b.node AS dst FROM nodes a JOIN nodes b ON b.node IN (a.node - 5, a.node + 5)
-        UNION ALL
-        SELECT a.node, b.node FROM nodes a JOIN nodes b
-        ON abs(b.node - a.node) = 1 AND (a.node - 1) // 5 = (b.node - 1) // 5""",
+        SELECT a.node AS src, b.node AS dst FROM nodes a JOIN nodes b ON b.node = a.node - 5
+        UNION ALL SELECT a.node, b.node FROM nodes a JOIN nodes b ON b.node = a.node + 5
+        UNION ALL SELECT a.node, b.node FROM nodes a JOIN nodes b ON b.node = a.node - 1
+          WHERE (a.node - 1) // 5 = (b.node - 1) // 5
+        UNION ALL SELECT a.node, b.node FROM nodes a JOIN nodes b ON b.node = a.node + 1
+          WHERE (a.node - 1) // 5 = (b.node - 1) // 5""",
     "stats": """
         SELECT batch, count(*) AS n, sum(value) AS total, avg(value) AS mean, stddev_pop(value) AS sd
         FROM obs GROUP BY batch""",
@@ -346,6 +348,10 @@ def oracle_sql():
             "grouped", **enumerated("grouped", R),
         ),
         "explode_sets": sql(
+            f"SELECT batch, node, CAST(draw AS INTEGER) AS draw, {listed} FROM sets",
+            "readings", "obs", "nodes", **obs_sets,
+        ),
+        "set_members": sql(
             "SELECT batch, node, CAST(draw AS INTEGER) AS draw, unnest(members) AS member FROM sets",
             "readings", "obs", "nodes", **obs_sets,
         ),

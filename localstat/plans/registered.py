@@ -182,7 +182,13 @@ def enumerated_sets(spark, d):
 
 def explode_sets(spark, d):
     sets = montecarlo.random_sets(_keys(spark, d), _n(spark, d), R_TEMPORAL, SEED)
-    return montecarlo.explode_sets(sets).select("batch", "node", "draw", "member")
+    flat = montecarlo.explode_sets(montecarlo.nest_sets(sets))
+    return flat.select("batch", "node", "draw", joined("members"))
+
+
+def set_members(spark, d):
+    sets = montecarlo.random_sets(_keys(spark, d), _n(spark, d), R_TEMPORAL, SEED)
+    return montecarlo.set_members(sets).select("batch", "node", "draw", "member")
 
 
 def _set_means(spark, d):
@@ -377,8 +383,8 @@ def tuple_values(spark, d):
 def tuple_sets(spark, d):
     path = fresh_path(spark, "sets")
     sets = montecarlo.random_sets(_keys(spark, d), _n(spark, d), R_TEMPORAL, SEED)
-    sinks.write_sets(sets, path, "randomNeighbourTuples")
-    return text.read_tuple_sets(spark, f"{path}/randomNeighbourTuples").select(
+    sinks.write_sets(sets, path, sinks.SETS)
+    return text.read_tuple_sets(spark, f"{path}/{sinks.SETS}").select(
         "batch", "node", joined("members")
     )
 
@@ -386,9 +392,9 @@ def tuple_sets(spark, d):
 def write_batches(spark, d):
     path = fresh_path(spark, "results")
     lisa = stats.spatial_lisa(inputs.obs(spark, d), inputs.edges(spark, d))
-    sinks.write_batches(lisa, path, "finalLisaValues", "text", ("node", "lisa"))
+    sinks.write_batches(lisa, path, sinks.LISA, "text", ("node", "lisa"))
     columns = [("node", "bigint"), ("lisa", "double")]
-    return show(text.read_tuples(spark, f"{path}/finalLisaValues", columns), "batch", "node", lisa="lisa")
+    return show(text.read_tuples(spark, f"{path}/{sinks.LISA}", columns), "batch", "node", lisa="lisa")
 
 
 # Streaming --------------------------------------------------------------------
@@ -411,15 +417,15 @@ def stream_observations(spark, d):
 
     def start(sink, checkpoint, _):
         writer = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-        return writer.trigger(availableNow=True).start(f"{sink}/allValues")
+        return writer.trigger(availableNow=True).start(f"{sink}/{sinks.VALUES}")
 
-    return _run(spark, "allValues", start)
+    return _run(spark, sinks.VALUES, start)
 
 
 def stream_spatial_lisa(spark, d):
     edges = inputs.edges(spark, d)
     found = _run(
-        spark, "finalLisaValues",
+        spark, sinks.LISA,
         lambda sink, checkpoint, _: jobs.stream_lisa(
             _stream_readings(spark, d), sink, checkpoint,
             lambda df: stats.spatial_lisa(inputs.daily(df), edges),
@@ -438,7 +444,7 @@ def stream_window_lisa(spark, d):
         F.timestamp_seconds(second).alias("ts"), (F.col("user_id") + 1).alias("node"), "value"
     )
     found = _run(
-        spark, "finalLisaValues",
+        spark, sinks.LISA,
         lambda sink, checkpoint, _: jobs.stream_window_lisa(
             rows, edges, "1 day", "1 hour", sink, checkpoint
         ),
@@ -449,7 +455,7 @@ def stream_window_lisa(spark, d):
 
 def stream_history(spark, d):
     hist = _run(
-        spark, "allValues",
+        spark, sinks.VALUES,
         lambda sink, checkpoint, state: jobs.stream_history(
             _stream_readings(spark, d), K, state, sink, checkpoint, order=["ts", "event_id"]
         ),
@@ -461,7 +467,7 @@ def stream_history(spark, d):
 def stream_temporal_lisa(spark, d):
     edges = inputs.edges(spark, d)
     found = _run(
-        spark, "allValues",
+        spark, sinks.VALUES,
         lambda sink, checkpoint, state: jobs.stream_temporal_lisa(
             _stream_readings(spark, d), edges, K, state, sink, checkpoint, before=inputs.daily
         ),
@@ -472,11 +478,11 @@ def stream_temporal_lisa(spark, d):
 def stream_lisa_mc(spark, d):
     edges, n = inputs.edges(spark, d), _n(spark, d)
     found = _run(
-        spark, "measuredValuesPositions",
+        spark, sinks.POSITIONS,
         lambda sink, checkpoint, _: jobs.stream_lisa(
             _stream_readings(spark, d), sink, checkpoint,
             lambda df: montecarlo.spatial_lisa_mc(inputs.daily(df), edges, n, R_TEMPORAL, SEED),
-            name="measuredValuesPositions",
+            name=sinks.POSITIONS,
         ),
     )
     return _mc(found)
@@ -515,9 +521,9 @@ def expected_positions(spark, d):
     z = materialise(inputs.scores(spark, d), "z")
     path = fresh_path(spark, "sets")
     sinks.write_sets(
-        montecarlo.random_sets(z, _n(spark, d), R_TEMPORAL, SEED), path, "randomNeighbourTuples"
+        montecarlo.random_sets(z, _n(spark, d), R_TEMPORAL, SEED), path, sinks.SETS
     )
-    sets = text.read_tuple_sets(spark, f"{path}/randomNeighbourTuples")
+    sets = text.read_tuple_sets(spark, f"{path}/{sinks.SETS}")
     sets = sets.withColumn("draw", F.monotonically_increasing_id())
     lisa = stats.lisa_from_z(z, inputs.edges(spark, d)).select("batch", "node", "lisa")
     return show(verify.expected_positions(z, sets, lisa), "batch", "node", position="position")
@@ -615,7 +621,7 @@ QUERIES = [
     word_count, standardise, spatial_lag, spatial_lisa_multi, one_per_node, history_arrays,
     split_history, history_flat, lag_stats, past_standardise, past_neighbour_values, temporal_lag,
     temporal_lisa, temporal_lisa_latest, random_sets, random_sets_shared, enumerated_sets,
-    explode_sets, random_set_mean, simulated_lisa, rank_position, spatial_lisa_mc,
+    explode_sets, set_members, random_set_mean, simulated_lisa, rank_position, spatial_lisa_mc,
     spatial_lisa_mc_shared, spatial_lisa_mc_small, spatial_lisa_mc_whole, temporal_mc_local, temporal_mc_global, node_map,
     map_to_neighbours, station_assignment, grid_edges, undirected_links, grid_layout, graph_json,
     topology_check, adjacency_edges, xml_topology, keyed_values, wide_values, tuple_values,

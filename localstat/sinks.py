@@ -4,6 +4,10 @@ from pyspark.sql import functions as F
 
 from localstat.functions.scalars import tuple_text
 
+# The names results are stored under.
+VALUES, LISA = "allValues", "finalLisaValues"
+POSITIONS, SETS = "measuredValuesPositions", "randomNeighbourTuples"
+
 
 def write_batch(df, path, name, batch_id):
     """Replace the result of one micro-batch."""

@@ -7,8 +7,8 @@ from localstat.functions.scalars import node_key
 from localstat.operators.topology import symmetrise
 
 
-def read_lines(spark, path):
-    """Text lines with their 0-based number ``line`` over all files in name order.
+def _numbered(spark, path, per_file):
+    """Lines with their 0-based number, counted over all files or within each.
 
     Each file split counts its own lines; a running total over the splits (one small
     row per split) turns that into a global number without moving lines to one task.
@@ -21,10 +21,27 @@ def read_lines(spark, path):
         F.monotonically_increasing_id().alias("_id"),
     )
     splits = lines.groupBy(*split).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_file").orderBy("_start") if per_file else Window.orderBy(*split)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     return lines.join(splits, split).select(
-        (F.col("_base") + F.col("_id") - F.col("_first")).alias("line"), "value"
+        F.col("_file").alias("file"),
+        (F.col("_base") + F.col("_id") - F.col("_first")).alias("line"),
+        "value",
+    )
+
+
+def read_lines(spark, path):
+    """Text lines with their number ``line`` over all files in name order."""
+    return _numbered(spark, path, per_file=False).drop("file")
+
+
+def read_node_files(spark, path):
+    """One file per node, named by its 0-based number, ``v;`` per tick -> node, tick, value."""
+    return _numbered(spark, path, per_file=True).select(
+        (F.regexp_extract("file", r"(\d+)\.[^/]*$", 1).cast("bigint") + 1).alias("node"),
+        F.col("line").alias("tick"),
+        F.split("value", ";")[0].cast("double").alias("value"),
     )
 
 

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from localstat import schemas
 from localstat.operators.stats import spatial_lisa
 from localstat.operators.temporal import history_arrays, lisa_from_history
-from localstat.sinks import write_batch
+from localstat.sinks import LISA, VALUES, write_batch
 
 
-def stream_lisa(sdf, sink, checkpoint, fn, name="finalLisaValues", trigger=None):
+def stream_lisa(sdf, sink, checkpoint, fn, name=LISA, trigger=None):
     """Run ``fn(batch_df) -> DataFrame`` on every micro-batch and store its result.
 
     Rows without a ``batch`` column get the micro-batch id as their batch. The default
@@ -80,7 +80,7 @@ def stream_history(sdf, k, state, sink, checkpoint, order=("batch",), before=Non
             )
             tail.drop("_back").write.mode("overwrite").parquet(f"{state}/version={batch_id % 2}")
             hist = history_arrays(new, k, order).where("_new").drop("_new")
-            write_batch(then(hist) if then else hist, sink, "allValues", batch_id)
+            write_batch(then(hist) if then else hist, sink, VALUES, batch_id)
         finally:
             new.unpersist()
 

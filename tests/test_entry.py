@@ -12,7 +12,7 @@ from check import TABLES, compare  # noqa: E402
 SF = "/root/testdata/sf0.001"
 # 15 nodes at this scale, so the SQL of these queries, which draws, does not apply.
 DRAWN = {
-    "random_sets", "random_sets_shared", "explode_sets", "random_set_mean", "simulated_lisa",
+    "random_sets", "random_sets_shared", "explode_sets", "set_members", "random_set_mean", "simulated_lisa",
     "rank_position", "spatial_lisa_mc", "spatial_lisa_mc_shared", "spatial_lisa_mc_whole",
     "temporal_mc_local", "temporal_mc_global", "tuple_sets", "stream_lisa_mc", "expected_positions",
 }

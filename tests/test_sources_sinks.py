@@ -30,6 +30,15 @@ def test_wide_values(spark, tmp_path):
     ]
 
 
+def test_one_file_per_node(spark, tmp_path):
+    folder = tmp_path / "nodes"
+    lines_file(folder, "0.txt", ["1.5;", "2.5;"])
+    path = lines_file(folder, "11.txt", ["-1;", "0;", "4e-2;"])
+    assert rows_of(text.read_node_files(spark, path), "node", "tick", "value") == [
+        (1, 0, 1.5), (1, 1, 2.5), (12, 0, -1.0), (12, 1, 0.0), (12, 2, 0.04),
+    ]
+
+
 def test_tuples(spark, tmp_path):
     path = lines_file(tmp_path / "t", "part-00000", ["(7,0.31)", "(8,-1.0E-4)"])
     got = text.read_tuples(spark, path, [("node", "bigint"), ("value", "double")])
