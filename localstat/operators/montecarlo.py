@@ -6,8 +6,10 @@ gives a simulated statistic, and the observed one is placed among them:
 
 Sets and picks are functions of (seed, batch, node, draw), evaluated next to the row
 they belong to: drawing, dropping repeats, averaging and ranking share one
-partitioning by (batch, node). Only the lookup of the drawn nodes' scores moves rows,
-and not even that when the score table is small enough to broadcast.
+partitioning. The drawn nodes' scores are read from one array per batch, so the drawn
+members themselves are never shuffled: the arrays go to the rows, by broadcast when
+they are small together, else one copy per few million draws. Only graphs whose array
+would outgrow a row fall back to a join of members with scores.
 """
 
 from pyspark.sql import Window
@@ -31,7 +33,9 @@ INLINE_DEGREE = 1_000
 # Compare-and-swap steps that sort four values.
 SORT_STEPS = [(0, 1), (2, 3), (0, 2), (1, 3), (1, 2)]
 # Generated rows that one task should handle.
-DRAWS_PER_TASK = 4_000_000
+DRAWS_PER_TASK = 2_000_000
+# Largest score array of one batch (8 MB): nodes times positions of the history.
+ARRAY_SCORES = 1_000_000
 
 _KEYS = ["_a", "_b", "_c"]
 
@@ -52,18 +56,19 @@ def _with_keys(df, by, seed):
     return keyed.withColumns({f"_{x}": F.col(f"_k.{x}") for x in "abc"}).drop("_k")
 
 
+def _partitions(spark, work):
+    n = max(2 * spark.sparkContext.defaultParallelism, -(-work // DRAWS_PER_TASK))
+    # A repartitioning equal to the one already in the plan would be dropped.
+    return n + 1 if n == int(spark.conf.get("spark.sql.shuffle.partitions")) else n
+
+
 def _spread(df, by, work):
     """Spread rows by key over enough partitions for ``work`` generated rows.
 
     A few small rows grow into thousands of draws each, so the number of partitions is
     given: adaptive execution would merge them by their size before they grow.
     """
-    spark = df.sparkSession
-    n = max(2 * spark.sparkContext.defaultParallelism, -(-work // DRAWS_PER_TASK))
-    # A repartitioning equal to the one already in the plan would be dropped.
-    if n == int(spark.conf.get("spark.sql.shuffle.partitions")):
-        n += 1
-    return df.repartition(n, *by)
+    return df.repartition(_partitions(df.sparkSession, work), *by)
 
 
 def _other(index, exclude_self=True):
@@ -72,14 +77,6 @@ def _other(index, exclude_self=True):
     return F.when(number >= F.col("node"), number + 1).otherwise(number) if exclude_self else number
 
 
-def _first_of(size, values):
-    """Array of the first ``size`` values."""
-    result = F.array(*values)
-    for n in range(len(values) - 1, 0, -1):
-        result = F.when(size == n, F.array(*values[:n])).otherwise(result)
-    return result
-
-
 def _drawn(keyed, by, choices, r, exclude_self):
     """The first ``r`` distinct sets per key in draw order, by Floyd's sampling."""
     draws = draws_needed(choices, r, LARGEST_SET)
@@ -145,30 +142,28 @@ def _enumerated(keyed, by, choices, r, exclude_self):
     return rows.withColumn("members", members).drop("_mask", "_x", "_u0", "_u1")
 
 
-def _sets(df, by, n_nodes, r, seed, rows, exclude_self=True):
-    by = list(by)
+def _draws_per_key(n_nodes, r, exclude_self=True):
     choices = n_nodes - 1 if exclude_self else n_nodes
-    if n_nodes < ENUMERATE_BELOW:
-        make, per_row = _enumerated, 2**choices
-    else:
-        make, per_row = _drawn, draws_needed(choices, r, LARGEST_SET)
-    keyed = _with_keys(_spread(df, by, rows * per_row), by, seed)
-    return make(keyed, by, choices, r, exclude_self)
+    return 2**choices if n_nodes < ENUMERATE_BELOW else draws_needed(choices, r, LARGEST_SET)
 
 
-def random_sets(
-    keys, n_nodes, r, seed, by=("batch", "node"), exclude_self=True, rows=None, keep_keys=False
-):
+def _sets(placed, by, n_nodes, r, seed, exclude_self=True):
+    """Sets for rows that are already partitioned by key (or by batch and salt)."""
+    choices = n_nodes - 1 if exclude_self else n_nodes
+    make = _enumerated if n_nodes < ENUMERATE_BELOW else _drawn
+    keys = [*by, *[c for c in ("_salt",) if c in placed.columns]]
+    return make(_with_keys(placed, by, seed), keys, choices, r, exclude_self)
+
+
+def random_sets(keys, n_nodes, r, seed, by=("batch", "node"), exclude_self=True):
     """Add ``draw`` and ``members`` to every row of ``keys``: ``r`` distinct random sets.
 
     ``by`` identifies the rows. Leaving ``batch`` out shares the sets between batches.
     Below 16 nodes the sets are enumerated, and all of them are returned when there are
-    fewer than ``r``; otherwise asking for more than exist is an error. ``rows`` is the
-    number of keys, counted when not given; it sets the number of partitions.
+    fewer than ``r``; otherwise asking for more than exist is an error.
     """
-    rows = keys.count() if rows is None else rows
-    sets = _sets(keys, by, n_nodes, r, seed, rows, exclude_self)
-    return sets if keep_keys else sets.drop(*_KEYS)
+    work = keys.count() * _draws_per_key(n_nodes, r, exclude_self)
+    return _sets(_spread(keys, by, work), by, n_nodes, r, seed, exclude_self).drop(*_KEYS)
 
 
 def nest_sets(sets, by=("batch", "node")):
@@ -185,25 +180,97 @@ def explode_sets(nested):
 
 def set_members(sets):
     """One row per member of a set."""
-    return sets.withColumn("member", F.explode("members")).drop("members")
+    return sets.withColumn("member", F.explode("members")).drop("members").where("member IS NOT NULL")
 
 
-def _averages(rows, table, on):
-    """Mean score of the drawn members per (batch, node, draw); absent ones are skipped.
+def score_arrays(z, n_nodes):
+    """One row per batch: ``scores[lag][node - 1]``, null where a node did not report.
 
-    A large score table is joined by shuffle; one repartitioning then serves both this
-    average and the ranking that follows.
+    The positions come from numbering 1..N per batch and lag. A batch's array is bounded
+    by the number of nodes, which the caller has checked.
     """
-    carried = [c for c in rows.columns if c not in ("batch", "node", "draw", "member", "lag")]
-    scores = table.select(
-        "batch", F.col("node").alias("member"), *[c for c in on if c not in ("batch", "member")],
-        F.col("z").alias("_z"),
+    z = z if "lag" in z.columns else z.withColumn("lag", F.lit(0))
+    numbers = F.sequence(F.lit(1).cast("bigint"), F.lit(n_nodes).cast("bigint"))
+    places = z.select("batch", "lag").distinct().withColumn("node", F.explode(numbers))
+    row = F.sort_array(F.collect_list(F.struct("node", "z")))["z"]
+    rows = places.join(z, ["batch", "lag", "node"], "left").groupBy("batch", "lag").agg(row.alias("scores"))
+    twice = F.raise_error(F.lit("more than one reading of a node in a batch"))
+    rows = rows.withColumn(
+        "scores",
+        F.when(F.size("scores") == n_nodes, F.col("scores")).otherwise(twice.cast("array<double>")),
     )
+    levels = F.sort_array(F.collect_list(F.struct("lag", "scores")))["scores"]
+    return rows.groupBy("batch").agg(levels.alias("scores"))
+
+
+class _Scores:
+    """Scores of drawn members, looked up in arrays or, for huge graphs, by a join."""
+
+    def __init__(self, z, n_nodes, levels=1):
+        self.z, self.arrays, self.n_nodes, self.copies = z, None, n_nodes, None
+        if n_nodes * levels <= ARRAY_SCORES:
+            self.arrays = materialise(score_arrays(z, n_nodes), "scores")
+            self.small = self.arrays.count() * n_nodes * levels <= 4 * scale.BROADCAST_ROWS
+
+    def place(self, df, rows, per_row):
+        """Partition rows for their draws, next to a copy of their batch's array if that
+        is not broadcast: one copy for every few million draws of the batch."""
+        if self.arrays is None or self.small:
+            return _spread(df, ["batch", "node"], rows * per_row)
+        salts = -(-self.n_nodes * per_row // DRAWS_PER_TASK)
+        copies = self.arrays.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        self.copies = _spread(copies, ["batch", "_salt"], rows * per_row)
+        salted = df.withColumn("_salt", F.pmod("node", F.lit(salts)).cast("int"))
+        return _spread(salted, ["batch", "_salt"], rows * per_row)
+
+    def means(self, rows):
+        """Mean score of ``members`` per draw (over all lags, if there are several rows)."""
+        if self.arrays is None:
+            return _joined_means(set_members(rows), self.z)
+        if self.copies is None:
+            found = rows.join(F.broadcast(self.arrays), "batch")
+        else:
+            found = rows.join(self.copies.hint("shuffle_hash"), ["batch", "_salt"])
+        several = "_level" in rows.columns
+        level = F.get("scores", F.col("_level") if several else F.lit(0))
+        values = [
+            F.get(level, (F.get("members", F.lit(i)) - 1).cast("int")) for i in range(LARGEST_SET)
+        ]
+        found = found.withColumns({f"_v{i}": v for i, v in enumerate(values)})
+        parts = [F.col(f"_v{i}") for i in range(LARGEST_SET)]
+        found = found.withColumns(
+            {
+                "_sum": sum((F.coalesce(v, F.lit(0.0)) for v in parts[1:]), F.coalesce(parts[0], F.lit(0.0))),
+                "_n": sum((v.isNotNull().cast("int") for v in parts[1:]), parts[0].isNotNull().cast("int")),
+            }
+        ).drop("scores", "members", *[f"_v{i}" for i in range(LARGEST_SET)])
+        if several:
+            keys, carried = _keys_and_rest(found, "draw", drop=("_level", "_sum", "_n"))
+            found = found.groupBy(*keys).agg(
+                F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"), *[F.first(c).alias(c) for c in carried]
+            )
+        mean = F.coalesce(F.col("_sum") / F.nullif(F.col("_n"), F.lit(0)), F.lit(float("nan")))
+        return found.withColumn("mean", mean).drop("_sum", "_n")
+
+
+def _keys_and_rest(df, *more, drop=()):
+    """Grouping keys (with the salt, where there is one), and the other columns."""
+    keys = [c for c in ("batch", "node", "_salt", *more) if c in df.columns]
+    return keys, [c for c in df.columns if c not in keys and c not in drop]
+
+
+def _joined_means(rows, table):
+    """The same means by joining every member with its score."""
+    table = table.withColumnsRenamed({"node": "member", "z": "_z", "lag": "_level"})
+    on = [c for c in ("batch", "_level", "member") if c in rows.columns]
+    scores = table.select(*on, "_z")
     if is_small(table):
         joined = rows.join(F.broadcast(scores), on, "left")
     else:
+        # One repartitioning serves both this average and the ranking that follows.
         joined = rows.join(scores, on, "left").repartition("batch", "node")
-    return joined.groupBy("batch", "node", "draw").agg(
+    keys, carried = _keys_and_rest(joined, "draw", drop=("_level", "member", "_z"))
+    return joined.groupBy(*keys).agg(
         F.coalesce(F.avg("_z"), F.lit(float("nan"))).alias("mean"),
         *[F.first(c).alias(c) for c in carried],
     )
@@ -214,7 +281,7 @@ def random_set_mean(sets, z):
 
     ``z`` (batch, node, z) should be a staged table; other columns of ``sets`` are kept.
     """
-    return _averages(set_members(sets), z, ["batch", "member"])
+    return _joined_means(set_members(sets), z)
 
 
 def simulated_lisa(means):
@@ -229,13 +296,13 @@ def rank_position(sims):
     reporting member counts as a draw but is never smaller.
     """
     gap = F.col("lisa") - F.col("sim")
-    carried = [c for c in sims.columns if c not in ("batch", "node", "draw", "mean", "sim")]
-    ranked = sims.groupBy("batch", "node").agg(
+    keys, carried = _keys_and_rest(sims, drop=("draw", "mean", "sim"))
+    ranked = sims.groupBy(*keys).agg(
         F.count_if((gap > TIE) & ~F.isnan(gap)).alias("below"),
         F.count(F.lit(1)).alias("n"),
         *[F.first(c).alias(c) for c in carried],
     )
-    return ranked.withColumn("position", (F.col("below") + 1) / (F.col("n") + 1))
+    return ranked.drop("_salt").withColumn("position", (F.col("below") + 1) / (F.col("n") + 1))
 
 
 def _complete(ranked, n_nodes, r):
@@ -255,62 +322,64 @@ def spatial_lisa_mc(obs, edges, n_nodes, r, seed, resample="per_batch"):
     if resample not in ("per_batch", "shared"):
         raise ValueError("resample is 'per_batch' or 'shared'")
     z = materialise(standardise(obs).select("batch", "node", "z"), "z")
+    rows, by = z.count(), ["batch", "node"]
+    scores = _Scores(z, n_nodes)
     lisa = lisa_from_z(z, edges)
     if resample == "per_batch":
-        sets = random_sets(lisa, n_nodes, r, seed, rows=z.count())
+        placed = scores.place(lisa, rows, _draws_per_key(n_nodes, r))
+        sets = _sets(placed, by, n_nodes, r, seed).drop(*_KEYS)
     else:
         nodes = edges.select(F.col("src").alias("node")).distinct()
         sets = materialise(random_sets(nodes, n_nodes, r, seed, by=["node"]), "sets")
-        spread = _spread(lisa, ["batch", "node"], z.count() * r)
-        sets = spread.join(sized(sets), "node")
-    ranked = rank_position(simulated_lisa(random_set_mean(sets, z)))
-    return _complete(ranked, n_nodes, r)
+        sets = scores.place(lisa, rows, r).join(sized(sets), "node")
+    return _complete(rank_position(simulated_lisa(scores.means(sets))), n_nodes, r)
 
 
 def _past_picks(sets, edges, n_nodes, scope, inline_degree):
-    """Members to average per (draw, lag): the set itself at lag 0, picks beyond.
+    """Members to average per (draw, position): the set itself at 0, picks beyond.
 
     At every past position one to four nodes are picked with replacement, among the
-    node's own neighbours (``local``) or among all other nodes (``global``).
+    node's own neighbours (``local``) or among all other nodes (``global``). Unused
+    places of the member array are null.
     """
     rows = sets.withColumn(
-        "lag", F.explode(F.sequence(F.lit(0), F.col("past_n").cast("int")))
+        "_level", F.explode(F.sequence(F.lit(0), F.col("past_n").cast("int")))
     ).withColumn(
-        "_x", (F.col("_a") + F.col("draw") * F.col("_b") + F.col("lag") * F.col("_c")) % PRIME
+        "_x", (F.col("_a") + F.col("draw") * F.col("_b") + F.col("_level") * F.col("_c")) % PRIME
     )
     rows = with_numbers(rows, "_x", n=LARGEST_SET + 1)
-    size = below(F.col("_u0"), F.lit(LARGEST_SET)) + 1
-    numbers = [F.col(f"_u{i + 1}") for i in range(LARGEST_SET)]
-    spent = ["_x", *[f"_u{i}" for i in range(LARGEST_SET + 1)], *_KEYS, "members", "past_n"]
+    slots = range(LARGEST_SET)
+    spent = ["_x", *[f"_u{i}" for i in range(LARGEST_SET + 1)], *[f"_p{i}" for i in slots], *_KEYS, "past_n"]
+
+    def picked(df, choices):
+        """Add ``_p0 .. _p3``: 0-based choices, null beyond the number of picks."""
+        size = below(F.col("_u0"), F.lit(LARGEST_SET))
+        return df.withColumns(
+            {f"_p{i}": F.when(size >= i, below(F.col(f"_u{i + 1}"), choices)) for i in slots}
+        )
 
-    def members(picks):
-        return F.explode(F.when(F.col("lag") == 0, F.col("members")).otherwise(_first_of(size, picks)))
+    def with_members(df, node_of):
+        picks = F.array(*[node_of(F.col(f"_p{i}")) for i in slots])
+        return df.withColumn("members", F.when(F.col("_level") == 0, F.col("members")).otherwise(picks))
 
     if scope == "global":
-        picks = [_other(below(u, F.lit(n_nodes - 1))) for u in numbers]
-        return rows.withColumn("member", members(picks)).drop(*spent)
+        return with_members(picked(rows, F.lit(n_nodes - 1)), _other).drop(*spent)
 
     longest = max_degree(edges)
     if longest <= inline_degree:
         lists = materialise(node_map(edges, inline_degree), "neighbours")
         lists = sized(lists, scale.BROADCAST_ROWS // max(longest, 1))
-        degree = F.size("neighbours")
-        picks = [F.element_at("neighbours", (below(u, degree) + 1).cast("int")) for u in numbers]
-        return (
-            rows.join(lists, "node")
-            .withColumn("member", members(picks))
-            .drop(*spent, "neighbours")
-        )
+        rows = picked(rows.join(lists, "node"), F.size("neighbours"))
+        return with_members(rows, lambda p: F.get("neighbours", p.cast("int"))).drop(*spent, "neighbours")
 
     degrees = edges.groupBy(F.col("src").alias("node")).agg(F.count("dst").alias("_degree"))
     ranked = ranked_neighbours(edges).select(
         F.col("src").alias("node"), F.col("pos").alias("_index"), "dst"
     )
-    picks = [below(u, F.col("_degree")) for u in numbers]
-    rows = rows.join(degrees, "node").withColumn("_index", members(picks)).drop(*spent, "_degree")
-    found = rows.where("lag > 0").join(ranked, ["node", "_index"]).withColumnRenamed("dst", "member")
-    current = rows.where("lag = 0").withColumnRenamed("_index", "member")
-    return current.unionByName(found.drop("_index"))
+    past = picked(rows.where("_level > 0").join(degrees, "node"), F.col("_degree"))
+    past = past.withColumn("_index", F.explode(F.array(*[f"_p{i}" for i in slots])))
+    past = past.join(ranked, ["node", "_index"]).withColumn("members", F.array("dst"))
+    return rows.where("_level = 0").drop(*spent).unionByName(past.drop(*spent, "_degree", "_index", "dst"))
 
 
 def temporal_lisa_mc(
@@ -327,7 +396,8 @@ def temporal_lisa_mc(
     z_rows = materialise(z_rows.select("batch", "node", "lag", "z"), "z")
     lagged = temporal_lag(z_rows, edges)
     lisa = lagged.withColumn("lisa", F.col("z") * F.col("lag")).drop("lag")
-    sets = random_sets(lisa, n_nodes, r, seed, rows=z_rows.where("lag = 0").count(), keep_keys=True)
-    rows = _past_picks(sets, edges, n_nodes, scope, inline_degree)
-    ranked = rank_position(simulated_lisa(_averages(rows, z_rows, ["batch", "member", "lag"])))
-    return _complete(ranked, n_nodes, r)
+    scores = _Scores(z_rows, n_nodes, k)
+    placed = scores.place(lisa, z_rows.where("lag = 0").count(), _draws_per_key(n_nodes, r))
+    sets = _sets(placed, ["batch", "node"], n_nodes, r, seed)
+    means = scores.means(_past_picks(sets, edges, n_nodes, scope, inline_degree))
+    return _complete(rank_position(simulated_lisa(means)), n_nodes, r)

@@ -110,10 +110,15 @@ def spatial_parts(obs, graph, sets):
     return brute_positions(z, sets, lisa)
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_spatial_positions(spark, graph, monkeypatch, limit):
-    """With the score table broadcast, and joined by shuffle."""
-    monkeypatch.setattr(scale, "BROADCAST_ROWS", limit)
+# Lookups in broadcast arrays, in salted copies of them, by broadcast join, by shuffle.
+LOOKUPS = [(1_000_000, 1_000_000), (0, 1_000_000), (1_000_000, 0), (0, 0)]
+
+
+@pytest.mark.parametrize("rows, cells", LOOKUPS)
+def test_spatial_positions(spark, graph, monkeypatch, rows, cells):
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(mc, "ARRAY_SCORES", cells)
+    monkeypatch.setattr(mc, "DRAWS_PER_TASK", 300)
     obs = obs_frame(spark, some_rows(seed=21, batches=3, present=0.7))
     sets = sets_by_key(mc.random_sets(obs.select("batch", "node"), 16, 60, seed=5))
     got = mc.spatial_lisa_mc(obs, graph, 16, 60, seed=5)
@@ -121,7 +126,10 @@ def test_spatial_positions(spark, graph, monkeypatch, limit):
     assert all(r.n == 60 and 0 < r.position <= 1 for r in got.collect())
 
 
-def test_shared_sets(spark, graph):
+@pytest.mark.parametrize("rows, cells", LOOKUPS[:2])
+def test_shared_sets(spark, graph, monkeypatch, rows, cells):
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(mc, "ARRAY_SCORES", cells)
     obs = obs_frame(spark, some_rows(seed=22, batches=3, present=0.7))
     nodes = spark.range(1, 17).withColumnRenamed("id", "node")
     by_node = {}
@@ -132,6 +140,25 @@ def test_shared_sets(spark, graph):
     agree(positions(got), spatial_parts(obs, graph, sets))
 
 
+@pytest.mark.parametrize("scope", ["local", "global"])
+def test_temporal_lookups_agree(spark, graph, monkeypatch, scope):
+    obs = obs_frame(spark, some_rows(seed=27, batches=4, present=0.8))
+    results = []
+    for rows, cells in LOOKUPS:
+        monkeypatch.setattr(scale, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(mc, "ARRAY_SCORES", cells)
+        monkeypatch.setattr(mc, "DRAWS_PER_TASK", 300)
+        results.append(positions(mc.temporal_lisa_mc(obs, graph, 16, 3, 20, seed=4, scope=scope)))
+    for other in results[1:]:
+        agree(other, results[0])
+
+
+def test_repeated_readings_are_refused(spark, graph):
+    obs = obs_frame(spark, [(0, n, float(n)) for n in range(1, 17)] + [(0, 3, 9.0)])
+    with pytest.raises(Exception, match="more than one reading"):
+        mc.spatial_lisa_mc(obs, graph, 16, 20, seed=1)
+
+
 def test_absent_sets_count_as_draws(spark):
     z = scale.materialise(spark.createDataFrame([(0, 1, 1.0), (0, 2, -1.0)], "batch BIGINT, node BIGINT, z DOUBLE"))
     sets = spark.createDataFrame(
@@ -182,15 +209,15 @@ def test_history_of_one_ranks_like_the_spatial_job(spark, graph):
 
 def test_past_picks_stay_in_scope(spark, graph, neighbours):
     base = spark.createDataFrame([(0, n, 2) for n in range(1, 17)], "batch BIGINT, node BIGINT, past_n BIGINT")
-    sets = mc.random_sets(base, 16, 40, seed=9, keep_keys=True)
+    sets = mc._sets(base, ["batch", "node"], 16, 40, seed=9)
     drawn = {(r.node, r.draw): set(r.members) for r in sets.collect()}
     for scope in ("local", "global"):
-        picks = mc._past_picks(sets, graph, 16, scope, 1_000).collect()
-        sizes = Counter((r.node, r.draw, r.lag) for r in picks)
+        picks = mc.set_members(mc._past_picks(sets, graph, 16, scope, 1_000)).collect()
+        sizes = Counter((r.node, r.draw, r._level) for r in picks)
         assert set(sizes.values()) == {1, 2, 3, 4} and len(sizes) == 16 * 40 * 3
         seen = {}
         for r in picks:
-            if r.lag == 0:
+            if r._level == 0:
                 assert r.member in drawn[r.node, r.draw]
             else:
                 assert r.member in neighbours[r.node] if scope == "local" else r.member != r.node
