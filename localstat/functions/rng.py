@@ -27,24 +27,24 @@ def stream_keys(seed, *cols):
 
 
 def power(x, step):
-    """One number of the stream from the one before it (below PRIME)."""
-    y = x + F.lit(step)
-    y2 = y * y % PRIME
-    return y2 * y2 % PRIME * y % PRIME
+    """SQL text of one number of the stream, from the one before it (below PRIME)."""
+    y = f"({x} + {step})"
+    y2 = f"({y} * {y} % {PRIME})"
+    return f"{y2} * {y2} % {PRIME} * {y} % {PRIME}"
 
 
-def with_numbers(df, start, prefix="_u", n=5):
-    """Add ``n`` successive numbers of the stream that starts at column ``start``."""
-    last = start
-    for i in range(n):
-        df = df.withColumn(f"{prefix}{i}", power(F.col(last), STEPS[i]))
-        last = f"{prefix}{i}"
-    return df
+def numbers(start, prefix="_u", n=5):
+    """SQL text of ``n`` successive numbers of the stream that starts at column ``start``.
+
+    For one ``selectExpr``: each number refers to the alias of the one before it.
+    """
+    names = [start, *[f"{prefix}{i}" for i in range(n)]]
+    return [f"{power(names[i], STEPS[i])} AS {names[i + 1]}" for i in range(n)]
 
 
 def below(u, n):
-    """Map a number of the stream to 0 .. n-1 by scaling."""
-    return F.call_function("div", u * n, F.lit(PRIME))
+    """Map a number of the stream to 0 .. n-1 by scaling (SQL text)."""
+    return f"({u} * ({n}) div {PRIME})"
 
 
 def draws_needed(choices, r, max_size=4, risk=1e-18):

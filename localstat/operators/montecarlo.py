@@ -15,7 +15,7 @@ would outgrow a row fall back to a join of members with scores.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from localstat.functions.rng import PRIME, below, draws_needed, stream_keys, with_numbers
+from localstat.functions.rng import PRIME, below, draws_needed, numbers, stream_keys
 from localstat.operators.stats import lisa_from_z, standardise
 from localstat.operators.temporal import history_arrays, lag_rows, past_standardise, temporal_lag
 from localstat.operators.topology import max_degree, node_map, ranked_neighbours
@@ -72,39 +72,38 @@ def _spread(df, by, work):
 
 
 def _other(index, exclude_self=True):
-    """Node with the given 0-based index among all nodes, or among all but ``node``."""
-    number = index + 1
-    return F.when(number >= F.col("node"), number + 1).otherwise(number) if exclude_self else number
+    """SQL text: node with a 0-based index among all nodes, or among all but ``node``."""
+    return f"{index} + 1 + IF({index} + 1 >= node, 1, 0)" if exclude_self else f"{index} + 1"
 
 
 def _drawn(keyed, by, choices, r, exclude_self):
-    """The first ``r`` distinct sets per key in draw order, by Floyd's sampling."""
+    """The first ``r`` distinct sets per key in draw order, by Floyd's sampling.
+
+    The arithmetic is SQL text with one select per step: later columns refer to the
+    aliases of earlier ones.
+    """
     draws = draws_needed(choices, r, LARGEST_SET)
     carried = [c for c in keyed.columns if c not in by]
+    slots = range(LARGEST_SET)
 
-    rows = keyed.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    rows = rows.withColumn("_x", (F.col("_a") + F.col("_draw") * F.col("_b")) % PRIME)
-    rows = with_numbers(rows, "_x", n=LARGEST_SET + 1)
-    rows = rows.withColumn("_size", below(F.col("_u0"), F.lit(LARGEST_SET)) + 1)
+    size = below("_u0", LARGEST_SET)
+    columns = [f"(_a + _draw * _b) % {PRIME} AS _x", *numbers("_x", n=LARGEST_SET + 1), f"{size} + 1 AS _size"]
     # Floyd: step s picks among the first j + 1 choices and takes j itself on a repeat.
-    picked = []
-    for s in range(LARGEST_SET):
-        j = F.lit(choices) - F.col("_size") + s
-        rows = rows.withColumn(f"_t{s}", below(F.col(f"_u{s + 1}"), j + 1))
-        pick = F.col(f"_t{s}")
-        if picked:
-            pick = F.when(pick.isin(*[F.col(p) for p in picked]), j).otherwise(pick)
-        rows = rows.withColumn(f"_m{s}", pick)
-        picked.append(f"_m{s}")
+    for s in slots:
+        j = f"({choices} - _size + {s})"
+        columns.append(f"{below(f'_u{s + 1}', f'{j} + 1')} AS _t{s}")
+        before = ", ".join(f"_m{i}" for i in range(s))
+        columns.append(f"IF(_t{s} IN ({before}), {j}, _t{s}) AS _m{s}" if s else "_t0 AS _m0")
+    rows = keyed.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    rows = rows.selectExpr("*", *columns)
     # Sorted node numbers in four columns, absent ones zero: cheap keys to compare sets by.
-    slots = [
-        F.when(F.col("_size") > s, _other(F.col(p), exclude_self)).otherwise(F.lit(0).cast("bigint"))
-        for s, p in enumerate(picked)
-    ]
-    rows = rows.select(*by, *carried, "_draw", *[c.alias(f"_s{s}") for s, c in enumerate(slots)])
-    for i, j in SORT_STEPS:
-        low, high = F.least(f"_s{i}", f"_s{j}"), F.greatest(f"_s{i}", f"_s{j}")
-        rows = rows.withColumns({f"_s{i}": low, f"_s{j}": high})
+    columns = [f"IF(_size > {s}, {_other(f'_m{s}', exclude_self)}, 0L) AS _n{s}" for s in slots]
+    at = [f"_n{s}" for s in slots]
+    for step, (i, j) in enumerate(SORT_STEPS):
+        columns += [f"least({at[i]}, {at[j]}) AS _low{step}", f"greatest({at[i]}, {at[j]}) AS _high{step}"]
+        at[i], at[j] = f"_low{step}", f"_high{step}"
+    columns += [f"{c} AS _s{s}" for s, c in enumerate(at)]
+    rows = rows.selectExpr(*by, *carried, "_draw", *columns)
     names = [f"_s{s}" for s in range(LARGEST_SET)]
     distinct = rows.groupBy(*by, *names).agg(
         F.min("_draw").alias("_draw"), *[F.first(c).alias(c) for c in carried]
@@ -123,18 +122,15 @@ def _drawn(keyed, by, choices, r, exclude_self):
 def _enumerated(keyed, by, choices, r, exclude_self):
     """All sets of one to four nodes in a seeded random order, at most ``r`` per key."""
     mask = F.col("_mask")
-    rows = (
-        keyed.withColumn("_mask", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(2**choices - 1).cast("bigint"))))
-        .where(F.bit_count(mask).between(1, LARGEST_SET))
-        .withColumn("_x", (F.col("_a") + mask * F.col("_b")) % PRIME)
-    )
-    rows = with_numbers(rows, "_x", n=2)
+    masks = F.sequence(F.lit(1).cast("bigint"), F.lit(2**choices - 1).cast("bigint"))
+    rows = keyed.withColumn("_mask", F.explode(masks)).where(F.bit_count(mask).between(1, LARGEST_SET))
+    rows = rows.selectExpr("*", f"(_a + _mask * _b) % {PRIME} AS _x", *numbers("_x", n=2))
     order = Window.partitionBy(*by).orderBy("_u1", "_mask")
     rows = rows.withColumn("draw", F.row_number().over(order) - 1).where(F.col("draw") < r)
     members = F.array_compact(
         F.array(
             *[
-                F.when(mask.bitwiseAND(1 << i) != 0, _other(F.lit(i).cast("bigint"), exclude_self))
+                F.expr(f"IF(_mask & {1 << i} <> 0, {_other(f'{i}L', exclude_self)}, NULL)")
                 for i in range(choices)
             ]
         )
@@ -232,18 +228,13 @@ class _Scores:
         else:
             found = rows.join(self.copies.hint("shuffle_hash"), ["batch", "_salt"])
         several = "_level" in rows.columns
-        level = F.get("scores", F.col("_level") if several else F.lit(0))
-        values = [
-            F.get(level, (F.get("members", F.lit(i)) - 1).cast("int")) for i in range(LARGEST_SET)
-        ]
-        found = found.withColumns({f"_v{i}": v for i, v in enumerate(values)})
-        parts = [F.col(f"_v{i}") for i in range(LARGEST_SET)]
-        found = found.withColumns(
-            {
-                "_sum": sum((F.coalesce(v, F.lit(0.0)) for v in parts[1:]), F.coalesce(parts[0], F.lit(0.0))),
-                "_n": sum((v.isNotNull().cast("int") for v in parts[1:]), parts[0].isNotNull().cast("int")),
-            }
-        ).drop("scores", "members", *[f"_v{i}" for i in range(LARGEST_SET)])
+        slots = range(LARGEST_SET)
+        level = "_level" if several else "0"
+        values = [f"get(get(scores, {level}), int(get(members, {i}) - 1)) AS _v{i}" for i in slots]
+        total = " + ".join(f"coalesce(_v{i}, 0.0D)" for i in slots) + " AS _sum"
+        n = " + ".join(f"int(_v{i} IS NOT NULL)" for i in slots) + " AS _n"
+        rest = [c for c in found.columns if c not in ("scores", "members")]
+        found = found.selectExpr(*rest, *values, total, n).drop(*[f"_v{i}" for i in slots])
         if several:
             keys, carried = _keys_and_rest(found, "draw", drop=("_level", "_sum", "_n"))
             found = found.groupBy(*keys).agg(
@@ -342,41 +333,37 @@ def _past_picks(sets, edges, n_nodes, scope, inline_degree):
     node's own neighbours (``local``) or among all other nodes (``global``). Unused
     places of the member array are null.
     """
-    rows = sets.withColumn(
-        "_level", F.explode(F.sequence(F.lit(0), F.col("past_n").cast("int")))
-    ).withColumn(
-        "_x", (F.col("_a") + F.col("draw") * F.col("_b") + F.col("_level") * F.col("_c")) % PRIME
-    )
-    rows = with_numbers(rows, "_x", n=LARGEST_SET + 1)
+    rows = sets.withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("past_n").cast("int"))))
+    start = f"(_a + draw * _b + _level * _c) % {PRIME} AS _x"
+    rows = rows.selectExpr("*", start, *numbers("_x", n=LARGEST_SET + 1))
     slots = range(LARGEST_SET)
     spent = ["_x", *[f"_u{i}" for i in range(LARGEST_SET + 1)], *[f"_p{i}" for i in slots], *_KEYS, "past_n"]
 
     def picked(df, choices):
         """Add ``_p0 .. _p3``: 0-based choices, null beyond the number of picks."""
-        size = below(F.col("_u0"), F.lit(LARGEST_SET))
-        return df.withColumns(
-            {f"_p{i}": F.when(size >= i, below(F.col(f"_u{i + 1}"), choices)) for i in slots}
-        )
+        size = below("_u0", LARGEST_SET)
+        picks = [f"IF({size} >= {i}, {below(f'_u{i + 1}', choices)}, NULL) AS _p{i}" for i in slots]
+        return df.selectExpr("*", *picks)
 
     def with_members(df, node_of):
-        picks = F.array(*[node_of(F.col(f"_p{i}")) for i in slots])
-        return df.withColumn("members", F.when(F.col("_level") == 0, F.col("members")).otherwise(picks))
+        picks = ", ".join(node_of(f"_p{i}") for i in slots)
+        return df.withColumn("members", F.expr(f"IF(_level = 0, members, array({picks}))"))
 
     if scope == "global":
-        return with_members(picked(rows, F.lit(n_nodes - 1)), _other).drop(*spent)
+        return with_members(picked(rows, n_nodes - 1), _other).drop(*spent)
 
     longest = max_degree(edges)
     if longest <= inline_degree:
         lists = materialise(node_map(edges, inline_degree), "neighbours")
         lists = sized(lists, scale.BROADCAST_ROWS // max(longest, 1))
-        rows = picked(rows.join(lists, "node"), F.size("neighbours"))
-        return with_members(rows, lambda p: F.get("neighbours", p.cast("int"))).drop(*spent, "neighbours")
+        rows = picked(rows.join(lists, "node"), "size(neighbours)")
+        return with_members(rows, lambda p: f"get(neighbours, int({p}))").drop(*spent, "neighbours")
 
     degrees = edges.groupBy(F.col("src").alias("node")).agg(F.count("dst").alias("_degree"))
     ranked = ranked_neighbours(edges).select(
         F.col("src").alias("node"), F.col("pos").alias("_index"), "dst"
     )
-    past = picked(rows.where("_level > 0").join(degrees, "node"), F.col("_degree"))
+    past = picked(rows.where("_level > 0").join(degrees, "node"), "_degree")
     past = past.withColumn("_index", F.explode(F.array(*[f"_p{i}" for i in slots])))
     past = past.join(ranked, ["node", "_index"]).withColumn("members", F.array("dst"))
     return rows.where("_level = 0").drop(*spent).unionByName(past.drop(*spent, "_degree", "_index", "dst"))
