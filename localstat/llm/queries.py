@@ -1,6 +1,14 @@
 """Registered queries of the training-data operators, and the SQL of those that have one."""
 
-from localstat.llm import minhash
+from pyspark.sql import functions as F
+
+from localstat.llm import bpe, minhash, packing
+
+
+def _vocabulary(name="word_bpe_49k.json"):
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark, sf_dir, name):
@@ -11,6 +19,20 @@ def op2_minhash_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, threshold_percent=85)
 
 
+def op3_bpe_chunk_reuse(spark, sf_dir):
+    rows = bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary())
+    return rows.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op9_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
