@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from localstat.llm import bpe, langid, minhash, packing
+from localstat.llm import bpe, langid, minhash, packing, quality
 
 
 def _vocabulary(name="word_bpe_49k.json"):
@@ -33,6 +33,10 @@ def op7_language_naive_bayes(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark, sf_dir):
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary())
 
