@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from localstat.llm import bpe, langid, minhash, packing, quality
+from localstat.llm import bpe, digest, langid, minhash, packing, quality
 
 
 def _vocabulary(name="word_bpe_49k.json"):
@@ -29,6 +29,10 @@ def op3_bpe_chunk_reuse(spark, sf_dir):
     )
 
 
+def op4_quartile_digest(spark, sf_dir):
+    return digest.edits(_table(spark, sf_dir, "documents"))
+
+
 def op7_language_naive_bayes(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
