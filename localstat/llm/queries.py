@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from localstat.llm import bpe, digest, langid, minhash, packing, quality
+from localstat.llm import bpe, digest, langid, minhash, packing, quality, sanitise
 
 
 def _vocabulary(name="word_bpe_49k.json"):
@@ -45,6 +45,17 @@ def op9_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op10_sanitise(spark, sf_dir):
+    rows = sanitise.find(_table(spark, sf_dir, "documents"))
+    n = [sanitise.count_of(k, "base").alias(f"n_{k}") for k in sanitise.KINDS]
+    return rows.select(
+        "doc_id",
+        *n,
+        F.sha2(sanitise.spans_text("base"), 256).alias("base_sha256"),
+        sanitise.spans_text("spans").alias("spans"),
+    )
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
