@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from localstat.llm import bpe, digest, langid, minhash, packing, quality, sanitise
+from localstat.llm import bpe, crosspolytope, digest, langid, minhash, packing, quality, sanitise
 
 
 def _vocabulary(name="word_bpe_49k.json"):
@@ -33,6 +33,11 @@ def op4_quartile_digest(spark, sf_dir):
     return digest.edits(_table(spark, sf_dir, "documents"))
 
 
+def op6_cross_polytope_neighbours(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return crosspolytope.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op7_language_naive_bayes(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
