@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from localstat.llm import bpe, crosspolytope, digest, langid, minhash, packing, quality, sanitise
+from localstat.llm import bpe, crosspolytope, digest, html, langid, minhash, packing, quality, sanitise
 
 
 def _vocabulary(name="word_bpe_49k.json"):
@@ -15,6 +15,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_boosted_trees(spark, sf_dir):
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_minhash_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, threshold_percent=85)
 
