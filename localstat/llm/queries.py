@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from localstat.llm import bpe, crosspolytope, digest, html, langid, minhash, packing, quality, sanitise
+from localstat.llm import bpe, crosspolytope, digest, html, langid, minhash, packing, quality, sanitise, warc
 
 
 def _vocabulary(name="word_bpe_49k.json"):
@@ -37,6 +37,16 @@ def op4_quartile_digest(spark, sf_dir):
     return digest.edits(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_derivatives(spark, sf_dir):
+    records = warc.derive(warc.responses(_table(spark, sf_dir, "pages")), keep=["page_id"])
+    return records.select(
+        "page_id",
+        *[c for c in warc.COLUMNS if c != "block"],
+        warc.header(F.col).alias("header"),
+        F.decode("block", "utf-8").alias("block"),
+    )
+
+
 def op6_cross_polytope_neighbours(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings")
     return crosspolytope.search(vectors, vectors.where("vec_id % 20 = 0"), k=20)
