@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from localstat.llm.text import slices
+from localstat.llm.text import kept_columns, slices
 
 BUCKETS, N = 1 << 15, 3
 SMOOTHING = 1.0
@@ -102,36 +102,37 @@ def fit(rows):
     return [r[0] for r in found], matrix, np.log(priors / max(priors.sum(), 1)) if len(found) else priors
 
 
-def predict(docs, model):
-    """``docs(doc_id, text)`` to ``doc_id, lang_pred, score``.
+def predict(docs, model, keep=("doc_id",)):
+    """The columns ``keep`` of ``docs``, then ``lang_pred`` and ``score`` of its column ``text``.
 
     ``score`` is the posterior of the predicted language. Texts that are null or have no
     letter, and all texts under a model without languages, are ``und`` with score 0.
     Ties go to the language that sorts first. Other columns are never read; repeated rows
     are scored each.
     """
+    keep = list(keep)
+    schema = kept_columns(docs, keep, "lang_pred", "score")
     langs, matrix, priors = model
     shared = docs.sparkSession.sparkContext.broadcast((np.array([*langs, UNDETERMINED]), matrix, priors))
 
     def run(batches):
         names, table, prior = shared.value
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(1), limit=1 << 19):
+            for lo, hi, data, offsets in slices(batch.column(len(keep)), limit=1 << 19):
                 buckets, first = ngrams(data, offsets)
-                n = np.diff(first)
                 best, score = np.full(hi - lo, len(names) - 1), np.zeros(hi - lo)
-                some = np.flatnonzero(n)
+                some = np.flatnonzero(np.diff(first))
                 if len(some) and len(names) > 1:
                     sums = np.add.reduceat(table[buckets], first[some], axis=0, dtype=np.float64)
                     sums = prior + sums * WEIGHT
                     best[some] = sums.argmax(1)
-                    odds = np.exp(sums - sums.max(1, keepdims=True))
-                    score[some] = 1 / odds.sum(1)
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(names[best].tolist(), pa.string()), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score"])
+                    score[some] = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
+                kept = [batch.column(k).slice(lo, hi - lo) for k in range(len(keep))]
+                found = [pa.array(names[best].tolist(), pa.string()), pa.array(score)]
+                yield pa.RecordBatch.from_arrays([*kept, *found], names=[*keep, "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def held_out(doc_id="doc_id"):
@@ -139,7 +140,6 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("bigint").cast("string")) % 4 == 2, F.lit(True))
 
 
-def identify(docs):
-    """Learn from the documents not held out and predict all: ``doc_id, held_out, lang_pred, score``."""
-    model = fit(docs.where(~held_out()))
-    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+def identify(docs, keep=("doc_id",)):
+    """Learn from the documents not held out and predict all."""
+    return predict(docs, fit(docs.where(~held_out())), keep)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from localstat.llm import trees
-from localstat.llm.text import slices, span_hashes, word_spans
+from localstat.llm.text import kept_columns, slices, span_hashes, word_spans
 
 SAMPLE = 20_000
 PENALTY = 1e-3
@@ -74,18 +74,22 @@ def statistics(data, offsets):
     )
 
 
-def with_statistics(docs):
-    """``docs(doc_id, text)`` to ``doc_id`` and one double column per statistic."""
+def with_statistics(docs, keep=("doc_id",)):
+    """The columns ``keep`` of ``docs`` and a struct ``statistics`` of its column ``text``."""
+    keep = list(keep)
+    schema = kept_columns(docs, keep, "statistics")
+    fields = ", ".join(f"{s}: double" for s in STATISTICS)
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(1)):
+            for lo, hi, data, offsets in slices(batch.column(len(keep))):
                 found = statistics(data, offsets)
-                columns = [pa.array(found[:, k]) for k in range(len(STATISTICS))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], names=["doc_id", *STATISTICS])
+                struct = pa.StructArray.from_arrays([pa.array(c) for c in found.T], names=STATISTICS)
+                kept = [batch.column(k).slice(lo, hi - lo) for k in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, struct], names=[*keep, "statistics"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{s} double" for s in STATISTICS))
+    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    return rows.mapInArrow(run, f"{schema}, statistics struct<{fields}>")
 
 
 def _holds(rule, x):
@@ -134,7 +138,7 @@ def compiled(model):
     for rule, weight in rules:
         holds = F.lit(True)
         for f, sign, t in rule:
-            c = F.col(STATISTICS[f])
+            c = F.col(f"statistics.{STATISTICS[f]}")
             holds = holds & ((c <= t) if sign == "<=" else (c > t))
         log_odds = log_odds + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
     return 1 / (1 + F.exp(-log_odds))
@@ -157,22 +161,18 @@ def fit(docs, labels, sample=SAMPLE):
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ids = rows.select("doc_id").distinct()  # at most ``sample`` rows, so both may be broadcast
     found = with_statistics(texts.join(F.broadcast(ids), "doc_id")).join(F.broadcast(rows), "doc_id")
-    table = found.select("y", *STATISTICS).limit(4 * sample).toArrow()
+    table = found.select("y", "statistics.*").limit(4 * sample).toArrow()
     x = np.column_stack([table.column(s).to_numpy() for s in STATISTICS])
     return fit_rules(x, (table.column("y").to_numpy() > 0).astype(np.float64))
 
 
-def score(docs, labels, sample=SAMPLE):
-    """``docs`` scored: ``doc_id, held_out, score, predicted``.
+def score(docs, labels, sample=SAMPLE, keep=("doc_id",)):
+    """``docs`` scored: the columns ``keep``, then ``score`` and ``predicted``.
 
     Null and empty texts have zero statistics and get the score of those. Without usable
     labels every score is 0.5. Other columns of ``docs`` are never read; repeated rows are
     scored each; an empty table gives an empty one.
     """
-    stats = with_statistics(docs).select("doc_id", compiled(fit(docs, labels, sample)).alias("score"))
-    return stats.select(
-        "doc_id",
-        held_out().alias("held_out"),
-        "score",
-        F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
-    )
+    kept_columns(docs, keep, "score", "predicted")
+    stats = with_statistics(docs, keep).select(*keep, compiled(fit(docs, labels, sample)).alias("score"))
+    return stats.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))

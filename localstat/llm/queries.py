@@ -53,11 +53,13 @@ def op6_cross_polytope_neighbours(spark, sf_dir):
 
 
 def op7_language_naive_bayes(spark, sf_dir):
-    return langid.identify(_table(spark, sf_dir, "documents"))
+    rows = langid.identify(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op8_quality_rules(spark, sf_dir):
-    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    rows = quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
 def op9_packing(spark, sf_dir):

@@ -110,3 +110,10 @@ def shingles(data, offsets, size):
         here = words[np.minimum(at + i, max(len(words) - 1, 0))] if len(words) else words
         result = np.where(i < width, mix(result * np.uint64(0xD6E8FEB86659FD93) + here), result)
     return result, out_first
+
+
+def kept_columns(docs, keep, *added):
+    """Schema text of the columns to carry along, which may not be named like added ones."""
+    if clash := {k.lower() for k in keep} & {a.lower() for a in added}:
+        raise ValueError(f"columns {sorted(clash)} are added here and cannot be carried")
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for k in keep for f in docs.schema.fields if f.name == k)
