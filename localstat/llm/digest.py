@@ -12,6 +12,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from localstat.llm.text import SLICE_BYTES, slices
 
@@ -95,7 +96,7 @@ def compare(pairs):
                 [*batch.columns, pa.array(likeness(a, b))], names=[*batch.schema.names, "likeness"]
             )
 
-    return pairs.mapInArrow(run, pairs.schema.add("likeness", "double"))
+    return pairs.mapInArrow(run, T.StructType([*pairs.schema, T.StructField("likeness", T.DoubleType())]))
 
 
 def edited(text, following):

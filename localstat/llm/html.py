@@ -190,7 +190,7 @@ def features(page):
             node.tag in ("table", "tbody", "tr", "td", "th"), named_main, named_away,
         )
         if up >= 0:
-            row[9] = x[up, 9] or x[up, 0]
+            row[9] = x[up, 9] or x[up, 0] or x[up, 7]
             row[10] = x[up, 10] or x[up, 1] or x[up, 8]
             brothers = nodes[up].children
             row[20] = chars / max(total[up, 0], 1)
@@ -223,16 +223,20 @@ def decode(page, chance):
     return kept
 
 
-def taught(page):
-    """Node labels read from the page's own marks, or nothing if it has none."""
-    if not any(n.tag in _MAIN_TAGS for n in page.nodes):
+def taught(page, named=False):
+    """Node labels read from the page's own marks, or nothing if it has none.
+
+    Main text is what stands in the elements for it, or ``named`` so, outside of other parts.
+    """
+    mark = [bool(n.words & _MAIN) if named else n.tag in _MAIN_TAGS for n in page.nodes]
+    if not any(mark):
         return None
     state = ["out"] * len(page.nodes)
     for i, n in enumerate(page.nodes):
         above = state[n.parent] if n.parent >= 0 else "out"
-        if above == "away" or n.tag in _AWAY_TAGS or (n.words & _AWAY and n.tag not in _MAIN_TAGS):
+        if above == "away" or n.tag in _AWAY_TAGS or (n.words & _AWAY and not mark[i]):
             state[i] = "away"
-        elif above == "in" or n.tag in _MAIN_TAGS:
+        elif above == "in" or mark[i]:
             state[i] = "in"
     holds = np.zeros(len(page.nodes), bool)
     for node, _ in page.blocks:
@@ -243,7 +247,7 @@ def taught(page):
 
 
 def templates():
-    """Pages made of common parts; their main text stands in ``<main>`` or ``<article>``."""
+    """Pages made of common parts, and whether a name marks their main text, not an element."""
     word = ["lorem", "ipsum", "dolor", "sit", "amet", "tempor", "magna", "aliqua", "erat", "vero"]
     rng = np.random.default_rng(7)
 
@@ -268,14 +272,19 @@ def templates():
         before, inside, after = (
             "".join(asides[i] for i in rng.integers(0, len(asides), rng.integers(0, 4))) for _ in range(3)
         )
-        tag = MAIN_TAGS[k % 2]
+        named = k % 2 == 1
+        tag = "div" if named else MAIN_TAGS[k % 4 // 2]
+        about = f' class="{MAIN_WORDS[k % len(MAIN_WORDS)]}"' if named else ""
         inside = inside if k % 3 == 0 else ""
-        yield f"<html><body>{before}<{tag}><h1>{prose(6)}</h1>{body}{inside}</{tag}>{after}</body></html>"
+        head = f"<h1>{prose(int(rng.integers(1, 9)))}</h1>"
+        main = f"<{tag}{about}>{head}{body}{inside}</{tag}>"
+        main = f"<div>{before}{main}{after}</div>" if k % 5 == 0 else f"{before}{main}{after}"
+        yield f"<html><body>{main}</body></html>", named
 
 
-def _taught_rows(text):
+def _taught_rows(text, named=False):
     page = parse(text)
-    holds = taught(page)
+    holds = taught(page, named)
     if holds is None or not page.blocks:
         return np.zeros((0, len(FEATURES) + 1))
     x = features(page)
@@ -295,7 +304,7 @@ def fit(pages, sample=SAMPLE):
                 yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], names=["rows"])
 
     own = [np.frombuffer(r.rows).reshape(-1, len(FEATURES) + 1) for r in chosen.mapInArrow(run, "rows binary").collect()]
-    rows = np.concatenate([*own, *map(_taught_rows, templates())])
+    rows = np.concatenate([*own, *(_taught_rows(*t) for t in templates())])
     hidden = rows.copy()
     hidden[:, MARKED] = 0
     rows = np.concatenate([rows, rows, hidden])

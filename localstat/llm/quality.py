@@ -117,11 +117,12 @@ def _lasso(x, y, penalty, steps=400):
 
 def fit_rules(x, y):
     """Rules with their weights, and the intercept, out of a sample's statistics and labels."""
-    if not len(y) or y.min() == y.max():  # nothing to tell apart: the share of label 1
+    mixed = len(y) and y.min() < y.max()
+    model = trees.fit(x, y, n_trees=30, depth=3, rate=0.3)[0] if mixed else []
+    rules = sorted({rule for tree in model for rule in tree.paths()})
+    if not rules:  # nothing to tell apart: the share of label 1
         share = (y.sum() + 1) / (len(y) + 2)
         return [], float(np.log(share / (1 - share)))
-    model, _ = trees.fit(x, y, n_trees=30, depth=3, rate=0.3)
-    rules = sorted({rule for tree in model for rule in tree.paths()})
     held = {}
     for rule in rules:  # rules that hold for the same rows are one; the shorter one stays
         held.setdefault(_holds(rule, x).tobytes(), []).append(rule)

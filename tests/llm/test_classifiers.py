@@ -1,0 +1,119 @@
+import math
+from collections import Counter
+from zlib import crc32
+
+import numpy as np
+import pytest
+
+from localstat.llm import langid, quality, trees
+from localstat.llm.text import slices
+from tests.llm.conftest import documents
+
+
+def flat(texts):
+    import pyarrow as pa
+
+    return next((d, o) for _, _, d, o in slices(pa.array(texts)))
+
+
+def test_language_held_out_accuracy(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = langid.identify(docs, keep=["doc_id", "lang"]).withColumn("held_out", langid.held_out()).collect()
+    own = [r for r in rows if r.held_out]
+    assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert len(own) > 20 and np.mean([r.lang == r.lang_pred for r in own]) >= 0.95
+
+
+def test_naive_bayes_equals_brute_force(spark):
+    train = [("a", "Na nana no"), ("a", "nono na!"), ("b", "Titi te"), (None, "na"), ("b", None), ("b", "TE 12 ti")]
+    langs, matrix, priors = langid.fit(spark.createDataFrame(train, "lang string, text string"))
+    assert langs == ["a", "b"]
+    assert priors == pytest.approx(np.log([0.5, 0.5]))
+    counts = {k: np.ones(langid.BUCKETS) for k in langs}
+    for lang, text in train:
+        if lang and text:
+            for bucket, n in Counter(langid.ngrams(*flat([text]))[0].tolist()).items():
+                counts[lang][bucket] += n
+    text = "na ti no"
+    seen = langid.ngrams(*flat([text]))[0]
+    sums = [math.log(0.5) + sum(np.log(counts[k][seen] / counts[k].sum())) / langid.N for k in langs]
+    (row,) = langid.predict(documents(spark, [(1, text)]).drop("score"), (langs, matrix, priors)).collect()
+    assert row.lang_pred == "a"
+    assert row.score == pytest.approx(1 / sum(np.exp(np.array(sums) - max(sums))), rel=1e-4)
+
+
+def test_ngrams_by_hand():
+    buckets, first = langid.ngrams(*flat(["Ab, c", "", "ab  C!!"]))
+    assert first.tolist()[2] - first.tolist()[1] == 0
+    assert buckets[: first[1]].tolist() == buckets[first[2] :].tolist()  # case and signs don't matter
+    assert first[1] == 5 + 4 + 3  # "ab c " with its spaces
+
+
+def test_language_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "12 !?"), (None, "hello there"), (5, "hello " * 40_000), (5, "hello there")]
+    docs = documents(spark, [*rows, (8, "hello hello")]).drop("score")
+    got = {(r.doc_id, r.lang_pred) for r in langid.identify(docs).collect()}
+    assert got == {(1, "und"), (2, "und"), (3, "und"), (None, "en"), (5, "en"), (8, "en")}
+    untaught = langid.predict(docs, langid.fit(docs.limit(0).select("lang", "text"))).collect()
+    assert {(r.lang_pred, r.score) for r in untaught} == {("und", 0.0)}
+    assert langid.identify(docs.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        langid.predict(documents(spark, rows), ([], None, None), keep=["score"])
+
+
+def test_quality_held_out_accuracy(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.score(docs, labels).withColumn("held_out", quality.held_out()).join(labels, "doc_id").collect()
+    own = [r for r in rows if r.held_out]
+    assert all(r.held_out == (crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(r.predicted == int(r.score >= 0.3) for r in rows)
+    assert len(own) > 40 and np.mean([r.quality == r.predicted for r in own]) >= 0.9
+
+
+def test_statistics_by_hand(spark):
+    (row,) = quality.with_statistics(documents(spark, [(1, "Ab ab! ab!\n|9 é")])).select("statistics.*").collect()
+    assert row.chars == pytest.approx(np.log1p(15)) and row.words == pytest.approx(np.log1p(5))
+    assert (row.upper, row.bars, row.digits) == pytest.approx((1 / 8, 1 / 15, 1 / 15))
+    assert (row.repeats, row.distinct, row.top_word) == pytest.approx((1 / 5, 4 / 5, 2 / 5))
+    assert row.lines == pytest.approx(np.log1p(2)) and row.shouts == pytest.approx(2 / 15)
+
+
+def test_compiled_rules_equal_arrays(spark):
+    rules = [(((1, "<=", 1.5), (4, ">", 0.1)), 2.0), (((0, ">", 2.0),), -0.7)]
+    rows = [(i, t) for i, t in enumerate(["", "A b c d", "hello WORLD", "x " * 50, None])]
+    stats = quality.with_statistics(documents(spark, rows))
+    got = {r.doc_id: r.score for r in stats.select("doc_id", quality.compiled((rules, 0.3)).alias("score")).collect()}
+    x = {r[0]: np.array([list(r)[1:]]) for r in stats.select("doc_id", "statistics.*").collect()}
+    for i, row in x.items():
+        odds = 0.3 + sum(w for rule, w in rules if quality._holds(rule, row)[0])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-odds)))
+
+
+def test_quality_odd_rows(spark):
+    rows = [(1, None), (2, ""), (None, "some text"), (4, "WORD!! " * 30_000), (4, "again")]
+    docs = documents(spark, rows)
+    none = spark.createDataFrame([], "doc_id BIGINT, quality INT, toxic INT")
+    assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
+    odd = spark.createDataFrame([(1, None, 0), (None, 1, 0), (99, 1, 0), (4, 1, 0), (4, 1, 1), (2, 0, 1)], none.schema)
+    got = quality.score(docs, odd).collect()
+    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    assert quality.score(docs.limit(0), odd).collect() == []
+
+
+def test_lasso_is_sparse_and_trees_split():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, 6))
+    y = ((x[:, 2] > 0.6) & (x[:, 4] <= 0.5)).astype(float)
+    model = trees.fit(x, y, n_trees=20)
+    assert np.mean((trees.margins(model, x) > 0) == (y > 0)) > 0.98
+    rules, start = quality.fit_rules(x, y)
+    odds = start + sum(w * quality._holds(r, x) for r, w in rules)
+    assert np.mean((odds > 0) == (y > 0)) > 0.98 and len(rules) < 60
+    assert quality.fit_rules(x, np.ones(3000))[0] == []
+
+
+def test_sample_is_bounded(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rules, _ = quality.fit(docs, labels, sample=10)
+    assert isinstance(rules, list)

@@ -1,0 +1,69 @@
+import numpy as np
+import pytest
+
+from localstat.llm import crosspolytope as cp
+
+SCHEMA = "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT, key STRING, rank STRING"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], 0, "k", "r") for i, v in rows], SCHEMA)
+
+
+def brute_force(rows, queries, k):
+    out = {}
+    for q, v in queries:
+        scores = [(-float(np.dot(np.float64(np.float32(v)), np.float64(np.float32(x)))), i) for i, x in rows if i != q]
+        out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
+    return out
+
+
+def found(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r["rank"] == len(out[r.query_id])
+    return out
+
+
+def test_all_probes_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cp, "BLOCK", 40)
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(300, 6))
+    vectors[200:260] = vectors[0]  # one vector many times: ties by id
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    queries = [r for r in rows if r[0] % 20 == 0]
+    all_rows = frame(spark, rows)
+    got = found(cp.search(all_rows, all_rows.where("vec_id % 20 = 0"), k=5, probes=10**6))
+    expected = brute_force(rows, queries, 5)
+    assert {q: [i for i, _ in r] for q, r in got.items()} == {q: [i for i, _ in r] for q, r in expected.items()}
+    for q, r in got.items():
+        assert [s for _, s in r] == pytest.approx([s for _, s in expected[q]], abs=1e-12)
+
+
+def test_recall(spark, sf):
+    rows = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    got = found(cp.search(rows, rows.where("vec_id % 20 = 0"), k=20))
+    plain = [(r.vec_id, r.embedding) for r in rows.collect()]
+    expected = brute_force(plain, [r for r in plain if r[0] % 20 == 0], 20)
+    hits = [len({i for i, _ in got[q]} & {i for i, _ in r}) for q, r in expected.items()]
+    assert all(len(got[q]) == 20 for q in expected) and np.mean(hits) / 20 >= 0.9
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1, 0]), (1, [2, 1]), (1, [2, 1]), (2, None), (3, [0, 0]), (4, [nan, 1]), (5, [None, 1]), (6, [inf, 1])]
+    rows += [(7, []), (8, [1, 2, 3]), (None, [1, 1]), (20, [-1, 0.5])]
+    all_rows = frame(spark, rows)
+    got = found(cp.search(all_rows, all_rows.where("vec_id % 20 = 0"), k=20))
+    assert {q: [i for i, _ in r] for q, r in got.items()} == {0: [1, 20], 20: [0, 1]} or got[20][0][1] >= got[20][1][1]
+    assert set(got) == {0, 20} and all(len(r) == 2 for r in got.values())
+    assert cp.search(all_rows.limit(0), all_rows.limit(0)).collect() == []
+
+
+def test_rotation_keeps_lengths():
+    x = np.random.default_rng(0).normal(size=(10, 64)).astype(np.float32)
+    assert np.allclose(np.linalg.norm(cp.rotated(x, 3), axis=1), np.linalg.norm(x, axis=1), rtol=1e-4)
+    near = cp.axes(x, 3, 5)
+    y = np.concatenate([cp.rotated(x, 3), -cp.rotated(x, 3)], 1)
+    assert (near == np.argsort(-y, axis=1)[:, :5]).all()
