@@ -17,13 +17,17 @@ STEPS = [104729, 1299709, 15485863, 32452843, 49979687]
 
 
 def stream_keys(seed, *cols):
-    """Three 28-bit numbers for a key, as a struct ``(a, b, c)``."""
+    """Three numbers for a key, as a struct ``(a, b, c)``: a start and two steps.
+
+    The steps lie in 1 .. PRIME - 1, so draws of one stream start from different places.
+    """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
-    parts = [
-        F.conv(F.substring(digest, start, 7), 16, 10).cast("bigint").alias(name)
-        for name, start in (("a", 1), ("b", 8), ("c", 15))
-    ]
-    return F.struct(*parts)
+    part = [F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint") for start in (1, 9, 17)]
+    return F.struct(
+        (part[0] % PRIME).alias("a"),
+        (part[1] % (PRIME - 1) + 1).alias("b"),
+        (part[2] % (PRIME - 1) + 1).alias("c"),
+    )
 
 
 def power(x, step):

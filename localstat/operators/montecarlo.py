@@ -34,6 +34,8 @@ INLINE_DEGREE = 1_000
 SORT_STEPS = [(0, 1), (2, 3), (0, 2), (1, 3), (1, 2)]
 # Generated rows that one task should handle.
 DRAWS_PER_TASK = 2_000_000
+# Reduce partitions of one job; beyond it tasks get longer instead of more.
+MOST_TASKS = 100_000
 # Largest score array of one batch (8 MB): nodes times positions of the history.
 ARRAY_SCORES = 1_000_000
 
@@ -57,7 +59,7 @@ def _with_keys(df, by, seed):
 
 
 def _partitions(spark, work):
-    n = max(2 * spark.sparkContext.defaultParallelism, -(-work // DRAWS_PER_TASK))
+    n = max(2 * spark.sparkContext.defaultParallelism, min(-(-work // DRAWS_PER_TASK), MOST_TASKS))
     # A repartitioning equal to the one already in the plan would be dropped.
     return n + 1 if n == int(spark.conf.get("spark.sql.shuffle.partitions")) else n
 
@@ -121,6 +123,8 @@ def _drawn(keyed, by, choices, r, exclude_self):
 
 def _enumerated(keyed, by, choices, r, exclude_self):
     """All sets of one to four nodes in a seeded random order, at most ``r`` per key."""
+    if choices < 1:  # a single node has no set; the sequence below would count down
+        keyed, choices = keyed.where("false"), 1
     mask = F.col("_mask")
     masks = F.sequence(F.lit(1).cast("bigint"), F.lit(2**choices - 1).cast("bigint"))
     rows = keyed.withColumn("_mask", F.explode(masks)).where(F.bit_count(mask).between(1, LARGEST_SET))
@@ -158,8 +162,14 @@ def random_sets(keys, n_nodes, r, seed, by=("batch", "node"), exclude_self=True)
     Below 16 nodes the sets are enumerated, and all of them are returned when there are
     fewer than ``r``; otherwise asking for more than exist is an error.
     """
+    keys = materialise(keys, "keys")
     work = keys.count() * _draws_per_key(n_nodes, r, exclude_self)
-    return _sets(_spread(keys, by, work), by, n_nodes, r, seed, exclude_self).drop(*_KEYS)
+    sets = _sets(_spread(keys, by, work), by, n_nodes, r, seed, exclude_self).drop(*_KEYS)
+    if n_nodes < ENUMERATE_BELOW:
+        return sets
+    short = F.raise_error(F.lit("too few distinct sets drawn; use another seed")).cast("int")
+    found = F.max("draw").over(Window.partitionBy(*by)) + 1
+    return sets.withColumn("draw", F.when(found == r, F.col("draw")).otherwise(short))
 
 
 def nest_sets(sets, by=("batch", "node")):
@@ -203,6 +213,9 @@ class _Scores:
     """Scores of drawn members, looked up in arrays or, for huge graphs, by a join."""
 
     def __init__(self, z, n_nodes, levels=1):
+        place = [c for c in ("batch", "lag", "node") if c in z.columns]
+        if z.groupBy(*place).count().where("count > 1").limit(1).count():
+            raise ValueError("more than one reading of a node in a batch")
         self.z, self.arrays, self.n_nodes, self.copies = z, None, n_nodes, None
         if n_nodes * levels <= ARRAY_SCORES:
             self.arrays = materialise(score_arrays(z, n_nodes), "scores")
@@ -354,9 +367,10 @@ def _past_picks(sets, edges, n_nodes, scope, inline_degree):
 
     longest = max_degree(edges)
     if longest <= inline_degree:
-        lists = materialise(node_map(edges, inline_degree), "neighbours")
+        lists = materialise(node_map(edges, inline_degree).drop("part"), "neighbours")
         lists = sized(lists, scale.BROADCAST_ROWS // max(longest, 1))
-        rows = picked(rows.join(lists, "node"), "size(neighbours)")
+        # A node without outgoing edges has no list: it keeps its sets and picks nothing.
+        rows = picked(rows.join(lists, "node", "left"), "size(neighbours)")
         return with_members(rows, lambda p: f"get(neighbours, int({p}))").drop(*spent, "neighbours")
 
     degrees = edges.groupBy(F.col("src").alias("node")).agg(F.count("dst").alias("_degree"))
@@ -377,14 +391,23 @@ def temporal_lisa_mc(
     A simulated value averages the scores of a random set and, for each of the node's
     past positions, of one to four random nodes' scores at that position.
     """
+    hist = history_arrays(obs, k)
+    return temporal_mc_from_history(hist, edges, n_nodes, k, r, seed, scope, anchor, inline_degree)
+
+
+def temporal_mc_from_history(
+    hist, edges, n_nodes, k, r, seed, scope="local", anchor="oldest", inline_degree=INLINE_DEGREE
+):
+    """The same out of ready-made histories ``vals`` of at most ``k`` values, as a stream keeps them."""
     if scope not in ("local", "global"):
         raise ValueError("scope is 'local' or 'global'")
-    z_rows = past_standardise(lag_rows(history_arrays(obs, k), anchor))
+    z_rows = past_standardise(lag_rows(hist, anchor))
     z_rows = materialise(z_rows.select("batch", "node", "lag", "z"), "z")
     lagged = temporal_lag(z_rows, edges)
     lisa = lagged.withColumn("lisa", F.col("z") * F.col("lag")).drop("lag")
     scores = _Scores(z_rows, n_nodes, k)
-    placed = scores.place(lisa, z_rows.where("lag = 0").count(), _draws_per_key(n_nodes, r))
+    # Every draw has a row per position of the history.
+    placed = scores.place(lisa, z_rows.count(), _draws_per_key(n_nodes, r))
     sets = _sets(placed, ["batch", "node"], n_nodes, r, seed)
     means = scores.means(_past_picks(sets, edges, n_nodes, scope, inline_degree))
     return _complete(rank_position(simulated_lisa(means)), n_nodes, r)

@@ -7,7 +7,7 @@ Durations are rows with ``seconds`` and whatever keys the summary groups by, suc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from localstat.plans.scale import quantiles, running_weight
+from localstat.plans.scale import null_safe_join, quantiles, running_weight
 
 # Fixed text that marks a duration line in the scheduler's log.
 DELAY_MARK = "JobScheduler: Total delay"
@@ -59,7 +59,7 @@ def duration_summary(durations, by, hot_rows=None):
         F.stddev_pop("seconds").alias("std_dev"),
     )
     quartiles = quantiles(durations, by, "seconds", [0.25, 0.5, 0.75], hot_rows)
-    return basic.join(quartiles, by).select(
+    return null_safe_join(basic, quartiles, by, "left").select(
         *by,
         "min",
         F.col("q0").alias("p25"),
@@ -71,19 +71,35 @@ def duration_summary(durations, by, hot_rows=None):
     )
 
 
-def run_averages_wide(durations, n_runs):
-    """Per station count the average of each of its runs, as ``avg1 .. avgN``."""
+def _unlisted(what):
+    return F.raise_error(F.lit(f"{what} without a column of its own; use the long form"))
+
+
+def run_averages(durations):
+    """Average of every run, numbered from 1 per station count in order of the run."""
     averages = durations.groupBy("base", "run").agg(F.avg("seconds").alias("avg"))
     order = Window.partitionBy("base").orderBy("run")
-    numbered = averages.withColumn("_no", F.row_number().over(order))
-    return numbered.groupBy("base").agg(
-        *[F.max(F.when(F.col("_no") == i, F.col("avg"))).alias(f"avg{i}") for i in range(1, n_runs + 1)]
-    )
+    return averages.select("base", F.row_number().over(order).alias("no"), "avg")
+
+
+def run_averages_wide(durations, n_runs):
+    """The same side by side, as ``avg1 .. avgN``; more than ``n_runs`` runs are an error."""
+    columns = [F.max(F.when(F.col("no") == i, F.col("avg"))).alias(f"avg{i}") for i in range(1, n_runs + 1)]
+    wide = run_averages(durations).groupBy("base").agg(F.max("no").alias("_runs"), *columns)
+    base = F.when(F.col("_runs") <= n_runs, F.col("base")).otherwise(_unlisted("a run"))
+    return wide.select(base.alias("base"), *[f"avg{i}" for i in range(1, n_runs + 1)])
+
+
+def history_averages(durations):
+    """Average duration per history length and station count."""
+    return durations.groupBy("k", "base").agg(F.avg("seconds").alias("avg"))
 
 
 def history_pivot(durations, bases=STATION_COUNTS):
-    """Average duration per history length and station count, and the mean of these."""
-    averages = durations.groupBy("k", "base").agg(F.avg("seconds").alias("avg"))
+    """The same with a column per station count, and their mean; other counts are an error."""
+    listed = F.coalesce(F.col("base").isin(list(bases)), F.lit(False))
+    averages = history_averages(durations)
+    averages = averages.withColumn("avg", F.when(listed, F.col("avg")).otherwise(_unlisted("a station count")))
     return averages.groupBy("k").agg(
         *[F.max(F.when(F.col("base") == b, F.col("avg"))).alias(f"base_{b}") for b in bases],
         F.avg("avg").alias("avg"),
@@ -95,9 +111,17 @@ def topology_averages(durations):
     return durations.groupBy("topology").agg(F.avg("seconds").alias("avg"))
 
 
-def run_series_wide(durations, runs, order=("batch",), hot_rows=None):
-    """Durations side by side: row i holds the i-th batch of every run."""
+def run_series(durations, order=("batch",), hot_rows=None):
+    """Durations numbered by batch within their run: ``idx, run, seconds``."""
     series = running_weight(durations, ["run"], order, "idx", hot_rows=hot_rows)
+    return series.select("idx", "run", "seconds")
+
+
+def run_series_wide(durations, runs, order=("batch",), hot_rows=None):
+    """The same side by side: row i holds the i-th batch of every run; other runs are an error."""
+    listed = F.coalesce(F.col("run").isin(list(runs)), F.lit(False))
+    run = F.when(listed, F.col("run")).otherwise(_unlisted("a run"))
+    series = run_series(durations, order, hot_rows).withColumn("run", run)
     return series.groupBy("idx").pivot("run", list(runs)).agg(F.first("seconds"))
 
 

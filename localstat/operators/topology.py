@@ -24,18 +24,38 @@ def max_degree(edges):
 
 
 def node_map(edges, longest=10_000):
-    """Node -> sorted list of its neighbours.
+    """Node -> sorted list of its neighbours, as ``node, part, neighbours``.
 
-    The list of one node lives in one row, so a node with more than ``longest``
-    neighbours is refused rather than gathered; the edge table itself has no limit.
+    A list has at most ``longest`` neighbours; a hub has several rows, numbered by ``part``
+    from 0 and sorted over all parts, so no row grows with the graph.
     """
+    placed = edges.select("src", "dst", F.lit(0).cast("bigint").alias("pos"))
     if max_degree(edges) > longest:
-        raise ValueError(f"a node has more than {longest} neighbours; use the edge table")
-    return edges.groupBy(F.col("src").alias("node")).agg(
+        placed = ranked_neighbours(edges)
+    part = F.floor(F.col("pos") / longest)
+    return placed.groupBy(F.col("src").alias("node"), part.alias("part")).agg(
         F.sort_array(F.collect_list("dst")).alias("neighbours")
     )
 
 
+def dense_ids(nodes):
+    """Nodes numbered 1..N in order of their id, as ``node, id``; null ids are left out.
+
+    The Monte Carlo functions address nodes by number: renumber readings and edges whose ids
+    have gaps with :func:`renumbered`.
+    """
+    known = nodes.select("node").where("node is not null").distinct().withColumn("_all", F.lit(0))
+    return running_weight(known, ["_all"], ["node"], "id").select("node", "id")
+
+
+def renumbered(df, ids, *columns):
+    """Replace node ids in ``columns`` by their numbers; rows with an unknown id are dropped."""
+    for c in columns:
+        numbers = ids.select(F.col("node").alias(c), F.col("id").alias("_id"))
+        df = df.join(numbers, c).drop(c).withColumnRenamed("_id", c)
+    return df
+
+
 def grid_edges(nodes, width):
     """Rook contiguity: nodes 1..N laid out row by row on a grid of ``width`` columns."""
     node, column = F.col("node"), (F.col("node") - 1) % width
@@ -110,11 +130,13 @@ def graph_json(nodes, edges):
     return node_rows.unionByName(link_rows)
 
 
-def check_topology(nodes, edges, stations=None, max_degree=4):
+def check_topology(nodes, edges, stations=None, max_degree=4, elements=None):
     """Violations of the topology rules, as rows ``(rule, node, n)``.
 
     Rules: node ids are unique, a node lists a neighbour at most once and at most
-    ``max_degree`` of them, and every node named by an edge or a station exists.
+    ``max_degree`` of them, and every node named by an edge or a station exists. With
+    ``elements``, one row ``id`` per node and station element, ids such as ``node7`` must be
+    unique over all of them; ``node`` is then the number in the id.
     """
     known = nodes.select("node").distinct()
 
@@ -142,6 +164,10 @@ def check_topology(nodes, edges, stations=None, max_degree=4):
     ]
     if stations is not None:
         found.append(unknown("unknown_station_node", stations.select("node")))
+    if elements is not None:
+        repeated = elements.groupBy("id").count().where("count > 1")
+        number = F.regexp_extract("id", r"(\d+)$", 1)
+        found.append(violations("duplicate_element_id", repeated.withColumn("node", number.try_cast("bigint"))))
     result = found[0]
     for part in found[1:]:
         result = result.unionByName(part)

@@ -77,10 +77,9 @@ def numbers(source, prefix, extra="", n=5):
 
 def keyed(source, key):
     digest = f"md5('{SEED}:' || {key})"
-    parts = ", ".join(
-        f"CAST('0x' || substr({digest}, {start}, 7) AS BIGINT) AS {name}"
-        for name, start in (("a", 1), ("b", 8), ("c", 15))
-    )
+    part = {n: f"CAST('0x' || substr({digest}, {start}, 8) AS BIGINT)" for n, start in (("a", 1), ("b", 9), ("c", 17))}
+    steps = ", ".join(f"{part[n]} % {PRIME - 1} + 1 AS {n}" for n in "bc")
+    parts = f"{part['a']} % {PRIME} AS a, {steps}"
     return f"SELECT *, {parts} FROM {source}"
 
 
@@ -440,11 +439,7 @@ def oracle_sql():
         "write_batches": sql(lisa_rows, *BASE),
         "stream_observations": sql("SELECT event_id, batch, node, value FROM readings", "readings"),
         "stream_spatial_lisa": sql(lisa_rows, *BASE),
-        "stream_window_lisa": sql(
-            f"""{lisa_rows} WHERE CAST(batch AS TIMESTAMP) + INTERVAL 1 DAY
-            <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
-            *BASE,
-        ),
+        "stream_window_lisa": sql(lisa_rows, *BASE),
         "stream_history": f"""
             SELECT event_id, node, CAST(len(vals) AS INTEGER) AS n, {values} FROM (
               SELECT event_id, user_id + 1 AS node, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
@@ -504,5 +499,17 @@ def oracle_sql():
             FROM durations) GROUP BY idx""",
             "durations",
         ),
+        "run_averages": sql(
+            f"""SELECT base, row_number() OVER (PARTITION BY base ORDER BY run) AS no, {r6('a', 'avg')}
+            FROM (SELECT base, run, avg(seconds) AS a FROM durations GROUP BY base, run)""",
+            "durations",
+        ),
+        "history_averages": sql(f"SELECT k, base, {r6('avg(seconds)', 'avg')} FROM durations GROUP BY k, base", "durations"),
+        "run_series": sql(
+            "SELECT row_number() OVER (PARTITION BY run ORDER BY batch, event_id) AS idx, run, seconds FROM durations",
+            "durations",
+        ),
+        "stream_temporal_mc_local": temporal_mc("local"),
+        "stream_temporal_mc_global": temporal_mc("global"),
         "duration_by_k": sql("SELECT DISTINCT seconds, k FROM durations", "durations"),
     }

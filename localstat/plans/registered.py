@@ -408,6 +408,22 @@ def _run(spark, name, start):
     return spark.read.parquet(f"{path}/results/{name}")
 
 
+def _run_in_parts(spark, d, name, start):
+    """The same over events that arrive in two parts, split at a day in the middle.
+
+    The job drains the first part, stops, and goes on from its checkpoint with the second.
+    """
+    path, events = fresh_path(spark, "stream"), inputs.table(spark, d, "events")
+    day = F.col("ts").cast("date")
+    span = events.agg(F.min(day).alias("low"), F.max(day).alias("high")).first()
+    middle = F.lit(span.low + (span.high - span.low) / 2)
+    for part in (events.where(day <= middle), events.where(day > middle)):
+        part.write.mode("append").parquet(f"{path}/events")
+        source = spark.readStream.schema(events.schema).parquet(f"{path}/events")
+        start(inputs.as_readings(source), f"{path}/results", f"{path}/checkpoint", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/results/{name}")
+
+
 def _stream_readings(spark, d):
     return inputs.as_readings(inputs.stream(spark, d, "events"))
 
@@ -424,11 +440,10 @@ def stream_observations(spark, d):
 
 def stream_spatial_lisa(spark, d):
     edges = inputs.edges(spark, d)
-    found = _run(
-        spark, sinks.LISA,
-        lambda sink, checkpoint, _: jobs.stream_lisa(
-            _stream_readings(spark, d), sink, checkpoint,
-            lambda df: stats.spatial_lisa(inputs.daily(df), edges),
+    found = _run_in_parts(
+        spark, d, sinks.LISA,
+        lambda rows, sink, checkpoint, _: jobs.stream_lisa(
+            rows, sink, checkpoint, lambda df: stats.spatial_lisa(inputs.daily(df), edges)
         ),
     )
     return show(found, "batch", "node", lisa="lisa")
@@ -440,7 +455,11 @@ def stream_window_lisa(spark, d):
     second = F.unix_date(F.col("ts").cast("date")) * 86400 + (
         F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     )
-    rows = inputs.stream(spark, d, "events").select(
+    # A reading of no node, two days later, closes the last day.
+    path, events = fresh_path(spark, "closed"), inputs.table(spark, d, "events").select("ts", "user_id", "value")
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    events.unionByName(end, allowMissingColumns=True).write.parquet(path)
+    rows = spark.readStream.schema(events.schema).parquet(path).select(
         F.timestamp_seconds(second).alias("ts"), (F.col("user_id") + 1).alias("node"), "value"
     )
     found = _run(
@@ -454,10 +473,10 @@ def stream_window_lisa(spark, d):
 
 
 def stream_history(spark, d):
-    hist = _run(
-        spark, sinks.VALUES,
-        lambda sink, checkpoint, state: jobs.stream_history(
-            _stream_readings(spark, d), K, state, sink, checkpoint, order=["ts", "event_id"]
+    hist = _run_in_parts(
+        spark, d, sinks.VALUES,
+        lambda rows, sink, checkpoint, state: jobs.stream_history(
+            rows, K, state, sink, checkpoint, order=["ts", "event_id"]
         ),
     )
     names = [f"v{i}" for i in range(K)]
@@ -466,21 +485,40 @@ def stream_history(spark, d):
 
 def stream_temporal_lisa(spark, d):
     edges = inputs.edges(spark, d)
-    found = _run(
-        spark, sinks.VALUES,
-        lambda sink, checkpoint, state: jobs.stream_temporal_lisa(
-            _stream_readings(spark, d), edges, K, state, sink, checkpoint, before=inputs.daily
+    found = _run_in_parts(
+        spark, d, sinks.LISA,
+        lambda rows, sink, checkpoint, state: jobs.stream_temporal_lisa(
+            rows, edges, K, state, sink, checkpoint, before=inputs.daily
         ),
     )
     return show(found, "batch", "node", lisa="lisa")
 
 
+def _stream_temporal_mc(spark, d, scope):
+    edges, n = inputs.edges(spark, d), _n(spark, d)
+    found = _run_in_parts(
+        spark, d, sinks.POSITIONS,
+        lambda rows, sink, checkpoint, state: jobs.stream_temporal_mc(
+            rows, edges, n, K, R_TEMPORAL, SEED, state, sink, checkpoint, scope, before=inputs.daily
+        ),
+    )
+    return _mc(found)
+
+
+def stream_temporal_mc_local(spark, d):
+    return _stream_temporal_mc(spark, d, "local")
+
+
+def stream_temporal_mc_global(spark, d):
+    return _stream_temporal_mc(spark, d, "global")
+
+
 def stream_lisa_mc(spark, d):
     edges, n = inputs.edges(spark, d), _n(spark, d)
-    found = _run(
-        spark, sinks.POSITIONS,
-        lambda sink, checkpoint, _: jobs.stream_lisa(
-            _stream_readings(spark, d), sink, checkpoint,
+    found = _run_in_parts(
+        spark, d, sinks.POSITIONS,
+        lambda rows, sink, checkpoint, _: jobs.stream_lisa(
+            rows, sink, checkpoint,
             lambda df: montecarlo.spatial_lisa_mc(inputs.daily(df), edges, n, R_TEMPORAL, SEED),
             name=sinks.POSITIONS,
         ),
@@ -608,6 +646,18 @@ def topology_averages(spark, d):
     return show(runs.topology_averages(inputs.durations(spark, d)), "topology", avg="avg")
 
 
+def run_averages(spark, d):
+    return show(runs.run_averages(inputs.durations(spark, d)), "base", "no", avg="avg")
+
+
+def history_averages(spark, d):
+    return show(runs.history_averages(inputs.durations(spark, d)), "k", "base", avg="avg")
+
+
+def run_series(spark, d):
+    return runs.run_series(inputs.durations(spark, d), ["batch", "event_id"])
+
+
 def run_series_wide(spark, d):
     return runs.run_series_wide(inputs.durations(spark, d), RUNS, ["batch", "event_id"])
 
@@ -629,7 +679,8 @@ QUERIES = [
     stream_history, stream_temporal_lisa, stream_lisa_mc, stream_word_count, batch_metrics,
     expected_lisa, expected_positions, compare_results, parse_delays, batches_with_data,
     run_durations, duration_summary, duration_summary_combined, run_averages_wide, history_pivot,
-    topology_averages, run_series_wide, duration_by_k,
+    topology_averages, run_series_wide, duration_by_k, run_averages, history_averages, run_series,
+    stream_temporal_mc_local, stream_temporal_mc_global,
 ]
 
 

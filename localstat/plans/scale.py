@@ -3,7 +3,9 @@ exact per-group ranks and quantiles that do not need a group to fit in one task.
 """
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ BROADCAST_ROWS = 1_000_000
 HOT_ROWS = 1_000_000
 
 _local_dirs = {}
+_scope = threading.local()
 
 
 def shared_dir(spark):
@@ -24,7 +27,8 @@ def shared_dir(spark):
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         if app not in _local_dirs:
             _local_dirs[app] = tempfile.mkdtemp(prefix="localstat-")
@@ -33,7 +37,25 @@ def shared_dir(spark):
 
 
 def fresh_path(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = getattr(_scope, "folder", None) or shared_dir(spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def staging(spark):
+    """Tables staged inside live until the end of the block; then their folder is removed.
+
+    For work that repeats in one application, such as micro-batches. What is to stay has to
+    be written elsewhere inside the block.
+    """
+    outer = getattr(_scope, "folder", None)
+    _scope.folder = f"{shared_dir(spark)}/scope-{uuid.uuid4().hex}"
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scope.folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _scope.folder = outer
 
 
 def materialise(df, name="stage"):
@@ -67,6 +89,15 @@ def group_sizes(df, by):
     return row[0] or 0, row[1] or 0
 
 
+def null_safe_join(left, right, by, how="inner"):
+    """Join on equal keys where null equals null; the key columns are those of ``left``."""
+    right = right.withColumnsRenamed({c: f"_r_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & left[c].eqNullSafe(right[f"_r_{c}"])
+    return left.join(right, same, how).drop(*[f"_r_{c}" for c in by])
+
+
 def running_weight(df, by, order, name, weight=None, hot_rows=None):
     """Add the running sum of ``weight`` (default: 1, a row number) per group.
 
@@ -95,27 +126,26 @@ def running_weight(df, by, order, name, weight=None, hot_rows=None):
         *by, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base")
     )
     frame = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(*upto)
-    return (
-        slices.withColumn("_within", F.sum(weight).over(frame))
-        .join(bases, [*by, "_slice"])
-        .withColumn(name, F.col("_base") + F.col("_within"))
-        .drop("_slice", "_base", "_within")
-    )
+    rows = slices.withColumn("_within", F.sum(weight).over(frame))
+    joined = null_safe_join(rows, bases, [*by, "_slice"])
+    return joined.withColumn(name, F.col("_base") + F.col("_within")).drop("_slice", "_base", "_within")
 
 
 def quantiles(df, by, col, probs, hot_rows=None):
     """Exact linear-interpolation quantiles per group, as columns ``q0, q1, ...``.
 
     ``percentile`` keeps every distinct value of a group in one buffer. Beyond
-    ``hot_rows`` distinct values per group the values are counted first and the wanted
-    ranks are looked up among running counts instead.
+    ``hot_rows`` distinct values per group the wanted ranks are looked up among running
+    counts instead. Groups without a value have no row. The values are counted and staged
+    once, whichever way follows.
     """
     by = list(by)
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     values = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).count()
+    values = materialise(values, "values")
     if group_sizes(values, by)[0] <= hot_rows:
-        return df.groupBy(*by).agg(
-            *[F.percentile(col, F.lit(p)).alias(f"q{i}") for i, p in enumerate(probs)]
+        return values.groupBy(*by).agg(
+            *[F.percentile("_v", F.lit(p), F.col("count")).alias(f"q{i}") for i, p in enumerate(probs)]
         )
 
     ranked = running_weight(values, by, ["_v"], "_upto", weight="count", hot_rows=hot_rows)
@@ -141,7 +171,7 @@ def quantiles(df, by, col, probs, hot_rows=None):
     )
     wanted = materialise(wanted.where("_w.share > 0").select(*by, "_q", "_w.rank", "_w.share"))
     hits = (
-        ranked.join(sized(wanted), by)
+        null_safe_join(ranked, sized(wanted), by)
         .where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("count")))
         .groupBy(*by)
     )

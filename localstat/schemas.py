@@ -12,6 +12,11 @@ OBSERVATIONS = "node BIGINT, value DOUBLE"
 XML_NODE = "_nodeId STRING, neighbour ARRAY<STRING>"
 XML_STATION = "_stationId STRING, node ARRAY<STRING>"
 
+BATCH_METRICS = (
+    "query STRING, batch_id BIGINT, submitted STRING, num_input_rows BIGINT, scheduling_delay_ms BIGINT, "
+    "processing_start_ms BIGINT, processing_end_ms BIGINT, execution_ms BIGINT, total_delay_ms BIGINT"
+)
+
 METRICS = T.StructType(
     [
         T.StructField("batch_id", T.LongType()),

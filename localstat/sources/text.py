@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from localstat.functions.scalars import node_key
 from localstat.operators.topology import symmetrise
+from localstat.plans.scale import materialise, sized
 
 
 def _numbered(spark, path, per_file):
@@ -24,7 +25,8 @@ def _numbered(spark, path, per_file):
     order = Window.partitionBy("_file").orderBy("_start") if per_file else Window.orderBy(*split)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return lines.join(splits, split).select(
+    splits = materialise(splits.select(*split, "_first", "_base"), "splits")  # a row per file split
+    return lines.join(sized(splits), split).select(
         F.col("_file").alias("file"),
         (F.col("_base") + F.col("_id") - F.col("_first")).alias("line"),
         "value",
@@ -48,13 +50,20 @@ def read_node_files(spark, path):
 def read_adjacency(spark, path):
     """Edges of a 0/1 matrix, one comma-separated line per node.
 
-    Only entries below the diagonal count; each gives both directions.
+    Only entries below the diagonal count; each gives both directions. The ones are picked
+    out of a line before it is exploded. Cells that are no number count as 0; see
+    :func:`bad_cells`.
     """
-    cells = read_lines(spark, path).select(
-        (F.col("line") + 1).alias("src"), F.posexplode(F.split("value", ",")).alias("_pos", "_cell")
-    )
-    lower = cells.where((F.col("_pos") + 1 < F.col("src")) & (F.col("_cell").cast("int") == 1))
-    return symmetrise(lower.select("src", (F.col("_pos") + 1).cast("bigint").alias("dst")))
+    cells = F.slice(F.split("value", ","), 1, F.col("line").cast("int"))
+    ones = F.filter(F.transform(cells, lambda c, i: F.when(F.trim(c).try_cast("int") == 1, i + 1)), lambda i: i.isNotNull())
+    lower = read_lines(spark, path).select((F.col("line") + 1).alias("src"), F.explode(ones).alias("dst"))
+    return symmetrise(lower.select("src", F.col("dst").cast("bigint").alias("dst")))
+
+
+def bad_cells(spark, path, separator=",", kind="int"):
+    """Cells that are not empty and no number, as ``line, position, cell``, all counted from 0."""
+    cells = read_lines(spark, path).select("line", F.posexplode(F.split("value", separator)).alias("position", "cell"))
+    return cells.where((F.trim("cell") != "") & F.trim("cell").try_cast(kind).isNull())
 
 
 def read_keyed_values(spark, path):
@@ -78,7 +87,7 @@ def read_wide_values(spark, path):
         .select(
             F.col("line").alias("tick"),
             (F.col("_pos") + 1).cast("bigint").alias("node"),
-            F.col("_cell").cast("double").alias("value"),
+            F.trim("_cell").try_cast("double").alias("value"),
         )
     )
 

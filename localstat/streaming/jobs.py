@@ -7,27 +7,62 @@ and overwritten as a whole, so a repeated micro-batch leaves the same result.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.streaming import StreamingQueryListener
+
 from localstat import schemas
+from localstat.operators.montecarlo import temporal_mc_from_history
 from localstat.operators.stats import spatial_lisa
 from localstat.operators.temporal import history_arrays, lisa_from_history
-from localstat.sinks import LISA, VALUES, write_batch
+from localstat.plans.scale import sized, staging
+from localstat.sinks import BATCHES, LISA, POSITIONS, VALUES, write_batch
+
+
+def _stored(results, name):
+    """Results by the name they are stored under; a single frame goes under ``name``."""
+    return results if isinstance(results, dict) else {name: results}
+
+
+def _whole_batches(df, sink, batch_id):
+    """Fail when a batch of this micro-batch was already seen in an earlier one.
+
+    Its statistics would be computed twice, each time on part of the readings. The batches
+    of each micro-batch are kept as a table of their own.
+    """
+    spark = df.sparkSession
+    write_batch(df.select("batch").distinct(), sink, BATCHES, batch_id)
+    seen = spark.read.parquet(f"{sink}/{BATCHES}")
+    now = seen.where(F.col("batch_id") == batch_id).select("batch")
+    again = seen.where(F.col("batch_id") < batch_id).join(sized(now), "batch", "left_semi").limit(1).collect()
+    if again:
+        raise ValueError(f"batch {again[0].batch} is spread over several micro-batches")
+
+
+def _with_batch(df, sink, batch_id):
+    if "batch" not in df.columns:
+        return df.withColumn("batch", F.lit(batch_id)).persist()
+    df = df.persist()
+    _whole_batches(df, sink, batch_id)
+    return df
 
 
 def stream_lisa(sdf, sink, checkpoint, fn, name=LISA, trigger=None):
-    """Run ``fn(batch_df) -> DataFrame`` on every micro-batch and store its result.
+    """Run ``fn(batch_df)`` on every micro-batch and store its result.
 
-    Rows without a ``batch`` column get the micro-batch id as their batch. The default
-    trigger drains what is available and stops; the next micro-batch starts only after
-    the previous one has finished.
+    ``fn`` returns a frame, stored under ``name``, or several as a dict of names. Rows without a
+    ``batch`` column get the micro-batch id as their batch; a given batch must lie in one
+    micro-batch, which is checked. The default trigger drains what is available and stops; the
+    next micro-batch starts only after the previous one has finished. Tables staged by ``fn`` are
+    removed after each micro-batch.
     """
 
     def run(df, batch_id):
-        df = df if "batch" in df.columns else df.withColumn("batch", F.lit(batch_id))
-        df = df.persist()
-        try:
-            write_batch(fn(df), sink, name, batch_id)
-        finally:
-            df.unpersist()
+        with staging(df.sparkSession):
+            df = _with_batch(df, sink, batch_id)
+            try:
+                for key, result in _stored(fn(df), name).items():
+                    write_batch(result, sink, key, batch_id)
+            finally:
+                df.unpersist()
 
     return (
         sdf.writeStream.foreachBatch(run)
@@ -41,7 +76,9 @@ def stream_window_lisa(sdf, edges, width, delay, sink, checkpoint, ts="ts", trig
     """Local statistic per event-time window.
 
     The stream state holds one partial mean per (window, node). A window leaves it as a
-    whole once the watermark passes its end, and the statistic is computed on that.
+    whole once the watermark passes its end, and the statistic is computed on that. The newest
+    window of a drained stream stays open, as more of it may come: it is written once a later
+    reading (of any node, also an unknown one) moves the watermark past its end.
     """
     closed = (
         sdf.withWatermark(ts, delay)
@@ -61,28 +98,33 @@ def stream_history(sdf, k, state, sink, checkpoint, order=("batch",), before=Non
     repeated micro-batch still finds its input. Nothing is gathered per node beyond
     ``k`` values, however many readings a node sends. ``order`` must be unique per node
     and increase from one micro-batch to the next. ``before`` prepares the readings of a
-    micro-batch, ``then`` turns its histories into the result.
+    micro-batch, ``then`` turns its histories into the statistic, or into several results by
+    name. Histories are stored as values, results under their own names.
     """
     columns = list(dict.fromkeys([*order, "batch", "node", "value"]))
 
     def run(df, batch_id):
         spark = df.sparkSession
         df = df if "batch" in df.columns else df.withColumn("batch", F.lit(batch_id))
-        new = (before(df) if before else df).withColumn("_new", F.lit(True))
-        if batch_id > 0:
-            kept = spark.read.parquet(f"{state}/version={(batch_id - 1) % 2}")
-            new = new.unionByName(kept.withColumn("_new", F.lit(False)), allowMissingColumns=True)
-        new = new.persist()
-        try:
-            latest = Window.partitionBy("node").orderBy(*[F.desc(c) for c in order])
-            tail = new.select(*columns, F.row_number().over(latest).alias("_back")).where(
-                F.col("_back") <= k
-            )
-            tail.drop("_back").write.mode("overwrite").parquet(f"{state}/version={batch_id % 2}")
-            hist = history_arrays(new, k, order).where("_new").drop("_new")
-            write_batch(then(hist) if then else hist, sink, VALUES, batch_id)
-        finally:
-            new.unpersist()
+        with staging(spark):
+            new = (before(df) if before else df).withColumn("_new", F.lit(True))
+            if batch_id > 0:
+                kept = spark.read.parquet(f"{state}/version={(batch_id - 1) % 2}")
+                new = new.unionByName(kept.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+            new = new.persist()
+            try:
+                latest = Window.partitionBy("node").orderBy(*[F.desc(c) for c in order])
+                tail = new.select(*columns, F.row_number().over(latest).alias("_back"))
+                tail = tail.where(F.col("_back") <= k).drop("_back")
+                tail.write.mode("overwrite").parquet(f"{state}/version={batch_id % 2}")
+                hist = history_arrays(new, k, order).where("_new").drop("_new")
+                write_batch(hist, sink, VALUES, batch_id)
+                if then:
+                    hist = spark.read.parquet(f"{sink}/{VALUES}/batch_id={batch_id}")
+                    for key, result in _stored(then(hist), LISA).items():
+                        write_batch(result, sink, key, batch_id)
+            finally:
+                new.unpersist()
 
     return (
         sdf.writeStream.foreachBatch(run)
@@ -100,8 +142,55 @@ def stream_temporal_lisa(sdf, edges, k, state, sink, checkpoint, anchor="oldest"
     )
 
 
+def stream_temporal_mc(
+    sdf, edges, n_nodes, k, r, seed, state, sink, checkpoint, scope="local", anchor="oldest", before=None, trigger=None
+):
+    """Temporal statistic and its Monte Carlo position, over histories kept across micro-batches.
+
+    Stored are the histories, the statistic and the positions.
+    """
+
+    def then(hist):
+        found = temporal_mc_from_history(hist, edges, n_nodes, k, r, seed, scope, anchor)
+        return {LISA: lisa_from_history(hist, edges, anchor), POSITIONS: found}
+
+    return stream_history(sdf, k, state, sink, checkpoint, before=before, then=then, trigger=trigger)
+
+
+class BatchMetrics(StreamingQueryListener):
+    """Listener that appends a row per micro-batch to a table, for as long as queries run.
+
+    Register it with ``spark.streams.addListener``. Unlike ``recentProgress`` the table keeps
+    every micro-batch. Times are milliseconds; ``processing_start`` counts from the trigger's
+    time ``submitted`` on, after the delay of finding and planning the input.
+    """
+
+    def __init__(self, spark, path):
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event):  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event):  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event):  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event):  # noqa: N802
+        p = event.progress
+        spent = {k: int(v) for k, v in p.durationMs.items()}
+        total, execution = spent.get("triggerExecution", 0), spent.get("addBatch", 0)
+        delay = sum(spent.get(x, 0) for x in ("latestOffset", "getBatch", "queryPlanning"))
+        row = (str(p.id), p.batchId, p.timestamp, p.numInputRows, delay, delay, delay + execution, execution, total)
+        self.spark.createDataFrame([row], schemas.BATCH_METRICS).coalesce(1).write.mode("append").parquet(self.path)
+
+
 def batch_metrics(spark, query):
-    """Progress of a streaming query, one row per reported micro-batch."""
+    """Progress of a streaming query, one row per micro-batch that Spark still remembers.
+
+    That is the last hundred or so; :class:`BatchMetrics` keeps a table of all.
+    """
 
     def row(p):
         ms = p["durationMs"]

@@ -233,3 +233,32 @@ def test_long_neighbour_lists_are_joined_instead(spark, graph):
         for d in (1_000, 1)
     )
     agree(joined, inline)
+
+
+def test_steps_are_never_zero(spark, monkeypatch):
+    monkeypatch.setattr(rng.F, "md5", lambda c: rng.F.lit("0" * 32))
+    keys = spark.createDataFrame([(1, 1), (1, 2)], "batch BIGINT, node BIGINT")
+    got = mc.random_sets(keys, 40, 9, seed=1).groupBy("node").count().collect()
+    assert [r["count"] for r in got] == [9, 9]
+
+
+def test_a_single_node_has_no_sets(spark):
+    keys = spark.createDataFrame([(1, 1)], "batch BIGINT, node BIGINT")
+    assert mc.random_sets(keys, 1, 5, seed=1).collect() == []
+
+
+@pytest.mark.parametrize("cells", [0, 1_000_000])
+def test_repeated_readings_are_refused_on_both_sides(spark, graph, monkeypatch, cells):
+    monkeypatch.setattr(mc, "ARRAY_SCORES", cells)
+    obs = obs_frame(spark, [(0, n, float(n)) for n in range(1, 17)] + [(0, 3, 9.0)])
+    with pytest.raises(ValueError, match="more than one reading"):
+        mc.spatial_lisa_mc(obs, graph, 16, 20, seed=1)
+
+
+def test_nodes_without_outgoing_edges_stay(spark, graph):
+    directed = graph.where("src <> 9")
+    obs = obs_frame(spark, some_rows(seed=28, batches=3))
+    want = {(r.batch, r.node) for r in temporal.temporal_lisa(obs, directed, 3).collect()}
+    for degree in (1_000, 0):
+        got = mc.temporal_lisa_mc(obs, directed, 16, 3, 10, seed=2, inline_degree=degree)
+        assert {(r.batch, r.node) for r in got.collect()} == want

@@ -93,3 +93,26 @@ def test_batches_with_data(spark):
 def test_duration_by_k(durations, rows):
     got = {tuple(r) for r in runs.duration_by_k(durations).collect()}
     assert got == {(r[5], r[2]) for r in rows}
+
+
+@pytest.mark.parametrize("limit", [None, 2])
+def test_summary_keeps_null_groups(spark, limit):
+    rows = [(None, 1.0), (None, 2.0), (None, 3.0), ("a", None), ("b", 5.0)]
+    df = spark.createDataFrame(rows, "run STRING, seconds DOUBLE")
+    got = {r.run: (r.min, r.p50, r.max) for r in runs.duration_summary(df, ["run"], limit).collect()}
+    assert got == {None: (1.0, 2.0, 3.0), "a": (None, None, None), "b": (5.0, 5.0, 5.0)}
+
+
+def test_wide_forms_fail_on_what_they_cannot_show(spark):
+    rows = [(f"r{i}", 1 if i < 4 else 32, i % 2, i, float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "run STRING, base BIGINT, k BIGINT, batch BIGINT, seconds DOUBLE")
+    for wide in (
+        lambda: runs.run_averages_wide(df, 3),
+        lambda: runs.history_pivot(df),
+        lambda: runs.run_series_wide(df, ["r0", "r1"]),
+    ):
+        with pytest.raises(Exception, match="long form"):
+            wide().collect()
+    assert sorted(map(tuple, runs.run_averages(df).collect())) == [(1, i + 1, float(i)) for i in range(4)] + [(32, 1, 4.0)]
+    assert runs.history_averages(df).count() == 3 and runs.run_series(df).count() == 5
+    assert runs.run_averages_wide(df, 4).count() == 2

@@ -74,3 +74,16 @@ def test_materialised_table_is_sized_by_count(spark):
 def test_shared_folder_follows_the_session(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     assert scale.shared_dir(spark).startswith(base)
+
+
+def test_null_keys_and_null_values_on_both_sides(spark):
+    rows = [(None, i, float(i)) for i in range(60)] + [("a", i, None) for i in range(5)] + [("b", 1, 2.0)]
+    df = spark.createDataFrame(rows, "g STRING, i BIGINT, v DOUBLE").repartition(3, "i")
+    numbered = [
+        sorted(map(str, scale.running_weight(df, ["g"], ["i"], "no", hot_rows=limit).collect())) for limit in (1000, 10)
+    ]
+    assert numbered[0] == numbered[1] and len(numbered[0]) == len(rows)
+    found = [
+        sorted(map(str, scale.quantiles(df, ["g"], "v", [0.25, 0.5], hot_rows=limit).collect())) for limit in (1000, 10)
+    ]
+    assert found[0] == found[1] and len(found[0]) == 2

@@ -92,3 +92,29 @@ def test_words_split_like_the_job(spark):
     df = spark.createDataFrame([("a b ",), ("a  b",), ("   ",), ("",), (" c",), ("x\ty",)], "text STRING")
     got = {r.word: r.n for r in words.word_count(df).collect()}
     assert got == {"a": 2, "b": 2, "": 3, "c": 1, "x\ty": 1}
+
+
+def test_writing_a_batch_leaves_the_others(spark, tmp_path):
+    def write(rows):
+        df = spark.createDataFrame(rows, "batch BIGINT, node BIGINT, value DOUBLE")
+        sinks.write_batches(df, str(tmp_path), sinks.LISA)
+
+    write([(1, 1, 0.5)])
+    write([(2, 1, 1.5), (2, 2, 2.5)])
+    write([(2, 1, 9.0)])
+    got = spark.read.parquet(f"{tmp_path}/{sinks.LISA}")
+    assert sorted((r.batch, r.node, r.value) for r in got.collect()) == [(1, 1, 0.5), (2, 1, 9.0)]
+
+
+def test_bad_cells_are_reported(spark, tmp_path):
+    path = tmp_path / "m.txt"
+    path.write_text("0,0,0\n1, ,x\n0,1,\n")
+    assert sorted((r.src, r.dst) for r in text.read_adjacency(spark, str(path)).collect()) == [(1, 2), (2, 1), (2, 3), (3, 2)]
+    assert [tuple(r) for r in text.bad_cells(spark, str(path)).collect()] == [(1, 2, "x")]
+
+
+def test_split_counts_are_broadcast(spark, tmp_path):
+    path = tmp_path / "m.txt"
+    path.write_text("a\nb\n")
+    plan = text.read_lines(spark, str(path))._jdf.queryExecution().toString()
+    assert "ResolvedHint (strategy=broadcast)" in plan or "BroadcastHashJoin" in plan

@@ -5,6 +5,7 @@ from conftest import obs_frame
 from test_stats import agree, found, some_rows
 
 from localstat.operators import montecarlo, stats, temporal, words
+from localstat.plans import scale
 from localstat.sources.streams import stream_observations
 from localstat.streaming import jobs
 
@@ -83,8 +84,62 @@ def test_temporal_stream_equals_batch(spark, graph, feed, tmp_path):
     rows, path = feed
     sdf = stream_observations(spark, path, SCHEMA, max_files=1)
     finish(jobs.stream_temporal_lisa(sdf, graph, 3, f"{tmp_path}/state", f"{tmp_path}/out", f"{tmp_path}/cp"))
-    got = spark.read.parquet(f"{tmp_path}/out/allValues")
+    got = spark.read.parquet(f"{tmp_path}/out/finalLisaValues")
     agree(found(got), found(temporal.temporal_lisa(obs_frame(spark, rows), graph, 3)))
+    assert spark.read.parquet(f"{tmp_path}/out/allValues").count() == len(rows)
+
+
+@pytest.mark.parametrize("scope", ["local", "global"])
+def test_temporal_monte_carlo_stream_equals_batch(spark, graph, feed, tmp_path, scope):
+    rows, path = feed
+    sdf = stream_observations(spark, path, SCHEMA, max_files=2)
+    folders = (f"{tmp_path}/state", f"{tmp_path}/out", f"{tmp_path}/cp")
+    finish(jobs.stream_temporal_mc(sdf, graph, 16, 3, 12, 5, *folders, scope=scope))
+    want = montecarlo.temporal_lisa_mc(obs_frame(spark, rows), graph, 16, 3, 12, 5, scope)
+    cols = ["batch", "node", "below", "n"]
+    got = spark.read.parquet(f"{tmp_path}/out/measuredValuesPositions").select(*cols).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_batch_spread_over_micro_batches_is_refused(spark, graph, tmp_path):
+    path = write_batches_as_files(spark, tmp_path, some_rows(seed=34, batches=2))
+    sdf = stream_observations(spark, path, SCHEMA, max_files=1).selectExpr("0L AS batch", "node", "value")
+    query = jobs.stream_lisa(sdf, f"{tmp_path}/out", f"{tmp_path}/cp", lambda df: stats.spatial_lisa(df, graph))
+    with pytest.raises(Exception, match="several micro-batches"):
+        query.awaitTermination(120)
+
+
+def test_metrics_table_and_staging_survive_many_micro_batches(spark, graph, feed, tmp_path):
+    """Spark is told to remember two updates; the table has all, and staged folders are gone."""
+    import time
+
+    rows, path = feed
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    listener = jobs.BatchMetrics(spark, f"{tmp_path}/metrics")
+    spark.streams.addListener(listener)
+    folders = []
+
+    def fn(df):
+        folders.append(scale.fresh_path(spark, "x").rpartition("/")[0].removeprefix("file:"))
+        return {"finalLisaValues": stats.spatial_lisa(df, graph), "allValues": df}
+
+    try:
+        sdf = stream_observations(spark, path, SCHEMA, max_files=1)
+        finish(jobs.stream_lisa(sdf, f"{tmp_path}/out", f"{tmp_path}/cp", fn))
+        for _ in range(60):
+            time.sleep(0.5)
+            if os.path.isdir(f"{tmp_path}/metrics"):
+                got = spark.read.parquet(f"{tmp_path}/metrics").where("num_input_rows > 0").collect()
+                if len(got) == 5:
+                    break
+    finally:
+        spark.streams.removeListener(listener)
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+    assert sorted(m.batch_id for m in got) == list(range(5))
+    assert all(m.processing_start_ms <= m.processing_end_ms <= m.total_delay_ms + 1000 for m in got)
+    assert spark.read.parquet(f"{tmp_path}/out/allValues").count() == len(rows)
+    assert len(set(folders)) == 5 and not any(os.path.exists(f) for f in folders)
 
 
 def test_restart_continues_from_the_kept_histories(spark, tmp_path):

@@ -65,8 +65,24 @@ def test_symmetrise_drops_loops_and_repeats(spark):
 def test_node_map(graph, neighbours):
     found = {r.node: r.neighbours for r in topology.node_map(graph).collect()}
     assert found == {n: sorted(ms) for n, ms in neighbours.items()}
-    with pytest.raises(ValueError):
-        topology.node_map(graph, longest=3)
+    parts = topology.node_map(graph, longest=2).orderBy("node", "part").collect()
+    assert all(len(r.neighbours) <= 2 for r in parts)
+    assert {n: [m for r in parts if r.node == n for m in r.neighbours] for n in found} == found
+
+
+def test_ids_with_gaps_are_numbered(spark):
+    nodes = spark.createDataFrame([(70,), (5,), (None,), (11,), (5,)], "node BIGINT")
+    ids = topology.dense_ids(nodes)
+    assert rows_of(ids, "node", "id") == [(5, 1), (11, 2), (70, 3)]
+    edges = spark.createDataFrame([(5, 70), (11, 5), (11, 99)], "src BIGINT, dst BIGINT")
+    assert rows_of(topology.renumbered(edges, ids, "src", "dst"), "src", "dst") == [(1, 3), (2, 1)]
+
+
+def test_element_ids_are_unique(spark, graph):
+    nodes = graph.select(graph.src.alias("node")).distinct()
+    elements = spark.createDataFrame([("node1",), ("node2",), ("station1",), ("node2",)], "id STRING")
+    got = topology.check_topology(nodes, graph, elements=elements).where("rule = 'duplicate_element_id'")
+    assert rows_of(got, "node", "n") == [(2, 2)]
 
 
 def test_ranked_neighbours_with_a_hub(spark):
