@@ -20,7 +20,7 @@ from localstat.operators.stats import lisa_from_z, standardise
 from localstat.operators.temporal import history_arrays, lag_rows, past_standardise, temporal_lag
 from localstat.operators.topology import max_degree, node_map, ranked_neighbours
 from localstat.plans import scale
-from localstat.plans.scale import is_small, materialise, sized
+from localstat.plans.scale import group_sizes, is_small, materialise, sized, staged
 
 LARGEST_SET = 4
 # Below this many nodes every set is enumerated instead of drawn.
@@ -36,6 +36,8 @@ SORT_STEPS = [(0, 1), (2, 3), (0, 2), (1, 3), (1, 2)]
 DRAWS_PER_TASK = 2_000_000
 # Reduce partitions of one job; beyond it tasks get longer instead of more.
 MOST_TASKS = 100_000
+# Slots per reading up to which arrays are used.
+SPARSE = 8
 # Largest score array of one batch (8 MB): nodes times positions of the history.
 ARRAY_SCORES = 1_000_000
 
@@ -213,11 +215,14 @@ class _Scores:
     """Scores of drawn members, looked up in arrays or, for huge graphs, by a join."""
 
     def __init__(self, z, n_nodes, levels=1):
-        place = [c for c in ("batch", "lag", "node") if c in z.columns]
-        if z.groupBy(*place).count().where("count > 1").limit(1).count():
+        place = [c for c in ("batch", "lag") if c in z.columns]
+        most, cells = group_sizes(z, [*place, "node"])
+        if most > 1:
             raise ValueError("more than one reading of a node in a batch")
+        slots = z.select(*place).distinct().count() * n_nodes
         self.z, self.arrays, self.n_nodes, self.copies = z, None, n_nodes, None
-        if n_nodes * levels <= ARRAY_SCORES:
+        # Arrays have a slot for every node; where few nodes report, a join is less work.
+        if n_nodes * levels <= ARRAY_SCORES and slots <= SPARSE * cells:
             self.arrays = materialise(score_arrays(z, n_nodes), "scores")
             self.small = self.arrays.count() * n_nodes * levels <= 4 * scale.BROADCAST_ROWS
 
@@ -325,6 +330,7 @@ def spatial_lisa_mc(obs, edges, n_nodes, r, seed, resample="per_batch"):
     """
     if resample not in ("per_batch", "shared"):
         raise ValueError("resample is 'per_batch' or 'shared'")
+    edges = staged(edges, "edges")
     z = materialise(standardise(obs).select("batch", "node", "z"), "z")
     rows, by = z.count(), ["batch", "node"]
     scores = _Scores(z, n_nodes)
@@ -401,6 +407,7 @@ def temporal_mc_from_history(
     """The same out of ready-made histories ``vals`` of at most ``k`` values, as a stream keeps them."""
     if scope not in ("local", "global"):
         raise ValueError("scope is 'local' or 'global'")
+    edges = staged(edges, "edges")
     z_rows = past_standardise(lag_rows(hist, anchor))
     z_rows = materialise(z_rows.select("batch", "node", "lag", "z"), "z")
     lagged = temporal_lag(z_rows, edges)

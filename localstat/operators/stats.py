@@ -6,7 +6,7 @@
 from pyspark.sql import functions as F
 
 from localstat.functions.scalars import score
-from localstat.plans.scale import is_small, materialise, sized
+from localstat.plans.scale import materialise, sized, staged
 
 
 def batch_stats(obs, by=("batch",), col="value"):
@@ -58,20 +58,16 @@ def _fan_out(df, edges):
 def neighbour_mean(df, edges, col, name="mean"):
     """Mean of ``col`` over all rows of a node's neighbours that are present.
 
-    With broadcast edges the rows fan out and are summed on the map side. When the edges
-    have to be shuffled by node, the rows are summed per (batch, node) first, so that
-    many readings of one node travel as a single row.
+    The rows are summed per (batch, node) before they fan out, so that many readings of one
+    node travel to its neighbours as a single row, however many neighbours it has.
     """
     parts = [F.sum("_s").alias("_s"), F.sum("_n").alias("_n")]
     own = df.select(
         "batch", "node", F.col(col).alias("_s"), F.col(col).isNotNull().cast("bigint").alias("_n")
     )
-    if is_small(edges):
-        edges = F.broadcast(edges)
-    else:
-        own = own.groupBy("batch", "node").agg(*parts)
+    own = own.groupBy("batch", "node").agg(*parts)
     return (
-        _fan_out(own, edges)
+        _fan_out(own, sized(edges))
         .groupBy("batch", "node")
         .agg(*parts)
         .where("_n > 0")
@@ -96,7 +92,7 @@ def spatial_lisa(obs, edges):
     deviation and the neighbours' lag, and each gets its own value. Extra columns of
     ``obs``, such as a row id, are kept.
     """
-    return lisa_from_z(standardise(obs), edges)
+    return lisa_from_z(standardise(obs), staged(edges, "edges"))
 
 
 def one_per_node(obs, order):

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from localstat.operators.stats import map_to_neighbours, scored
-from localstat.plans.scale import HOT_ROWS, group_sizes, running_weight
+from localstat.plans.scale import HOT_ROWS, group_sizes, running_weight, staged
 
 
 def history_arrays(obs, k, order=("batch",), hot_rows=None):
@@ -147,7 +147,8 @@ def temporal_lag(z_rows, edges):
 def lisa_from_history(hist, edges, anchor="oldest"):
     """Temporal statistic from ready-made history arrays."""
     z_rows = past_standardise(lag_rows(hist, anchor))
-    return temporal_lag(z_rows, edges).withColumn("lisa", F.col("z") * F.col("lag"))
+    lagged = temporal_lag(z_rows, staged(edges, "edges"))
+    return lagged.withColumn("lisa", F.col("z") * F.col("lag"))
 
 
 def temporal_lisa(obs, edges, k, anchor="oldest"):

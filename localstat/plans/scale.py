@@ -66,7 +66,17 @@ def materialise(df, name="stage"):
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.is_staged = True
+    return table
+
+
+def staged(df, name="stage"):
+    """``df`` itself if it came out of :func:`materialise`, else a staged copy of it.
+
+    For inputs that are counted and joined several times, such as edges parsed from text.
+    """
+    return df if getattr(df, "is_staged", False) else materialise(df, name)
 
 
 def is_small(staged, max_rows=None):

@@ -13,7 +13,7 @@ from localstat import schemas
 from localstat.operators.montecarlo import temporal_mc_from_history
 from localstat.operators.stats import spatial_lisa
 from localstat.operators.temporal import history_arrays, lisa_from_history
-from localstat.plans.scale import sized, staging
+from localstat.plans.scale import sized, staged, staging
 from localstat.sinks import BATCHES, LISA, POSITIONS, VALUES, write_batch
 
 
@@ -80,6 +80,7 @@ def stream_window_lisa(sdf, edges, width, delay, sink, checkpoint, ts="ts", trig
     window of a drained stream stays open, as more of it may come: it is written once a later
     reading (of any node, also an unknown one) moves the watermark past its end.
     """
+    edges = staged(edges, "edges")
     closed = (
         sdf.withWatermark(ts, delay)
         .groupBy(F.window(ts, width).alias("_window"), "node")
@@ -136,6 +137,7 @@ def stream_history(sdf, k, state, sink, checkpoint, order=("batch",), before=Non
 
 def stream_temporal_lisa(sdf, edges, k, state, sink, checkpoint, anchor="oldest", before=None, trigger=None):
     """Temporal statistic of every micro-batch over histories kept across them."""
+    edges = staged(edges, "edges")
     return stream_history(
         sdf, k, state, sink, checkpoint,
         before=before, then=lambda hist: lisa_from_history(hist, edges, anchor), trigger=trigger,
@@ -149,6 +151,7 @@ def stream_temporal_mc(
 
     Stored are the histories, the statistic and the positions.
     """
+    edges = staged(edges, "edges")
 
     def then(hist):
         found = temporal_mc_from_history(hist, edges, n_nodes, k, r, seed, scope, anchor)

@@ -262,3 +262,13 @@ def test_nodes_without_outgoing_edges_stay(spark, graph):
     for degree in (1_000, 0):
         got = mc.temporal_lisa_mc(obs, directed, 16, 3, 10, seed=2, inline_degree=degree)
         assert {(r.batch, r.node) for r in got.collect()} == want
+
+
+def test_sparse_batches_are_joined_not_laid_out(spark, graph, monkeypatch):
+    """Many batches of few readings: the same result without a slot per batch and node."""
+    monkeypatch.setattr(mc, "SPARSE", 4)
+    rows = [(b, n, float(b * n % 7)) for b in range(40) for n in (b % 16 + 1, (b + 1) % 16 + 1, (b + 5) % 16 + 1)]
+    z = scale.materialise(stats.standardise(obs_frame(spark, rows)).select("batch", "node", "z"))
+    assert mc._Scores(z, 16).arrays is None
+    monkeypatch.setattr(mc, "SPARSE", 1_000)
+    assert mc._Scores(z, 16).arrays is not None

@@ -135,3 +135,11 @@ def test_mismatches_are_found(spark):
     rows = verify.mismatches(a, b, ["node"], "v").collect()
     assert sorted(r.node for r in rows) == [2, 3, 4]
     assert verify.compare_results(a, b, ["node"], "v").first().bad == 3
+
+
+def test_readings_of_a_hub_are_combined_before_they_fan_out(spark):
+    """A star: every leaf sees the mean of all readings of the hub."""
+    edges = spark.range(2, 400).selectExpr("1L AS src", "id AS dst")
+    obs = obs_frame(spark, [(0, 1, float(i)) for i in range(50)])
+    got = stats.neighbour_mean(obs, edges, "value").collect()
+    assert len(got) == 398 and all(r.mean == 24.5 for r in got)
