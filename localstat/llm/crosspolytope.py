@@ -72,12 +72,12 @@ def prepared(x, longest, even, index):
     return out
 
 
-def _slots(width, longest, even, index, probes):
+def _slots(width, kind, longest, even, index, probes):
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            x = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float64).reshape(len(batch), width)
+            x = np.frombuffer(b"".join(batch.column("vec").to_pylist()), kind).reshape(len(batch), width)
             unit = prepared(x, longest, even, index)
             for table in range(TABLES):
                 near = axes(unit, table, probes)
@@ -89,13 +89,14 @@ def _slots(width, longest, even, index, probes):
     return run
 
 
-def _rank(width, top):
+def _rank(width, kind, top):
     """Best candidates of each query of a block by exact inner product."""
 
     def run(group):
         side = group.column("query").to_numpy()
         key = group.column("key").to_numpy()
-        vec = np.frombuffer(b"".join(group.column("vec").to_pylist()), np.float64).reshape(len(group), width)
+        vec = np.frombuffer(b"".join(group.column("vec").to_pylist()), kind).reshape(len(group), width)
+        vec = vec.astype(np.float64)
         q, x, q_key, x_key = vec[side], vec[~side], key[side], key[~side]
         out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         if len(q) and len(x):
@@ -133,6 +134,8 @@ def search(vectors, queries, k=20, probes=PROBES):
     no part. Repeated rows count once; other columns are ignored; without vectors the result
     is empty.
     """
+    single = all(r.schema["embedding"].dataType.elementType.typeName() == "float" for r in (vectors, queries))
+    kind = np.float32 if single else np.float64  # as the vectors are given: nothing is lost on the way
     vectors, queries = _usable(vectors), _usable(queries)
     widths = vectors.groupBy(F.size("vec").alias("width")).agg(
         F.count("*").alias("n"), F.max("norm").alias("longest"), F.min("norm").alias("shortest")
@@ -145,18 +148,18 @@ def search(vectors, queries, k=20, probes=PROBES):
         first = Window.partitionBy("vec").orderBy("vec_id")
         kept = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
         found = kept.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-        return materialise(_as_bytes(found.withColumn("key", F.xxhash64("vec")), width), name)
+        return materialise(_as_bytes(found.withColumn("key", F.xxhash64("vec")), width, kind), name)
 
     index = classes(vectors, "index")
     asked = queries.where(F.size("vec") == width).select(
         F.col("vec_id").alias("query_id"), F.xxhash64("vec").alias("query_key"), "vec"
     )
     distinct = asked.select("vec").distinct().withColumn("key", F.xxhash64("vec")).withColumn("ids", F.array(F.lit(0).cast("bigint")))
-    distinct = materialise(_as_bytes(distinct, width), "queries")
+    distinct = materialise(_as_bytes(distinct, width, kind), "queries")
 
     schema = "key bigint, vec binary, slot int"
-    own = index.select("key", "vec").mapInArrow(_slots(width, longest, even, True, 1), schema)
-    looked = distinct.select("key", "vec").mapInArrow(_slots(width, longest, even, False, probes), schema)
+    own = index.select("key", "vec").mapInArrow(_slots(width, kind, longest, even, True, 1), schema)
+    looked = distinct.select("key", "vec").mapInArrow(_slots(width, kind, longest, even, False, probes), schema)
     # Blocks per slot: a table of TABLES x axes rows.
     count = lambda rows, name: rows.groupBy("slot").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias(name))
     blocks = materialise(count(own, "n_own").join(count(looked, "n_query"), "slot"), "blocks")
@@ -166,7 +169,7 @@ def search(vectors, queries, k=20, probes=PROBES):
     left = left.select("slot", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(False).alias("query"), "key", "vec")
     right = right.select("slot", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(True).alias("query"), "key", "vec")
     ranked = left.unionByName(right).groupBy("slot", "i", "j").applyInArrow(
-        _rank(width, k + 1), "query_key bigint, key bigint, score double"
+        _rank(width, kind, k + 1), "query_key bigint, key bigint, score double"
     )
     # Entries stand for their smallest id; the k + 1 best hold what any query of the key can use.
     entry = index.select("key", "ids")
@@ -192,12 +195,12 @@ def _usable(rows):
     return rows.withColumn("norm", norm).where("norm > 0")
 
 
-def _as_bytes(rows, width):
-    """Column ``vec`` as little-endian doubles."""
+def _as_bytes(rows, width, kind):
+    """Column ``vec`` as little-endian floats or doubles."""
 
     def run(batches):
         for batch in batches:
-            flat = batch.column(0).flatten().to_numpy().reshape(len(batch), width)
+            flat = batch.column(0).flatten().to_numpy().reshape(len(batch), width).astype(kind)
             vec = pa.array([row.tobytes() for row in flat], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(1), vec, batch.column(2)], names=["key", "vec", "ids"])
 
