@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from localstat.llm.shipping import ship
 from localstat.llm.text import mix, powers, slices, span_hashes
 from localstat.llm.tokens import WordCoder, gather
 
@@ -112,6 +113,7 @@ def encode(docs, path):
     empty texts have no ids and an empty decoded text. Other columns are ignored; repeated
     rows are encoded each; an empty table gives an empty one.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
@@ -132,6 +134,7 @@ def encode(docs, path):
 
 def decode(rows, path):
     """``(doc_id, ids)`` back to ``(doc_id, decoded)``; null ids decode to an empty text."""
+    ship(rows.sparkSession)
 
     def run(batches):
         coder = ChunkCoder(path)

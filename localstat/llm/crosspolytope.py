@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from localstat.llm.shipping import ship
 from localstat.plans.scale import materialise, sized
 
 TABLES, PROBES = 8, 14
@@ -134,6 +135,7 @@ def search(vectors, queries, k=20, probes=PROBES):
     no part. Repeated rows count once; other columns are ignored; without vectors the result
     is empty.
     """
+    ship(vectors.sparkSession)
     single = all(r.schema["embedding"].dataType.elementType.typeName() == "float" for r in (vectors, queries))
     kind = np.float32 if single else np.float64  # as the vectors are given: nothing is lost on the way
     vectors, queries = _usable(vectors), _usable(queries)

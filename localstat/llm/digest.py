@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from localstat.llm.shipping import ship
 from localstat.llm.text import SLICE_BYTES, slices
 
 BUCKETS = 256
@@ -75,6 +76,7 @@ def _flat(texts):
 
 def fingerprint(docs):
     """``docs(doc_id, text)`` to ``doc_id, fingerprint``; a null text counts as empty."""
+    ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -88,6 +90,7 @@ def fingerprint(docs):
 
 def compare(pairs):
     """``likeness`` of the digests in columns ``a`` and ``b``, as a further column."""
+    ship(pairs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -169,6 +172,7 @@ def edits(docs):
     The first document of each block, found from the ids alone, is also sent to the block before
     it as a guest, so every document meets its next one with a single shuffle of the texts.
     """
+    ship(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

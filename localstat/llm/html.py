@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from localstat.llm import trees
+from localstat.llm.shipping import ship
 
 SAMPLE = 400
 BATCH_NODES = 20_000
@@ -294,6 +295,7 @@ def _taught_rows(text, named=False):
 
 def fit(pages, sample=SAMPLE):
     """Trees learnt from the ``sample`` pages whose ids hash lowest and from the templates."""
+    ship(pages.sparkSession)
     chosen = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html"))
     chosen = chosen.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
 
@@ -330,6 +332,7 @@ def extract(pages, model=None):
     pages without main text. Repeated rows are extracted each; other columns are ignored; an
     empty table gives an empty one.
     """
+    ship(pages.sparkSession)
     model = fit(pages) if model is None else model
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 

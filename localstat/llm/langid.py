@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from localstat.llm.shipping import ship
 from localstat.llm.text import kept_columns, slices
 
 BUCKETS, N = 1 << 15, 3
@@ -85,6 +86,7 @@ def fit(rows):
 
     Rows with a null lang or text teach nothing. Without any row there are no languages.
     """
+    ship(rows.sparkSession)
     rows = rows.where("lang is not null and text is not null")
     rows = rows.select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counted = rows.mapInArrow(_count, "lang string, bucket bigint, n bigint")
@@ -110,6 +112,7 @@ def predict(docs, model, keep=("doc_id",)):
     Ties go to the language that sorts first. Other columns are never read; repeated rows
     are scored each.
     """
+    ship(docs.sparkSession)
     keep = list(keep)
     schema = kept_columns(docs, keep, "lang_pred", "score")
     langs, matrix, priors = model

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from localstat.llm.components import components
+from localstat.llm.shipping import ship
 from localstat.llm.text import mix, shingles, slices
 from localstat.plans.scale import materialise, sized
 
@@ -298,6 +299,7 @@ def near_duplicates(docs, size=5, threshold_percent=80):
     nothing. Rows without a doc_id are linked with nothing and kept, with a null component.
     Rows that repeat a doc_id stay rows of their own; ids are taken to name one text each.
     """
+    ship(docs.sparkSession)
     p = threshold_percent / 100
     floor = match_floor(COORDINATES, p**ROWS)
     match_least = match_floor(COORDINATES * ROWS, p)

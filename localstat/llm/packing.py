@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from localstat.llm.shipping import ship
 from localstat.llm.tokens import WordCoder, encoded
 
 LIMIT, END = 2048, 1
@@ -147,6 +148,7 @@ def pack(docs, path, limit=LIMIT, end_id=END):
     of their ids inside a sequence (rows without id first). Other columns are ignored. An
     empty table gives no rows.
     """
+    ship(docs.sparkSession)
     names = {n.lower() for n in docs.columns}
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),

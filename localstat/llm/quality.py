@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from localstat.llm import trees
+from localstat.llm.shipping import ship
 from localstat.llm.text import kept_columns, slices, span_hashes, word_spans
 
 SAMPLE = 20_000
@@ -76,6 +77,7 @@ def statistics(data, offsets):
 
 def with_statistics(docs, keep=("doc_id",)):
     """The columns ``keep`` of ``docs`` and a struct ``statistics`` of its column ``text``."""
+    ship(docs.sparkSession)
     keep = list(keep)
     schema = kept_columns(docs, keep, "statistics")
     fields = ", ".join(f"{s}: double" for s in STATISTICS)

@@ -81,5 +81,38 @@ def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+#: All pairs that share a shingle, by an exact join; the components by following links.
+NEAR_DUPLICATES = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM split
+), sized AS (
+  SELECT doc_id, len(s) AS n FROM sets
+), terms AS (
+  SELECT doc_id, unnest(s) AS t FROM sets
+), shared AS (
+  SELECT doc_id, t FROM terms WHERE t IN (SELECT t FROM terms GROUP BY t HAVING count(*) > 1)
+), common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shared a JOIN shared b ON a.t = b.t AND a.doc_id < b.doc_id
+  GROUP BY u, v
+), links AS (
+  SELECT u, v FROM common JOIN sized x ON x.doc_id = u JOIN sized y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)
+), both_ways AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT u, u AS v FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON b.u = r.v
+), found AS (
+  SELECT u, min(v) AS component_id FROM reach GROUP BY u
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+  coalesce(component_id, doc_id) = doc_id AS kept
+FROM sized LEFT JOIN found ON u = doc_id"""
+
+
 def oracle_sql():
-    return {}
+    """SQL of the queries that SQL can express; the others are tested against brute force."""
+    return {"op2_minhash_near_duplicates": NEAR_DUPLICATES}

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from localstat.llm.html import visible_text
+from localstat.llm.shipping import ship
 
 VERSION = "WARC/1.1"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the name space of URLs
@@ -128,6 +129,7 @@ def derive(records, keep=()):
     ``keep`` names further columns that both records carry. A null block counts as empty; a
     null id or target stays null; text that does not decode is replaced, never refused.
     """
+    ship(records.sparkSession)
     keep = list(keep)
     rows = records.select(*keep, "record_id", "target_uri", "date", "block")
     kept = [f for f in rows.schema.fields if f.name in keep]
@@ -197,6 +199,7 @@ def read_warc(spark, path):
 
     A file is read by one task as a whole, as it can only be cut at its records.
     """
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):
