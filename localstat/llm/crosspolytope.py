@@ -145,6 +145,7 @@ def search(vectors, queries, k=20, probes=PROBES):
     common = widths.orderBy(F.desc("n"), "width").first()
     width, longest, shortest = (common.width, common.longest, common.shortest) if common else (1, 1.0, 1.0)
     even = longest - shortest <= EVEN * longest
+
     def classes(rows, name):
         rows = rows.where(F.size("vec") == width).select("vec_id", "vec").distinct()
         first = Window.partitionBy("vec").orderBy("vec_id")
