@@ -50,6 +50,38 @@ def test_recall(spark, sf):
     assert all(len(got[q]) == 20 for q in expected) and np.mean(hits) / 20 >= 0.9
 
 
+def lengths(kind, n, rng):
+    if kind == "one long":
+        return np.where(np.arange(n) == 7, 10.0, 1.0)
+    return np.exp(rng.normal(size=n) / 2) if kind == "lognormal" else 1 + np.arange(n) % 2
+
+
+@pytest.mark.parametrize("n,kind", [(3000, "one long"), (3000, "lognormal"), (6000, "two"), (15, "lognormal"), (100, "one long")])
+def test_recall_of_mixed_lengths(spark, n, kind):
+    """Production probes; small tables are ranked whole."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 64))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * lengths(kind, n, rng)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    all_rows = frame(spark, rows)
+    step = max(1, n // 60)
+    got = found(cp.search(all_rows, all_rows.where(f"vec_id % {step} = 0"), k=20))
+    expected = brute_force(rows, rows[::step], 20)
+    assert {q: len(r) for q, r in got.items()} == {q: min(20, n - 1) for q in expected}
+    hits = [len({i for i, _ in got[q]} & {i for i, _ in r}) / len(r) for q, r in expected.items()]
+    assert np.mean(hits) >= (0.9 if n > 1000 else 1)
+
+
+def test_queries_without_hits_are_ranked_whole(spark):
+    """All rows lie in one direction, the query in the opposite one: no probe meets them."""
+    rng = np.random.default_rng(6)
+    x = np.eye(64)[0] + rng.normal(size=(1500, 64)) / 100
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    query = [(10**6, (-np.eye(64)[0]).tolist())]
+    got = found(cp.search(frame(spark, rows), frame(spark, query), k=20))
+    assert [i for i, _ in got[10**6]] == [i for i, _ in brute_force(rows, query, 20)[10**6]]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1, 0]), (1, [2, 1]), (1, [2, 1]), (2, None), (3, [0, 0]), (4, [nan, 1]), (5, [None, 1]), (6, [inf, 1])]
