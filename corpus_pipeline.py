@@ -22,8 +22,8 @@ def keep_quality(spark, docs, sf_dir):
 
 
 def keep_language(spark, docs, sf_dir):
-    """Documents stay whose language can be told."""
-    found = langid.identify(docs, keep=DOCUMENT)
+    """Documents stay whose language can be told: one of the learned ones, without doubt."""
+    found = langid.recognise(docs, keep=DOCUMENT)
     told = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LANGUAGE_SCORE)
     return found.where(told).select(DOCUMENT)
 

@@ -6,6 +6,9 @@ each task keeps one dense count vector per language and emits its non-zero bucke
 combined aggregation sums them. The log-probability matrix has ``BUCKETS`` rows and a column
 per language, whatever the input's size, and is broadcast; scoring gathers its rows for the
 n-grams of a slice of texts and sums them by document.
+
+The posterior only compares the learned languages. Whether a text is in one of them at all is
+told by its mean log-likelihood per n-gram, compared with that of the training texts.
 """
 
 from functools import cache
@@ -22,6 +25,10 @@ SMOOTHING = 1.0
 #: Overlapping n-grams are not independent; the posterior counts each letter this often.
 WEIGHT = 1.0 / N
 UNDETERMINED = "und"
+#: A text is in no learned language if its n-grams are this much less likely (nats, on average)
+#: than in all but the least likely ``LOW`` of the training texts of its language, and more for
+#: the few n-grams of a short text, by ``CHANCE`` over the root of their number.
+LOW, SLACK, CHANCE = 0.05, 2.0, 6.0
 MAX_LANGUAGES = 1000  # bounds the matrix; more learned values raise an error
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,38 +111,49 @@ def fit(rows):
     return [r[0] for r in found], matrix, np.log(priors / max(priors.sum(), 1)) if len(found) else priors
 
 
-def predict(docs, model, keep=("doc_id",)):
-    """The columns ``keep`` of ``docs``, then ``lang_pred`` and ``score`` of its column ``text``.
-
-    ``score`` is the posterior of the predicted language. Texts that are null or have no
-    letter, and all texts under a model without languages, are ``und`` with score 0.
-    Ties go to the language that sorts first. Other columns are never read; repeated rows
-    are scored each.
-    """
+def _scored(docs, model, keep, *names):
+    """``keep`` of ``docs``, and those ``names`` of a text's ``lang_pred, score, likelihood, grams``."""
     ship(docs.sparkSession)
     keep = list(keep)
-    schema = kept_columns(docs, keep, "lang_pred", "score")
+    schema = kept_columns(docs, keep, *names)
+    types = {"lang_pred": "string", "score": "double", "likelihood": "double", "grams": "bigint"}
     langs, matrix, priors = model
     shared = docs.sparkSession.sparkContext.broadcast((np.array([*langs, UNDETERMINED]), matrix, priors))
 
     def run(batches):
-        names, table, prior = shared.value
+        known, table, prior = shared.value
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(len(keep)), limit=1 << 19):
                 buckets, first = ngrams(data, offsets)
-                best, score = np.full(hi - lo, len(names) - 1), np.zeros(hi - lo)
-                some = np.flatnonzero(np.diff(first))
-                if len(some) and len(names) > 1:
-                    sums = np.add.reduceat(table[buckets], first[some], axis=0, dtype=np.float64)
-                    sums = prior + sums * WEIGHT
+                best, score, mean = np.full(hi - lo, len(known) - 1), np.zeros(hi - lo), np.zeros(hi - lo)
+                grams = np.diff(first)
+                some = np.flatnonzero(grams)
+                if len(some) and len(known) > 1:
+                    likely = np.add.reduceat(table[buckets], first[some], axis=0, dtype=np.float64)
+                    sums = prior + likely * WEIGHT
                     best[some] = sums.argmax(1)
                     score[some] = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
+                    mean[some] = likely[np.arange(len(some)), best[some]] / grams[some]
                 kept = [batch.column(k).slice(lo, hi - lo) for k in range(len(keep))]
-                found = [pa.array(names[best].tolist(), pa.string()), pa.array(score)]
-                yield pa.RecordBatch.from_arrays([*kept, *found], names=[*keep, "lang_pred", "score"])
+                found = {
+                    "lang_pred": pa.array(known[best].tolist(), pa.string()), "score": pa.array(score),
+                    "likelihood": pa.array(mean), "grams": pa.array(grams, pa.int64()),
+                }
+                yield pa.RecordBatch.from_arrays([*kept, *[found[n] for n in names]], names=[*keep, *names])
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(run, ", ".join([*([schema] if keep else []), *[f"{n} {types[n]}" for n in names]]))
+
+
+def predict(docs, model, keep=("doc_id",)):
+    """The columns ``keep`` of ``docs``, then ``lang_pred`` and ``score`` of its column ``text``.
+
+    ``score`` is the posterior of the predicted language. Texts that are null or have no
+    letter, and all texts under a model without languages, are ``und`` with score 0.
+    Ties go to the language that sorts first. Other columns are never read; repeated rows
+    are scored each.
+    """
+    return _scored(docs, model, keep, "lang_pred", "score")
 
 
 def held_out(doc_id="doc_id"):
@@ -146,3 +164,20 @@ def held_out(doc_id="doc_id"):
 def identify(docs, keep=("doc_id",)):
     """Learn from the documents not held out and predict all."""
     return predict(docs, fit(docs.where(~held_out())), keep)
+
+
+def recognise(docs, keep=("doc_id",)):
+    """:func:`identify`, but texts in none of the learned languages are ``und``, too."""
+    taught = docs.where(~held_out()).where("lang is not null and text is not null")
+    model = fit(taught)
+    own = _scored(taught, model, [], "lang_pred", "likelihood", "grams").where("grams > 0")
+    low = own.groupBy("lang_pred").agg(F.percentile_approx("likelihood", LOW, 10_000).alias("low"))
+    low = {r.lang_pred: r.low - SLACK for r in low.collect()}  # a row per language
+    least = F.lit(min(low.values(), default=0.0))  # of languages that no training text is told to be
+    if low:
+        of = F.create_map(*[F.lit(x) for pair in low.items() for x in pair])
+        least = F.coalesce(of[F.col("lang_pred")], least)
+    rows = _scored(docs, model, keep, "lang_pred", "score", "likelihood", "grams")
+    strange = (F.col("grams") > 0) & (F.col("likelihood") < least - CHANCE / F.sqrt("grams"))
+    found = F.when(strange, F.lit(UNDETERMINED)).otherwise(F.col("lang_pred"))
+    return rows.select(*keep, found.alias("lang_pred"), "score")

@@ -94,5 +94,25 @@ def test_stages_keep_odd_rows(spark, sf):
         assert stage(spark, docs.limit(0), sf).collect() == [], name
 
 
+STRANGE = {
+    "Russian": "Это предложение написано на русском языке и не имеет ничего общего с другими языками.",
+    "Japanese": "これは日本語で書かれた文章です。他の言語とは関係がありません。",
+    "Polish": "To jest zdanie napisane w języku polskim i nie ma nic wspólnego z innymi językami tego zbioru.",
+    "noise": "xqzj wvkk qqzx jjwv kxzq vvkw zzqj " * 3,
+}
+
+
+def test_language_stage_drops_unlearned_languages(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").select(corpus_pipeline.DOCUMENT)
+    plain = ["This is a sentence about the weather.", "Voici une phrase simple sur la vie.", "Dies ist ein Satz."]
+    odd = [*STRANGE.values(), *(t * 40 for t in STRANGE.values())]
+    rows = [(10**9 + i, t, "en" if i % 4 == 3 else None, "s", len(t)) for i, t in enumerate([*odd, *plain])]
+    ids = {r.doc_id for r in docs.where("text rlike '[A-Za-z]'").select("doc_id").collect()}
+    kept = corpus_pipeline.keep_language(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), None)
+    kept = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert kept - ids == {i for i, t, *_ in rows if t in plain}
+    assert ids <= kept  # clean documents stay
+
+
 def test_masks_leave_clean_text_alone():
     assert set(sanitise.MASKS) == {*sanitise.KINDS, "term"}
