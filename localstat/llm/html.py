@@ -57,7 +57,8 @@ _HIDDEN, _BLOCKS, _BREAKS = set(HIDDEN), set(BLOCKS), set(BREAKS)
 _AWAY_TAGS, _MAIN_TAGS, _AWAY, _MAIN = set(AWAY_TAGS), set(MAIN_TAGS), set(AWAY_WORDS), set(MAIN_WORDS)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<hidden>{'|'.join(HIDDEN)})\b[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])(?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s>\"']+(?=[\s>]))*/>"  # empty
+    rf"|<(?P<hidden>{'|'.join(HIDDEN)})(?=[\s/>])[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
     r"|<[!?/][^>]*>",

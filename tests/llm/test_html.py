@@ -72,12 +72,29 @@ def test_decoder_is_consistent_and_optimal():
         ("<script>never closed <p>x", []),
         ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]),
         ('<p class="x>unclosed', ["unclosed"]),
+        ("<p>a</p><title-bar>t</title-bar><article>rest</article>", ["a", "t", "rest"]),
+        ("<video-js>v</video-js><p>rest<svg-icon></svg-icon>", ["v", "rest"]),
+        ("a<svg/>b<SVG class='x' d=\"1>2\" />c<math a=b />d", ["abcd"]),
+        ("a<svg class=x/>hidden</svg>b<svg/ x>hidden</svg>c", ["abc"]),  # the slash closes nothing here
+        ("a<svg><path/>hidden</svg>b<script/>hidden</script>c<template>hidden</template>d", ["abcd"]),
     ],
 )
 def test_parse(markup, blocks):
     assert [t for _, t in html.parse(markup).blocks] == blocks
 
 
+@pytest.mark.parametrize("part", ["<title-bar>t</title-bar>", "<video-js></video-js>", "<p>i <svg width='1'/></p>", "<math/>"])
+def test_rest_of_page_after_custom_and_empty_elements(spark, sf, part):
+    """In the main text and in conversion records."""
+    page = f"<html><body>{part}<article><h1>A</h1><p>{PROSE}</p><p>{PROSE}</p></article></body></html>"
+    assert html.visible_text(page).split("\n")[-2:] == [PROSE.strip()] * 2
+    pages = spark.createDataFrame([(1, "http://a/", page)], "page_id BIGINT, url STRING, html STRING")
+    (row,) = html.extract(pages).collect()
+    assert row.text.split("\n")[-2:] == [PROSE.strip()] * 2
+    made = {r.type: bytes(r.block).decode() for r in warc.derive(warc.responses(pages)).collect()}
+    assert made["conversion"].split("\n")[-2:] == [PROSE.strip()] * 2
+
+
 def test_odd_rows(spark, sf):
     schema = "page_id BIGINT, url STRING, html STRING, text STRING, n_chars STRING"
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
