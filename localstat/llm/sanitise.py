@@ -1,25 +1,27 @@
 """Personal data, and the terms that give it away.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by
-pattern and checked. Each distinct value is a protected entity. A term that stands near an
-entity discloses it when their pointwise mutual information, estimated over the documents of
-the corpus, comes close to all the information the entity carries::
+pattern and checked. Each distinct value, however it is spelt, is a protected entity. A term in
+a document of an entity discloses it when their pointwise mutual information, estimated over
+the documents of the corpus, comes close to all the information the entity carries::
 
-    ln(N df(e, t) / (df(e) df(t)))  >=  DISCLOSURE * ln(N / df(e))
+    ln(N (df(e, t) + 1/2) / ((df(e) + 1/2) (df(t) + 1/2)))  >=  DISCLOSURE * ln(N / df(e))
 
 Such terms become spans of their own wherever they stand in a document with that entity. An
-entity and a term must have met in ``SUPPORT`` different contexts (the letters around the
-entity), so that copies of one document prove nothing. Everything is built from DataFrame
-functions; the counts are combined aggregations over all documents.
+entity and a term must have met in ``SUPPORT`` different texts: equal texts, and near ones by
+minhashes of their words, count once, so that copies of one document prove nothing. What
+stands in a single text only cannot be told from the rest of that text. Everything is built
+from DataFrame functions; the counts are combined aggregations over all documents.
 """
 
 from pyspark.sql import functions as F
 
+from localstat.llm.components import components
 from localstat.plans.scale import materialise, sized
 
 KINDS = ["email", "ip", "card", "phone"]
-CONTEXT = 120  # characters on either side of an entity in which terms are looked for
-SUPPORT = 3
+SUPPORT = 2
+BANDS, ROWS = 6, 3  # texts are near if all minhashes of a band agree
 DISCLOSURE = 0.9
 TERM = r"\p{L}{3,}"
 MASKS = {k: f"[{k.upper()}]" for k in KINDS} | {"term": "[TERM]"}
@@ -54,14 +56,14 @@ def _valid(kind, c):
 
 
 def _found(kind, text):
-    """Checked matches of a kind, in order: ``start, end, value, before, after``.
+    """Checked matches of a kind, in order: ``start, end, value``.
 
-    The pieces between the matches give the positions, and the context on both sides.
+    The pieces between the matches give the positions.
     """
     pattern = F.lit(PATTERNS[kind])
-    struct = "struct<start:bigint,end:bigint,value:string,before:string,after:string>"
+    struct = "struct<start:bigint,end:bigint,value:string>"
     matches, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
-    steps = F.arrays_zip(matches.alias("m"), pieces.alias("p"), F.slice(pieces, 2, F.size(matches)).alias("q"))
+    steps = F.arrays_zip(matches.alias("m"), pieces.alias("p"))
     steps = F.slice(steps, 1, F.size(matches))
 
     def walk(acc, x):
@@ -71,8 +73,6 @@ def _found(kind, text):
             start.alias("start"),
             end.alias("end"),
             x["m"].alias("value"),
-            F.substring(x["p"], -CONTEXT, CONTEXT).alias("before"),
-            F.substring(x["q"], 1, CONTEXT).alias("after"),
         )
         out = F.when(_valid(kind, x["m"]), F.concat(acc["out"], F.array(hit))).otherwise(acc["out"])
         return F.struct(end.cast("bigint").alias("at"), out.cast(f"array<{struct}>").alias("out"))
@@ -91,55 +91,85 @@ def base_spans(docs):
 
 
 def _entity(kind, x):
-    return F.concat(F.lit(f"{kind}:"), F.lower(x["value"])).alias("entity")
+    value = F.lower(x["value"])
+    if kind == "ip":
+        value = F.regexp_replace(value, r"(?<![0-9])0+(?=[0-9])", "")
+    elif kind != "email":
+        value = _digits(value)
+    return F.concat(F.lit(f"{kind}:"), value).alias("entity")
+
+
+def _entities():
+    """All entities of a row of :func:`base_spans`."""
+    def named(k):
+        return F.transform(k, lambda x: _entity(k, x))
+
+    return F.array_distinct(F.concat(*[named(k) for k in KINDS]))
 
 
 def _terms(text):
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    """Lower-cased words in order, outside of e-mail addresses (the other kinds have no words)."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(text, PATTERNS["email"], " ")), F.lit(TERM), F.lit(0))
+
+
+def _groups(rows):
+    """``rows(mark, text)``, a row per text, to ``mark, group, terms``: near texts share a group."""
+    rows = rows.select("mark", _terms(F.col("text")).alias("words"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - 2, F.lit(1)))
+    shingles = F.transform(starts, lambda i: F.xxhash64(F.concat_ws(" ", F.slice("words", i, 3))))
+    rows = rows.select("mark", F.array_distinct("words").alias("terms"), shingles.alias("shingles"))
+    least = lambda seed: F.array_min(F.transform("shingles", lambda h: F.xxhash64(h, F.lit(seed))))
+    bands = [F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)]
+    rows = materialise(rows.select("mark", "terms", F.array(*bands).alias("bands")), "profiles")
+    each = rows.select(F.col("mark").alias("u"), F.explode("bands").alias("band"))
+    first = each.groupBy("band").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "v")
+    near = components(each.join(sized(materialise(first, "bands")), "band").select("u", "v"))
+    near = near.select(F.col("id").alias("mark"), F.col("component").alias("group"))
+    rows = rows.join(sized(materialise(near, "near")), "mark", "left")
+    return materialise(rows.select("mark", F.coalesce("group", "mark").alias("group"), "terms"), "groups")
 
 
 def disclosing_terms(base, docs):
     """``entity, term`` pairs above the threshold; ``base`` is the staged :func:`base_spans`."""
-    def described(k):
-        return F.transform(k, lambda x: F.struct(_entity(k, x), x["before"].alias("before"), x["after"].alias("after")))
-
-    each = [described(k) for k in KINDS]
-    met = base.select("doc_id", "mark", F.explode(F.concat(*each)).alias("x")).select("doc_id", "mark", "x.*")
-    # Words cut by the ends of the context don't count.
-    before = F.when(F.length("before") == CONTEXT, F.regexp_replace("before", r"^\p{L}+", "")).otherwise(F.col("before"))
-    after = F.when(F.length("after") == CONTEXT, F.regexp_replace("after", r"\p{L}+$", "")).otherwise(F.col("after"))
-    around = F.concat(before, F.lit(" "), after)
-    met = met.select("entity", "doc_id", "mark", around.alias("around"))
-    met = materialise(met.select("entity", "doc_id", "mark", F.xxhash64("around").alias("context"), "around"), "contexts")
-
-    documents = docs.count()
-    of_entity = met.select("entity", "doc_id", "mark").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    contexts = met.select("entity", "context", "around").dropDuplicates(["entity", "context"])
-    support = contexts.select("entity", F.explode(_terms(F.col("around"))).alias("term")).groupBy("entity", "term")
-    pairs = materialise(support.count().where(F.col("count") >= SUPPORT).select("entity", "term"), "pairs")
-    both = met.select("entity", "doc_id", "mark", F.explode(_terms(F.col("around"))).alias("term")).distinct()
-    both = both.join(sized(pairs), ["entity", "term"]).groupBy("entity", "term").agg(F.count("*").alias("df_et"))
-    wanted = materialise(pairs.select("term").distinct(), "terms")
+    met = materialise(base.select("mark", F.explode(_entities()).alias("entity")).distinct(), "met")
+    several = met.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("entity")
+    met = materialise(met.join(sized(materialise(several, "several")), "entity"), "met")
+    marks = materialise(met.select("mark").distinct(), "marks")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = docs.select(F.explode(_terms(text)).alias("term")).join(sized(wanted), "term")
-    of_term = words.groupBy("term").agg(F.count("*").alias("df_t"))
-
-    known = F.log(F.lit(float(max(documents, 1))) / F.col("df_e"))
-    shared = F.log(F.lit(float(documents)) * F.col("df_et") / (F.col("df_e") * F.col("df_t")))
-    found = both.join(of_entity, "entity").join(of_term, "term")
-    found = found.where((known > 0) & (shared >= DISCLOSURE * known)).select("entity", "term")
-    return materialise(found, "disclosing")
+    texts = docs.select(F.xxhash64(text).alias("mark"), text.alias("text"))
+    groups = _groups(texts.join(sized(marks), "mark", "left_semi").dropDuplicates(["mark"]))
+
+    of_group = met.join(groups.select("mark", "group"), "mark").select("entity", "group").distinct()
+    of_entity = of_group.groupBy("entity").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= SUPPORT)
+    of_entity = materialise(of_entity, "entities")
+    both = met.join(sized(of_entity), "entity").join(groups, "mark")
+    both = both.select("entity", "df_e", "group", F.explode("terms").alias("term")).distinct()
+    both = both.groupBy("entity", "df_e", "term").agg(F.count("*").alias("df_et")).where(F.col("df_et") >= SUPPORT)
+    both = materialise(both, "pairs")
+    wanted = sized(materialise(both.select("term").distinct(), "terms"))
+    # Texts of these entities count by group, all other documents by row.
+    inside = groups.select("group", F.explode("terms").alias("term")).join(wanted, "term").distinct()
+    inside = inside.groupBy("term").agg(F.count("*").alias("n"))
+    others = texts.join(sized(marks), "mark", "left_anti")
+    if not both.count():
+        return both.select("entity", "term")
+    documents = groups.select("group").distinct().count() + others.count()
+    outside = others.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(wanted, "term")
+    outside = outside.groupBy("term").agg(F.count("*").alias("n"))
+    of_term = inside.unionByName(outside).groupBy("term").agg(F.sum("n").alias("df_t"))
+
+    n = F.lit(float(max(documents, 1)))
+    known = F.log(n / F.col("df_e"))
+    shared = F.log(n * (F.col("df_et") + 0.5) / ((F.col("df_e") + 0.5) * (F.col("df_t") + 0.5)))
+    found = both.join(of_term, "term").where((known > 0) & (shared >= DISCLOSURE * known))
+    return materialise(found.select("entity", "term"), "disclosing")
 
 
 def _term_spans(base, docs):
     """``doc_id, mark, term``: spans of disclosing terms, outside of base spans, per document."""
     disclosing = disclosing_terms(base, docs)
 
-    def named(k):
-        return F.transform(k, lambda x: _entity(k, x))
-
-    entities = F.concat(*[named(k) for k in KINDS])
-    held = base.where(F.col("doc_id").isNotNull()).select("doc_id", "mark", F.explode(entities).alias("entity")).distinct()
+    held = base.where(F.col("doc_id").isNotNull()).select("doc_id", "mark", F.explode(_entities()).alias("entity"))
     held = held.join(sized(disclosing), "entity").groupBy("doc_id", "mark")
     held = materialise(held.agg(F.sort_array(F.collect_set("term")).alias("terms")), "held")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

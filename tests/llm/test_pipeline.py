@@ -6,8 +6,9 @@ import pytest
 import corpus_pipeline
 from localstat.llm import langid, quality, queries, sanitise, tokens
 from localstat.llm.text import slices
+from tests.llm.conftest import documents
 from tests.llm.test_minhash import brute_force
-from tests.llm.test_sanitise import brute_force_mask
+from tests.llm.test_sanitise import brute_force_mask, planted
 from tests.llm.test_tokens import PATH, check_pieces
 
 COLUMNS = {
@@ -114,5 +115,10 @@ def test_language_stage_drops_unlearned_languages(spark, sf):
     assert ids <= kept  # clean documents stay
 
 
+def test_personal_data_stage_masks_terms(spark):
+    masked = corpus_pipeline.mask_personal_data(spark, documents(spark, planted()), None).collect()
+    assert sum("[TERM]" in r.text for r in masked) == 8
+
+
 def test_masks_leave_clean_text_alone():
     assert set(sanitise.MASKS) == {*sanitise.KINDS, "term"}

@@ -77,6 +77,31 @@ def test_disclosing_terms(spark):
     assert texts[200] == "the unique qqqqq stands by [EMAIL] here"
 
 
+def planted():
+    """Entities in two unlike texts each, the term far away; and one in near copies of a text."""
+    noise = random.Random(3)
+    words = lambda n: " ".join("".join(noise.choice("abcdefgh") for _ in range(12)) for _ in range(n))
+    rows = [(i, f"the {words(40)}") for i in range(150)]
+    spelt = [("zed@mail.org", "ZED@mail.org"), ("+1 (988) 555-2485", "+1 988 555 2485"), ("10.1.2.3", "010.001.2.03")]
+    spelt += [("4111 1111 1111 1111", "4111-1111-1111-1111")]
+    for k, pair in enumerate(spelt):
+        for j, value in enumerate(pair):
+            rows.append((1000 + 10 * k + j, f"the Zyxwelt{'abcd'[k]} {words(60)} {value} or 9.8.7.{k}{j} {words(20)}"))
+    copied = words(80)
+    rows += [(2000 + j, f"Qqqqq {copied} copy@mail.org {words(1)}") for j in range(6)]
+    return rows
+
+
+def test_two_texts_suffice_and_near_copies_count_once(spark):
+    rows = planted()
+    texts = {r.doc_id: r.text for r in sanitise.sanitise(documents(spark, rows)).collect()}
+    for i, text in rows:
+        if 1000 <= i < 2000:
+            assert texts[i].startswith("the [TERM] ") and texts[i].count("[TERM]") == 1, i
+        else:
+            assert "[TERM]" not in texts[i]
+
+
 def brute_force_mask(text):
     spans = [s.split(":") for s in brute_force(text).split(",") if s]
     out, at = "", 0
