@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from localstat.llm import bpe, crosspolytope, digest, html, langid, minhash, packing, quality, sanitise, warc
+from localstat.llm import alignment, bpe, crosspolytope, digest, html, langid, minhash, packing, quality, sanitise, warc
 
 
 def _vocabulary(name="word_bpe_49k.json"):
@@ -77,6 +77,13 @@ def op10_sanitise(spark, sf_dir):
     )
 
 
+def op12_tokenizer_alignment(spark, sf_dir):
+    paths = _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model")
+    digest = "IF(n_a > 0, sha2(groups, 256), '')"
+    rows = alignment.scored(_table(spark, sf_dir, "documents"), *paths, groups=digest)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
