@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from localstat.llm import alignment, bpe, crosspolytope, digest, html, langid, minhash, packing, quality, sanitise, warc
+from localstat.llm import alignment, bpe, conversations, crosspolytope, digest, html, langid, minhash, packing, quality, sanitise, warc
 
 
 def _vocabulary(name="word_bpe_49k.json"):
@@ -77,6 +77,10 @@ def op10_sanitise(spark, sf_dir):
     )
 
 
+def op11_conversation_trie(spark, sf_dir):
+    return conversations.trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_tokenizer_alignment(spark, sf_dir):
     paths = _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model")
     digest = "IF(n_a > 0, sha2(groups, 256), '')"
@@ -120,6 +124,51 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) A
 FROM sized LEFT JOIN found ON u = doc_id"""
 
 
+#: Every prefix of every rebuilt conversation as a list; a node's subtree are the prefixes it begins.
+_CRC_STEPS = ", ".join(
+    f"c{i + 1} AS (SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM c{i})"
+    for i in range(8)
+)
+CONVERSATION_TRIE = f"""
+WITH c0 AS (SELECT i, i AS v FROM range(256) t(i)), {_CRC_STEPS},
+crcs AS (SELECT list(v ORDER BY i) AS crc FROM c8),
+turns AS (
+  SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(t ORDER BY n) AS turns FROM turns GROUP BY conv_id
+), bytes AS (
+  SELECT conv_id, turns, [ascii(x) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')] AS b FROM own
+), hashed AS (
+  SELECT conv_id, turns, xor(list_reduce(b, lambda a, x: xor(a >> 8, crc[CAST(xor(a, x) & 255 AS BIGINT) + 1]),
+    4294967295::BIGINT), 4294967295) % 4 AS h FROM bytes, crcs
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(f.turns, [])[1:o.h], o.turns[o.h + 1:]) AS turns
+  FROM hashed o LEFT JOIN own f ON f.conv_id = o.conv_id - o.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, d AS depth, turns[1:d] AS path, d = len(turns) AS ended
+  FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '') AS ends
+  FROM prefixes GROUP BY path, depth
+), children AS (
+  SELECT path[1:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), below AS (
+  SELECT n.path, n.path[1:d] AS top, (n.n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE
+    len(regexp_extract_all(n.path[n.depth].text, '[^\\x20\\x09-\\x0D]+')) END AS saved,
+    CASE WHEN c.n IS NULL THEN 1 ELSE 0 END AS leaf
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM nodes) n LEFT JOIN children c ON c.path = n.path
+), sums AS (
+  SELECT top, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM below GROUP BY top
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs,
+  coalesce(c.n, 0) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums s ON s.top = n.path LEFT JOIN children c ON c.path = n.path
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]"""
+
+
 def oracle_sql():
     """SQL of the queries that SQL can express; the others are tested against brute force."""
-    return {"op2_minhash_near_duplicates": NEAR_DUPLICATES}
+    return {"op2_minhash_near_duplicates": NEAR_DUPLICATES, "op11_conversation_trie": CONVERSATION_TRIE}
