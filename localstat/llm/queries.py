@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from localstat.llm import alignment, bpe, conversations, crosspolytope, digest, html, langid, minhash, packing, quality, sanitise, warc
+from localstat.llm import alignment, bpe, conversations, crosspolytope, digest, html, langid, minhash, packing, quality, quantised, sanitise, warc
 
 
 def _vocabulary(name="word_bpe_49k.json"):
@@ -88,6 +88,10 @@ def op12_tokenizer_alignment(spark, sf_dir):
     return rows.withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_product_quantisation(spark, sf_dir):
+    return quantised.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
