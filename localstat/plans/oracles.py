@@ -251,6 +251,16 @@ def oracle_sql():
             JOIN around a ON a.batch = z.batch AND a.node = z.node""",
     }
     side = "least(1200 / sqrt(n), 60)"
+    multi = sql(
+        f"SELECT event_id, batch, node, {r6('z * lag', 'lisa')} FROM scored JOIN around USING (batch, node)",
+        "readings", "nodes", "edges",
+        scored="""
+            SELECT event_id, batch, node, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z
+            FROM readings WINDOW w AS (PARTITION BY batch)""",
+        around="""
+            SELECT s.batch, e.dst AS node, avg(s.z) AS lag FROM scored s
+            JOIN edges e ON e.src = s.node GROUP BY 1, 2""",
+    )
 
     return {
         "spatial_lisa": sql(
@@ -273,16 +283,7 @@ def oracle_sql():
         "word_count": sql("SELECT word, count(*) AS n FROM words GROUP BY word", words=word_rows),
         "standardise": sql(f"SELECT batch, node, {r6('z', 'z')} FROM z", "readings", "obs", "stats", "z"),
         "spatial_lag": sql(f"SELECT batch, node, {r6('lag', 'lag')} FROM lags", *BASE),
-        "spatial_lisa_multi": sql(
-            f"SELECT event_id, batch, node, {r6('z * lag', 'lisa')} FROM scored JOIN around USING (batch, node)",
-            "readings", "nodes", "edges",
-            scored="""
-                SELECT event_id, batch, node, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS z
-                FROM readings WINDOW w AS (PARTITION BY batch)""",
-            around="""
-                SELECT s.batch, e.dst AS node, avg(s.z) AS lag FROM scored s
-                JOIN edges e ON e.src = s.node GROUP BY 1, 2""",
-        ),
+        "spatial_lisa_multi": multi,
         "one_per_node": sql(
             """SELECT batch, node, value FROM readings
             QUALIFY row_number() OVER (PARTITION BY batch, node ORDER BY ts DESC, event_id DESC) = 1""",
@@ -440,6 +441,9 @@ def oracle_sql():
         "stream_observations": sql("SELECT event_id, batch, node, value FROM readings", "readings"),
         "stream_spatial_lisa": sql(lisa_rows, *BASE),
         "stream_window_lisa": sql(lisa_rows, *BASE),
+        "stream_open_lisa": sql(lisa_rows, *BASE),
+        "stream_open_lisa_multi": multi,
+        "stream_window_lisa_multi": multi,
         "stream_history": f"""
             SELECT event_id, node, CAST(len(vals) AS INTEGER) AS n, {values} FROM (
               SELECT event_id, user_id + 1 AS node, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id

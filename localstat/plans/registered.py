@@ -12,6 +12,7 @@ from localstat.plans.inputs import K, SEED
 from localstat.plans.scale import fresh_path, materialise
 from localstat.sources import text, xml
 from localstat.streaming import jobs
+from localstat.streaming.open import stream_open_lisa as stream_open_lisa_job
 
 R, R_TEMPORAL, R_WHOLE, N_STATIONS = 99, 19, 1000, 5
 RUNS = ["click", "error", "purchase", "signup", "view"]
@@ -424,6 +425,31 @@ def _run_in_parts(spark, d, name, start):
     return spark.read.parquet(f"{path}/results/{name}")
 
 
+def _second():
+    """The zone-free event time as seconds, whatever the session's time zone."""
+    return F.unix_date(F.col("ts").cast("date")).cast("bigint") * 86400 + (
+        F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    )
+
+
+def _run_cut(spark, d, name, start, parts=4):
+    """The same over events that arrive in parts of equal time, which cut days in two.
+
+    The last part ends with a reading of no node, two days later, which closes all days.
+    """
+    path, events = fresh_path(spark, "stream"), inputs.table(spark, d, "events")
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    span = events.agg(F.min(_second()).alias("low"), F.max(_second()).alias("high")).first()
+    step = (span.high - span.low) // parts + 1
+    for i in range(parts):
+        part = events.where(F.floor((_second() - span.low) / step) == i)
+        part = part.unionByName(end, allowMissingColumns=True) if i == parts - 1 else part
+        part.write.mode("append").parquet(f"{path}/events")
+        rows = inputs.as_readings(spark.readStream.schema(events.schema).parquet(f"{path}/events"))
+        start(rows, f"{path}/results", f"{path}/checkpoint", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/results/{name}")
+
+
 def _stream_readings(spark, d):
     return inputs.as_readings(inputs.stream(spark, d, "events"))
 
@@ -449,12 +475,39 @@ def stream_spatial_lisa(spark, d):
     return show(found, "batch", "node", lisa="lisa")
 
 
-def stream_window_lisa(spark, d):
-    edges = inputs.edges(spark, d)
-    # The zone-free event time as an instant, whatever the session's time zone.
-    second = F.unix_date(F.col("ts").cast("date")) * 86400 + (
-        F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+def _open_lisa(spark, d, readings):
+    """Days that are spread over micro-batches; a day closes an hour after its end."""
+    edges, closes = inputs.edges(spark, d), (F.unix_date("batch").cast("bigint") + 1) * 86400
+    return _run_cut(
+        spark, d, sinks.LISA,
+        lambda rows, sink, checkpoint, state: stream_open_lisa_job(
+            rows, edges, _second(), closes, 3600, state, sink, checkpoint, readings
+        ),
     )
+
+
+def stream_open_lisa(spark, d):
+    return show(_open_lisa(spark, d, "mean"), "batch", "node", lisa="lisa")
+
+
+def stream_open_lisa_multi(spark, d):
+    return show(_open_lisa(spark, d, "each"), "event_id", "batch", "node", lisa="lisa")
+
+
+def stream_window_lisa_multi(spark, d):
+    edges = inputs.edges(spark, d)
+
+    def start(rows, sink, checkpoint, _):
+        rows = rows.select(F.timestamp_seconds(_second()).alias("ts"), "event_id", "node", "value")
+        return jobs.stream_window_lisa_multi(rows, edges, "1 day", "1 hour", sink, checkpoint)
+
+    found = _run_cut(spark, d, sinks.LISA, start, parts=3)
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("batch") / 86400).cast("int"))
+    return show(found.withColumn("batch", day), "event_id", "batch", "node", lisa="lisa")
+
+
+def stream_window_lisa(spark, d):
+    edges, second = inputs.edges(spark, d), _second()
     # A reading of no node, two days later, closes the last day.
     path, events = fresh_path(spark, "closed"), inputs.table(spark, d, "events").select("ts", "user_id", "value")
     end = events.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
@@ -473,12 +526,14 @@ def stream_window_lisa(spark, d):
 
 
 def stream_history(spark, d):
-    hist = _run_in_parts(
+    """Readings in the order of their time, over micro-batches that cut days in two."""
+    hist = _run_cut(
         spark, d, sinks.VALUES,
         lambda rows, sink, checkpoint, state: jobs.stream_history(
             rows, K, state, sink, checkpoint, order=["ts", "event_id"]
         ),
     )
+    hist = hist.where("event_id is not null")  # without the reading that closes the days
     names = [f"v{i}" for i in range(K)]
     return hist.select("event_id", "node", F.size("vals").alias("n"), *spread_out(F.col("vals"), names))
 
@@ -680,7 +735,8 @@ QUERIES = [
     expected_lisa, expected_positions, compare_results, parse_delays, batches_with_data,
     run_durations, duration_summary, duration_summary_combined, run_averages_wide, history_pivot,
     topology_averages, run_series_wide, duration_by_k, run_averages, history_averages, run_series,
-    stream_temporal_mc_local, stream_temporal_mc_global,
+    stream_temporal_mc_local, stream_temporal_mc_global, stream_open_lisa, stream_open_lisa_multi,
+    stream_window_lisa_multi,
 ]
 
 

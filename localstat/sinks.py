@@ -7,6 +7,8 @@ from localstat.functions.scalars import tuple_text
 # The names results are stored under.
 VALUES, LISA = "allValues", "finalLisaValues"
 POSITIONS, SETS = "measuredValuesPositions", "randomNeighbourTuples"
+# Readings that came after their batch had closed.
+LATE = "lateValues"
 # The batches that each micro-batch held.
 BATCHES = "batchesSeen"
 

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from localstat import schemas
+from localstat.functions.scalars import score
 from localstat.operators.montecarlo import temporal_mc_from_history
-from localstat.operators.stats import spatial_lisa
+from localstat.operators.stats import lisa_from_z, spatial_lisa
 from localstat.operators.temporal import history_arrays, lisa_from_history
-from localstat.plans.scale import sized, staged, staging
+from localstat.plans.scale import materialise, sized, staged, staging
 from localstat.sinks import BATCHES, LISA, POSITIONS, VALUES, write_batch
+from localstat.streaming.state import RunState
 
 
 def _stored(results, name):
@@ -90,14 +92,38 @@ def stream_window_lisa(sdf, edges, width, delay, sink, checkpoint, ts="ts", trig
     return stream_lisa(closed, sink, checkpoint, lambda df: spatial_lisa(df, edges), trigger=trigger)
 
 
+def stream_window_lisa_multi(sdf, edges, width, delay, sink, checkpoint, ts="ts", salts=16, trigger=None):
+    """Local statistic of every reading per event-time window; a node may send several.
+
+    The readings wait in the state of a stream-stream join for the moments of their window, which
+    leave their own aggregation once the watermark passes its end. So all readings of a window
+    come out of the join together, with its mean and deviation. The join is salted by node:
+    ``salts`` copies of a window's one row of moments spread its readings over as many tasks.
+    Further columns of the readings are kept; the newest windows stay open, as in
+    :func:`stream_window_lisa`.
+    """
+    edges = staged(edges, "edges")
+    rest = [c for c in sdf.columns if c not in (ts, "node", "value")]
+    rows = sdf.withWatermark(ts, delay).withColumn("_window", F.window(ts, width))
+    moments = rows.groupBy("_window").agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
+    moments = moments.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # The event time of the joined rows is that of the window alone.
+    rows = rows.select("_window", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int").alias("_salt"), "node", "value", *rest)
+    joined = rows.join(moments, ["_window", "_salt"]).select(
+        F.col("_window.start").alias("batch"), "node", "value", *rest,
+        score(F.col("value"), F.col("_mean"), F.col("_sd")).alias("z"),
+    )
+    return stream_lisa(joined, sink, checkpoint, lambda df: lisa_from_z(df, edges), trigger=trigger)
+
+
 def stream_history(sdf, k, state, sink, checkpoint, order=("batch",), before=None, then=None, trigger=None):
     """Histories of the last ``k`` readings per node, kept across micro-batches.
 
-    The state is a table with the last ``k`` readings of every node. A micro-batch
-    reads the version left by its predecessor, extends the histories with the same
-    function as the batch job, and writes its own version; two versions alternate, so a
-    repeated micro-batch still finds its input. Nothing is gathered per node beyond
-    ``k`` values, however many readings a node sends. ``order`` must be unique per node
+    The state holds the last ``k`` readings of every node (:class:`RunState`). A micro-batch
+    reads those of its own nodes from the version left by its predecessor, extends the
+    histories with the same function as the batch job, and writes the nodes it touched as part of
+    its own version, so a repeated micro-batch still finds its input. Nothing is gathered per node
+    beyond ``k`` values, however many readings a node sends. ``order`` must be unique per node
     and increase from one micro-batch to the next. ``before`` prepares the readings of a
     micro-batch, ``then`` turns its histories into the statistic, or into several results by
     name. Histories are stored as values, results under their own names.
@@ -107,25 +133,22 @@ def stream_history(sdf, k, state, sink, checkpoint, order=("batch",), before=Non
     def run(df, batch_id):
         spark = df.sparkSession
         df = df if "batch" in df.columns else df.withColumn("batch", F.lit(batch_id))
+        kept = RunState(spark, state)
         with staging(spark):
-            new = (before(df) if before else df).withColumn("_new", F.lit(True))
-            if batch_id > 0:
-                kept = spark.read.parquet(f"{state}/version={(batch_id - 1) % 2}")
-                new = new.unionByName(kept.withColumn("_new", F.lit(False)), allowMissingColumns=True)
-            new = new.persist()
-            try:
-                latest = Window.partitionBy("node").orderBy(*[F.desc(c) for c in order])
-                tail = new.select(*columns, F.row_number().over(latest).alias("_back"))
-                tail = tail.where(F.col("_back") <= k).drop("_back")
-                tail.write.mode("overwrite").parquet(f"{state}/version={batch_id % 2}")
-                hist = history_arrays(new, k, order).where("_new").drop("_new")
-                write_batch(hist, sink, VALUES, batch_id)
-                if then:
-                    hist = spark.read.parquet(f"{sink}/{VALUES}/batch_id={batch_id}")
-                    for key, result in _stored(then(hist), LISA).items():
-                        write_batch(result, sink, key, batch_id)
-            finally:
-                new.unpersist()
+            new = materialise((before(df) if before else df).withColumn("_new", F.lit(True)), "new")
+            nodes = materialise(new.select("node").distinct(), "nodes")
+            old = kept.read(batch_id - 1, nodes)
+            if old is not None:
+                new = new.unionByName(old.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+            latest = Window.partitionBy("node").orderBy(*[F.desc(c) for c in order])
+            tail = new.select(*columns, F.row_number().over(latest).alias("_back"))
+            kept.write(batch_id, tail.where(F.col("_back") <= k).drop("_back"))
+            hist = history_arrays(new, k, order).where("_new").drop("_new")
+            write_batch(hist, sink, VALUES, batch_id)
+            if then:
+                hist = spark.read.parquet(f"{sink}/{VALUES}/batch_id={batch_id}")
+                for key, result in _stored(then(hist), LISA).items():
+                    write_batch(result, sink, key, batch_id)
 
     return (
         sdf.writeStream.foreachBatch(run)
