@@ -51,31 +51,34 @@ def below(u, n):
     return f"({u} * ({n}) div {PRIME})"
 
 
-def draws_needed(choices, r, max_size=4, risk=1e-18):
-    """How many draws give at least ``r`` distinct sets, except with probability ``risk``.
+def stratified(rank, n, total, u, key=("_b", "_c"), out="_pick"):
+    """SQL texts that pick a number below ``total`` for each ``rank`` in 0 .. n-1, all of them distinct.
 
-    A draw picks a size 1..max_size evenly, then a set of that size out of ``choices``
-    nodes. Two tail bounds on the number of distinct sets are used, whichever settles
-    first: bounded differences (few repeats) and Chernoff on the sets still missing
-    (``r`` close to all there are).
+    The numbers are cut into ``n`` even stretches; each rank takes a random one of its stretch,
+    by the stream numbers ``u``, and all are moved on cyclically by a random distance that
+    depends on the key. So every single pick is equally likely to be any number. ``n`` is at
+    most ``total``, which is below 2**61; the last text is the result.
     """
-    counts = [math.comb(choices, s) for s in range(1, max_size + 1)]
-    total = sum(counts)
-    if r > total:
-        raise ValueError(f"only {total} distinct sets exist, {r} asked for")
-
-    def enough(draws):
-        misses = [(c, draws * math.log1p(-1 / (max_size * c))) for c in counts if c]
-        found = sum(-c * math.expm1(log) for c, log in misses)
-        if found - math.sqrt(draws * math.log(1 / risk) / 2) >= r:
-            return True
-        missing, room = sum(c * math.exp(log) for c, log in misses), total - r + 1
-        return missing < room and room * (1 + math.log(missing / room)) - missing <= math.log(risk)
-
-    low, high = r, r + 1
-    while not enough(high):
-        low, high = high, high * 2
-    while high - low > 1:
-        mid = (low + high) // 2
-        low, high = (low, mid) if enough(mid) else (mid, high)
-    return high
+    high = PRIME + 1
+    width = f"{total} div {n} + IF({rank} < {total} % {n}, 1, 0)"
+    first = f"{rank} * ({total} div {n}) + least({rank}, {total} % {n})"
+    shift = f"({key[0]} * {high} + {key[1]}) % {total}"
+    jitter = f"({u[0]} * {high} + {u[1]}) % ({width})"
+    return [f"({first} + {jitter} + {shift}) % {total} AS {out}"]
+
+
+def falling(n, k):
+    """SQL text of ``n (n - 1) .. (n - k + 1)``."""
+    pair = f"{n} * ({n} - 1)"
+    return {1: n, 2: pair, 3: f"{pair} * ({n} - 2)", 4: f"{pair} * ({pair} - 4 * {n} + 6)"}[k]
+
+
+def largest_choice(x, k, guess):
+    """SQL texts of a guess and of the largest n with C(n, k) <= x.
+
+    The root of ``k! x`` lies less than one below it; whole numbers decide which it is.
+    """
+    product = f"double({math.factorial(k)} * {x})"
+    root = {2: f"sqrt({product})", 3: f"cbrt({product})", 4: f"sqrt(sqrt({product}))"}[k]
+    whole = f"greatest(bigint(floor({root} + {(k - 1) / 2}D)), {k - 1}L) + 1 AS {guess}"
+    return whole, f"IF({falling(guess, k)} < {math.factorial(k)} * ({x} + 1), {guess}, {guess} - 1)"

@@ -5,17 +5,17 @@ gives a simulated statistic, and the observed one is placed among them:
 (number of smaller simulated values + 1) / (number of sets + 1).
 
 Sets and picks are functions of (seed, batch, node, draw), evaluated next to the row
-they belong to: drawing, dropping repeats, averaging and ranking share one
-partitioning. The drawn nodes' scores are read from one array per batch, so the drawn
+they belong to: drawing, averaging and ranking share one partitioning. The drawn nodes' scores are read from one array per batch, so the drawn
 members themselves are never shuffled: the arrays go to the rows, by broadcast when
 they are small together, else one copy per few million draws. Only graphs whose array
 would outgrow a row fall back to a join of members with scores.
 """
 
-from pyspark.sql import Window
+import math
+
 from pyspark.sql import functions as F
 
-from localstat.functions.rng import PRIME, below, draws_needed, numbers, stream_keys
+from localstat.functions.rng import PRIME, below, falling, largest_choice, numbers, stratified, stream_keys
 from localstat.operators.stats import lisa_from_z, standardise
 from localstat.operators.temporal import history_arrays, lag_rows, past_standardise, temporal_lag
 from localstat.operators.topology import max_degree, node_map, ranked_neighbours
@@ -23,15 +23,15 @@ from localstat.plans import scale
 from localstat.plans.scale import group_sizes, is_small, materialise, sized, staged
 
 LARGEST_SET = 4
-# Below this many nodes every set is enumerated instead of drawn.
-ENUMERATE_BELOW = 16
+# Below this many nodes all sets are equally likely, else all sizes.
+UNIFORM_BELOW = 16
+# Nodes that a key draws from at most, so that 24 times the number of sets fits 64 bits.
+UNIVERSE = 50_000
 # A simulated value within this distance of the observed one is equal to it: a set
 # that repeats the true neighbourhood differs only by the order of summation.
 TIE = 1e-9
 # Neighbour lists up to this length travel with the rows; longer ones are joined.
 INLINE_DEGREE = 1_000
-# Compare-and-swap steps that sort four values.
-SORT_STEPS = [(0, 1), (2, 3), (0, 2), (1, 3), (1, 2)]
 # Generated rows that one task should handle.
 DRAWS_PER_TASK = 2_000_000
 # Reduce partitions of one job; beyond it tasks get longer instead of more.
@@ -80,98 +80,95 @@ def _other(index, exclude_self=True):
     return f"{index} + 1 + IF({index} + 1 >= node, 1, 0)" if exclude_self else f"{index} + 1"
 
 
-def _drawn(keyed, by, choices, r, exclude_self):
-    """The first ``r`` distinct sets per key in draw order, by Floyd's sampling.
-
-    The arithmetic is SQL text with one select per step: later columns refer to the
-    aliases of earlier ones.
-    """
-    draws = draws_needed(choices, r, LARGEST_SET)
-    carried = [c for c in keyed.columns if c not in by]
-    slots = range(LARGEST_SET)
+def _classes(choices, largest=LARGEST_SET):
+    """Number of sets of each size that has any."""
+    return {k: math.comb(choices, k) for k in range(1, largest + 1) if k <= choices}
 
-    size = below("_u0", LARGEST_SET)
-    columns = [f"(_a + _draw * _b) % {PRIME} AS _x", *numbers("_x", n=LARGEST_SET + 1), f"{size} + 1 AS _size"]
-    # Floyd: step s picks among the first j + 1 choices and takes j itself on a repeat.
-    for s in slots:
-        j = f"({choices} - _size + {s})"
-        columns.append(f"{below(f'_u{s + 1}', f'{j} + 1')} AS _t{s}")
-        before = ", ".join(f"_m{i}" for i in range(s))
-        columns.append(f"IF(_t{s} IN ({before}), {j}, _t{s}) AS _m{s}" if s else "_t0 AS _m0")
-    rows = keyed.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    rows = rows.selectExpr("*", *columns)
-    # Sorted node numbers in four columns, absent ones zero: cheap keys to compare sets by.
-    columns = [f"IF(_size > {s}, {_other(f'_m{s}', exclude_self)}, 0L) AS _n{s}" for s in slots]
-    at = [f"_n{s}" for s in slots]
-    for step, (i, j) in enumerate(SORT_STEPS):
-        columns += [f"least({at[i]}, {at[j]}) AS _low{step}", f"greatest({at[i]}, {at[j]}) AS _high{step}"]
-        at[i], at[j] = f"_low{step}", f"_high{step}"
-    columns += [f"{c} AS _s{s}" for s, c in enumerate(at)]
-    rows = rows.selectExpr(*by, *carried, "_draw", *columns)
-    names = [f"_s{s}" for s in range(LARGEST_SET)]
-    distinct = rows.groupBy(*by, *names).agg(
-        F.min("_draw").alias("_draw"), *[F.first(c).alias(c) for c in carried]
-    )
-    order = Window.partitionBy(*by).orderBy("_draw")
-    ranked = distinct.withColumn("draw", F.row_number().over(order) - 1).where(F.col("draw") < r)
-    members = (
-        F.when(F.col("_s0") > 0, F.array(*names))
-        .when(F.col("_s1") > 0, F.array(*names[1:]))
-        .when(F.col("_s2") > 0, F.array(*names[2:]))
-        .otherwise(F.array(*names[3:]))
-    )
-    return ranked.withColumn("members", members).drop("_draw", *names)
-
-
-def _enumerated(keyed, by, choices, r, exclude_self):
-    """All sets of one to four nodes in a seeded random order, at most ``r`` per key."""
-    if choices < 1:  # a single node has no set; the sequence below would count down
-        keyed, choices = keyed.where("false"), 1
-    mask = F.col("_mask")
-    masks = F.sequence(F.lit(1).cast("bigint"), F.lit(2**choices - 1).cast("bigint"))
-    rows = keyed.withColumn("_mask", F.explode(masks)).where(F.bit_count(mask).between(1, LARGEST_SET))
-    rows = rows.selectExpr("*", f"(_a + _mask * _b) % {PRIME} AS _x", *numbers("_x", n=2))
-    order = Window.partitionBy(*by).orderBy("_u1", "_mask")
-    rows = rows.withColumn("draw", F.row_number().over(order) - 1).where(F.col("draw") < r)
-    members = F.array_compact(
-        F.array(
-            *[
-                F.expr(f"IF(_mask & {1 << i} <> 0, {_other(f'{i}L', exclude_self)}, NULL)")
-                for i in range(choices)
-            ]
-        )
-    )
-    return rows.withColumn("members", members).drop("_mask", "_x", "_u0", "_u1")
 
+def _even_sizes(counts, r):
+    """SQL texts of the size and rank of draw ``_draw``, and how many ranks each size has at most.
 
-def _draws_per_key(n_nodes, r, exclude_self=True):
-    choices = n_nodes - 1 if exclude_self else n_nodes
-    return 2**choices if n_nodes < ENUMERATE_BELOW else draws_needed(choices, r, LARGEST_SET)
+    Sizes take turns while they have sets left. Smaller classes run out first; from there on
+    the others take turns. The order within a turn differs by key.
+    """
+    sizes, ranks, most, start, rank = [], [], dict.fromkeys(counts, 0), 0, 0
+    left = dict(sorted(counts.items(), key=lambda c: c[1]))
+    while left and start < r:
+        least, width = next(iter(left.values())), len(left)
+        until = start + width * (least - rank)
+        turn, place = f"((_draw - {start}L) div {width})", f"((_draw - {start}L + _a) % {width})"
+        # The places of a turn are a rotation, so each size comes once in it.
+        own = " ".join(f"WHEN {i} THEN {k}" for i, k in enumerate(sorted(left)))
+        sizes.append(f"WHEN _draw < {until}L THEN CASE {place} {own} END")
+        ranks.append(f"WHEN _draw < {until}L THEN {rank}L + {turn}")
+        most |= {k: min(least, rank - (start - r) // width) for k in left}
+        start, rank, left = until, least, {k: c for k, c in left.items() if c > least}
+    return f"CASE {' '.join(sizes)} END AS _size", f"CASE {' '.join(ranks)} END AS _rank", most
+
+
+def _sets_per_key(n_nodes, r, exclude_self=True):
+    """How many sets a key gets: ``r``, or all there are."""
+    return min(r, sum(_classes(n_nodes - 1 if exclude_self else n_nodes).values()))
 
 
 def _sets(placed, by, n_nodes, r, seed, exclude_self=True):
-    """Sets for rows that are already partitioned by key (or by batch and salt)."""
+    """Sets for rows that are already partitioned by key (or by batch and salt).
+
+    A set has a number, its place among the combinations of its size. The numbers are cut into as
+    many stretches as there are draws, and every draw takes a random one of its own stretch
+    (:func:`stratified`): no draw is repeated, and nothing has to be compared or shuffled. The
+    arithmetic is SQL text, later columns refer to the aliases of earlier ones.
+    """
     choices = n_nodes - 1 if exclude_self else n_nodes
-    make = _enumerated if n_nodes < ENUMERATE_BELOW else _drawn
-    keys = [*by, *[c for c in ("_salt",) if c in placed.columns]]
-    return make(_with_keys(placed, by, seed), keys, choices, r, exclude_self)
+    universe = min(choices, UNIVERSE)
+    counts = _classes(universe)
+    total = sum(counts.values())
+    if not total:  # a single node has no set
+        return placed.where("false").withColumns({"draw": F.lit(0), "members": F.array().cast("array<bigint>")})
+    rows = _with_keys(placed, by, seed)
+    kept = [*rows.columns]
+    rows = rows.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(min(r, total) - 1))))
+    columns = [f"(_a + _draw * _b) % {PRIME} AS _x", *numbers("_x", n=2)]
+    if n_nodes < UNIFORM_BELOW:
+        columns += stratified("_draw", f"{min(r, total)}L", f"{total}L", ("_u0", "_u1"))
+        at, size, first = 0, [], []
+        for k, c in counts.items():
+            at += c
+            size.append(f"WHEN _pick < {at}L THEN {k}")
+            first.append(f"WHEN _pick < {at}L THEN {at - c}L")
+        columns += [f"CASE {' '.join(size)} END AS _size", f"_pick - CASE {' '.join(first)} END AS _x4"]
+    else:
+        size, rank, most = _even_sizes(counts, r)
+        of_size = lambda values: " ".join(f"WHEN {k} THEN {c}L" for k, c in values.items())
+        columns += [size, rank, f"CASE _size {of_size(counts)} END AS _all", f"CASE _size {of_size(most)} END AS _most"]
+        columns += stratified("_rank", "_most", "_all", ("_u0", "_u1"), out="_x4")
+    for k in range(LARGEST_SET, 1, -1):
+        guess, found = largest_choice(f"_x{k}", k, f"_g{k}")
+        columns += [guess, f"IF(_size >= {k}, {found}, NULL) AS _i{k}"]
+        columns.append(f"IF(_size >= {k}, _x{k} - {falling(f'_i{k}', k)} div {math.factorial(k)}, _x{k}) AS _x{k - 1}")
+    columns.append("_x1 AS _i1")
+    places = [f"_i{k}" for k in range(1, LARGEST_SET + 1)]
+    if universe < choices:  # every key has nodes of its own, a stride apart
+        stride = next(s for s in range(choices * 5 // 8, choices) if math.gcd(s, choices) == 1)
+        places = [f"(({i} * {stride}L + _c) % {choices}L)" for i in places]
+    members = ", ".join(_other(i, exclude_self) for i in places)
+    members = f"slice(array({members}), 1, _size)"
+    members = f"sort_array({members})" if universe < choices else members
+    # Out of a generator, so that filters on members are not rewritten in terms of all the columns
+    # before them, which would double the condition with each.
+    return rows.selectExpr("*", *columns).selectExpr(*kept, "_draw AS draw", f"explode(array({members})) AS members")
 
 
 def random_sets(keys, n_nodes, r, seed, by=("batch", "node"), exclude_self=True):
     """Add ``draw`` and ``members`` to every row of ``keys``: ``r`` distinct random sets.
 
-    ``by`` identifies the rows. Leaving ``batch`` out shares the sets between batches.
-    Below 16 nodes the sets are enumerated, and all of them are returned when there are
-    fewer than ``r``; otherwise asking for more than exist is an error.
+    ``by`` identifies the rows. Leaving ``batch`` out shares the sets between batches. Sizes one
+    to four are equally frequent while they last; below 16 nodes all sets are equally likely.
+    Where fewer than ``r`` sets exist, all of them are returned.
     """
     keys = materialise(keys, "keys")
-    work = keys.count() * _draws_per_key(n_nodes, r, exclude_self)
-    sets = _sets(_spread(keys, by, work), by, n_nodes, r, seed, exclude_self).drop(*_KEYS)
-    if n_nodes < ENUMERATE_BELOW:
-        return sets
-    short = F.raise_error(F.lit("too few distinct sets drawn; use another seed")).cast("int")
-    found = F.max("draw").over(Window.partitionBy(*by)) + 1
-    return sets.withColumn("draw", F.when(found == r, F.col("draw")).otherwise(short))
+    work = keys.count() * _sets_per_key(n_nodes, r, exclude_self)
+    return _sets(_spread(keys, by, work), by, n_nodes, r, seed, exclude_self).drop(*_KEYS)
 
 
 def nest_sets(sets, by=("batch", "node")):
@@ -314,14 +311,6 @@ def rank_position(sims):
     return ranked.drop("_salt").withColumn("position", (F.col("below") + 1) / (F.col("n") + 1))
 
 
-def _complete(ranked, n_nodes, r):
-    """Fail rather than rank against fewer than ``r`` drawn sets."""
-    if n_nodes < ENUMERATE_BELOW:
-        return ranked
-    short = F.raise_error(F.lit("too few distinct sets drawn; use another seed"))
-    return ranked.withColumn("n", F.when(F.col("n") == r, F.col("n")).otherwise(short.cast("bigint")))
-
-
 def spatial_lisa_mc(obs, edges, n_nodes, r, seed, resample="per_batch"):
     """Local statistic with its Monte Carlo position.
 
@@ -336,13 +325,13 @@ def spatial_lisa_mc(obs, edges, n_nodes, r, seed, resample="per_batch"):
     scores = _Scores(z, n_nodes)
     lisa = lisa_from_z(z, edges)
     if resample == "per_batch":
-        placed = scores.place(lisa, rows, _draws_per_key(n_nodes, r))
+        placed = scores.place(lisa, rows, _sets_per_key(n_nodes, r))
         sets = _sets(placed, by, n_nodes, r, seed).drop(*_KEYS)
     else:
         nodes = edges.select(F.col("src").alias("node")).distinct()
         sets = materialise(random_sets(nodes, n_nodes, r, seed, by=["node"]), "sets")
-        sets = scores.place(lisa, rows, r).join(sized(sets), "node")
-    return _complete(rank_position(simulated_lisa(scores.means(sets))), n_nodes, r)
+        sets = scores.place(lisa, rows, _sets_per_key(n_nodes, r)).join(sized(sets), "node")
+    return rank_position(simulated_lisa(scores.means(sets)))
 
 
 def _past_picks(sets, edges, n_nodes, scope, inline_degree):
@@ -414,7 +403,7 @@ def temporal_mc_from_history(
     lisa = lagged.withColumn("lisa", F.col("z") * F.col("lag")).drop("lag")
     scores = _Scores(z_rows, n_nodes, k)
     # Every draw has a row per position of the history.
-    placed = scores.place(lisa, z_rows.count(), _draws_per_key(n_nodes, r))
+    placed = scores.place(lisa, z_rows.count(), _sets_per_key(n_nodes, r))
     sets = _sets(placed, ["batch", "node"], n_nodes, r, seed)
     means = scores.means(_past_picks(sets, edges, n_nodes, scope, inline_degree))
-    return _complete(rank_position(simulated_lisa(means)), n_nodes, r)
+    return rank_position(simulated_lisa(means))

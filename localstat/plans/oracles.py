@@ -4,12 +4,11 @@ Written from the definitions, not from the operators: neighbour lists are expand
 instead of summed, the grid is a join, and the temporal average runs over all values.
 """
 
+import math
+
 from localstat.functions.rng import PRIME, STEPS
 from localstat.plans.registered import K, R, R_TEMPORAL, R_WHOLE, RUNS, SEED
 
-# More draws than any query needs; the first distinct sets do not depend on it.
-DRAWS, DRAWS_TEMPORAL, DRAWS_WHOLE = 260, 120, 1500
-
 CTES = {
     "readings": "SELECT event_id, ts, CAST(ts AS DATE) AS batch, user_id + 1 AS node, value FROM events",
     "obs": "SELECT batch, node, avg(value) AS value FROM readings GROUP BY batch, node",
@@ -83,54 +82,73 @@ def keyed(source, key):
     return f"SELECT *, {parts} FROM {source}"
 
 
-def drawn_sets(source, by, r, draws):
-    """Tables ending in ``sets``: the first r distinct sets of every row of ``source``."""
+def picked(source, rank, n, total):
+    """Tables ending in ``picked``, with ``y``: a distinct number below ``total`` for each rank below ``n``."""
+    high = 2**31
+    result = {"streams": f"SELECT *, (a + draw * b) % {PRIME} AS x FROM {source}"} | numbers("streams", "s", n=2)
+    result["stretches"] = f"""
+        SELECT *, {rank} * ({total} // {n}) + least({rank}, {total} % {n}) AS low,
+          ({rank} + 1) * ({total} // {n}) + least({rank} + 1, {total} % {n}) AS up FROM s1"""
+    jitter = f"low + (u0 * {high} + u1) % (up - low)"
+    return result | {"picked": f"SELECT *, ({jitter} + (b * {high} + c) % {total}) % {total} AS y FROM stretches"}
+
+
+def choose(n, k):
+    """The binomial coefficient of whole numbers, negative ones giving none."""
+    product = " * ".join(f"greatest({n} - {i}, 0)::HUGEINT" for i in range(k))
+    return f"({product} // {[1, 1, 2, 6, 24][k]})"
+
+
+def combination(source, by):
+    """Tables ending in ``sets``: combination number ``z`` of ``size`` nodes, sizes descending."""
+    result, last = {}, source
+    for k in (4, 3, 2, 1):
+        # The largest n with C(n, k) <= z lies next to the root.
+        root = f"CAST(({math.factorial(k)} * z) ** (1.0 / {k}) AS BIGINT) + 5"
+        found = f"list_filter([{', '.join(f'{root} - {i}' for i in range(8))}], lambda g: {choose('g', k)} <= z)[1]"
+        result[f"pick{k}"] = f"SELECT *, CASE WHEN size >= {k} THEN {found} END AS i{k} FROM {last}"
+        result[f"rest{k}"] = f"SELECT * REPLACE (CASE WHEN size >= {k} THEN z - {choose(f'i{k}', k)} ELSE z END AS z) FROM pick{k}"
+        last = f"rest{k}"
+    shifted = ", ".join(f"i{k} + 1 + CASE WHEN i{k} + 1 >= node THEN 1 ELSE 0 END" for k in (1, 2, 3, 4))
+    result["sets"] = f"SELECT {', '.join(by)}, draw, [x FOR x IN [{shifted}] IF x IS NOT NULL] AS members FROM {last}"
+    return result
+
+
+def drawn_sets(source, by, r):
+    """Tables ending in ``sets``: r distinct sets of every row of ``source``, sizes in turn."""
     cols = ", ".join(by)
-    key = " || ':' || ".join(by)
     result = {
-        "keyed": keyed(source, key),
+        "keyed": keyed(source, " || ':' || ".join(by)),
+        "sizes": "SELECT size, " + "CASE size " + " ".join(f"WHEN {k} THEN {choose('others', k)}" for k in (1, 2, 3, 4))
+        + " END::BIGINT AS total FROM range(1, 5) t(size), (SELECT count(*) - 1 AS others FROM nodes)",
+        # Turn q has a set of every size that has more than q; it starts after all sets of earlier turns.
+        "turns": f"""
+            SELECT q, s.size, s.total, count(*) FILTER (o.total > q) AS width,
+              count(*) FILTER (o.total > q AND o.size < s.size) AS place, sum(least(o.total, q))::BIGINT AS start
+            FROM range({r}) t(q), sizes s, sizes o WHERE s.total > q GROUP BY q, s.size, s.total""",
+        "most": f"SELECT size, count(*) AS most FROM turns WHERE start < {r} GROUP BY size",
         "tries": f"""
-            SELECT {cols}, try, (a + try * b) % {PRIME} AS x, (SELECT count(*) - 1 FROM nodes) AS others
-            FROM keyed, range({draws}) t(try)""",
+            SELECT {cols}, a, b, c, q, size, total, most, start + ((place - a) % width + width) % width AS draw
+            FROM keyed, turns JOIN most USING (size) WHERE start + ((place - a) % width + width) % width < {r}""",
     }
-    result |= numbers("tries", "s")
-    result["sized"] = f"SELECT *, u0 * 4 // {PRIME} + 1 AS size FROM s4"
-    picks = ", ".join(f"u{i + 1} * (others - size + {i + 1}) // {PRIME} AS t{i}" for i in range(4))
-    result["picked"] = f"SELECT *, {picks} FROM sized"
-    last, names = "picked", []
-    for i in range(4):
-        repeat = f"CASE WHEN t{i} IN ({', '.join(names)}) THEN others - size + {i} ELSE t{i} END" if names else "t0"
-        result[f"floyd{i}"] = f"SELECT *, {repeat} AS m{i} FROM {last}"
-        last = f"floyd{i}"
-        names.append(f"m{i}")
-    shifted = ", ".join(f"m{i} + 1 + CASE WHEN m{i} + 1 >= node THEN 1 ELSE 0 END" for i in range(4))
-    result["listed"] = f"SELECT {cols}, try, list_sort(([{shifted}])[1:size]) AS members FROM floyd3"
-    result["single"] = f"SELECT {cols}, members, min(try) AS try FROM listed GROUP BY ALL"
-    result["sets"] = f"""
-        SELECT {cols}, draw, members FROM (
-          SELECT *, row_number() OVER (PARTITION BY {cols} ORDER BY try) - 1 AS draw FROM single
-        ) WHERE draw < {r}"""
-    return result
+    result |= picked("tries", "q", "most", "total")
+    result["numbered"] = f"SELECT {cols}, draw, size, y AS z FROM picked"
+    return result | combination("numbered", by)
 
 
-def enumerated(source, r):
-    """Tables ending in ``sets`` for 15 nodes: all sets in seeded order, the first r."""
-    members = ", ".join(
-        f"CASE WHEN mask & {1 << i} <> 0 THEN {i + 1} + CASE WHEN {i + 1} >= node THEN 1 ELSE 0 END END"
-        for i in range(14)
-    )
+def enumerated(source, r, others=14):
+    """Tables ending in ``sets`` for a small graph: all its sets in keyed order, the first r."""
+    totals = [math.comb(others, k) for k in (1, 2, 3, 4)]
+    below = [sum(totals[:k]) for k in range(5)]
     result = {
         "keyed": keyed(source, "batch || ':' || node"),
-        "tries": f"""
-            SELECT batch, node, mask, (a + mask * b) % {PRIME} AS x FROM keyed, range(1, 16384) t(mask)
-            WHERE bit_count(mask) <= 4""",
+        "tries": f"SELECT batch, node, a, b, c, d AS draw FROM keyed, range({min(r, below[4])}) t(d)",
     }
-    result |= numbers("tries", "s", n=2)
-    result["sets"] = f"""
-        SELECT batch, node, draw, [x FOR x IN [{members}] IF x IS NOT NULL] AS members FROM (
-          SELECT *, row_number() OVER (PARTITION BY batch, node ORDER BY u1, mask) - 1 AS draw FROM s1
-        ) WHERE draw < {r}"""
-    return result
+    result |= picked("tries", "draw", min(r, below[4]), below[4])
+    size = " ".join(f"WHEN y < {below[k]} THEN {k}" for k in (1, 2, 3, 4))
+    first = " ".join(f"WHEN y < {below[k]} THEN {below[k - 1]}" for k in (1, 2, 3, 4))
+    result["numbered"] = f"SELECT batch, node, draw, CASE {size} END AS size, y - CASE {first} END AS z FROM picked"
+    return result | combination("numbered", ["batch", "node"])
 
 
 MEANS = {
@@ -171,7 +189,7 @@ def temporal(cells):
 def temporal_mc(scope):
     tables = {"hist": CTES["hist"], "cells": CTES["cells"], **temporal("cells")}
     tables["targets"] = "SELECT batch, node FROM tlisa"
-    tables |= drawn_sets("targets", ["batch", "node"], R_TEMPORAL, DRAWS_TEMPORAL)
+    tables |= drawn_sets("targets", ["batch", "node"], R_TEMPORAL)
     tables["slots"] = f"""
         SELECT s.batch, s.node, s.draw, p.lag, (k.a + s.draw * k.b + p.lag * k.c) % {PRIME} AS x
         FROM sets s JOIN keyed k ON k.batch = s.batch AND k.node = s.node
@@ -205,12 +223,12 @@ def oracle_sql():
     lisa_rows = f"SELECT batch, node, {r6('lisa', 'lisa')} FROM lisa"
     history = ["readings", "obs", "hist"]
     tables = {"temporal": temporal("cells"), "latest": temporal("cells_latest")}
-    obs_sets = drawn_sets("obs", ["batch", "node"], R_TEMPORAL, DRAWS_TEMPORAL)
+    obs_sets = drawn_sets("obs", ["batch", "node"], R_TEMPORAL)
     listed = "array_to_string(members, ',') AS members"
     simulated = {**obs_sets, **MEANS}
-    mc = {**drawn_sets("lisa", ["batch", "node"], R, DRAWS), **MEANS, **RANKED}
-    mc_temporal_r = {**drawn_sets("lisa", ["batch", "node"], R_TEMPORAL, DRAWS_TEMPORAL), **MEANS, **RANKED}
-    shared_sets = drawn_sets("nodes", ["node"], R, DRAWS)
+    mc = {**drawn_sets("lisa", ["batch", "node"], R), **MEANS, **RANKED}
+    mc_temporal_r = {**drawn_sets("lisa", ["batch", "node"], R_TEMPORAL), **MEANS, **RANKED}
+    shared_sets = drawn_sets("nodes", ["node"], R)
     # Sets drawn per node, applied in every batch.
     shared = {
         **shared_sets,
@@ -224,7 +242,7 @@ def oracle_sql():
     small |= {n: CTES[n] for n in BASE[3:]} | enumerated("lisa", R) | MEANS | RANKED
     whole = {"obs": "SELECT DATE '2024-01-01' AS batch, user_id + 1 AS node, avg(value) AS value FROM events GROUP BY 2"}
     whole |= {n: CTES[n] for n in BASE[2:]}
-    whole |= drawn_sets("lisa", ["batch", "node"], R_WHOLE, DRAWS_WHOLE) | MEANS | RANKED
+    whole |= drawn_sets("lisa", ["batch", "node"], R_WHOLE) | MEANS | RANKED
     values = ", ".join(f"{r6(f'vals[{i + 1}]', f'v{i}')}" for i in range(K))
     past = ", ".join(f"{r6(f'vals[{i + 1}]', f'p{i}')}" for i in range(1, K))
     day_ms = "CAST(epoch_ms(CAST(CAST(ts AS DATE) AS TIMESTAMP)) AS VARCHAR)"

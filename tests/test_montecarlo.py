@@ -68,17 +68,44 @@ def test_small_graphs_enumerate_every_set(spark):
     assert all(len(s) == 7 for s in sets_by_key(mc.random_sets(keys, 6, 7, seed=1)).values())
 
 
-def test_asking_for_too_many_sets_fails(spark):
-    with pytest.raises(ValueError):
-        mc.random_sets(keys_frame(spark, 1, 16), 16, 1941, seed=1)
+def test_asking_for_too_many_sets_gives_all(spark):
+    for sets in sets_by_key(mc.random_sets(keys_frame(spark, 1, 16), 16, 1941, seed=1)).values():
+        assert len(set(sets.values())) == len(sets) == 1940
 
 
-@pytest.mark.parametrize("choices, r", [(15, 100), (15, 1940), (149, 99), (1499, 1000), (10**8, 1000)])
-def test_number_of_draws_bounds_the_risk(choices, r):
-    draws = rng.draws_needed(choices, r)
-    assert r <= draws
-    if r < 1500:
-        assert draws < 1.3 * r + 150 or choices == 15
+def test_huge_graphs_draw_from_nodes_a_stride_apart(spark, monkeypatch):
+    monkeypatch.setattr(mc, "UNIVERSE", 40)
+    seen = set()
+    for (_, node), sets in sets_by_key(mc.random_sets(keys_frame(spark, 2, 30), 300, 60, seed=4)).items():
+        assert len(set(sets.values())) == 60
+        for s in sets.values():
+            assert list(s) == sorted(set(s)) and node not in s and 1 <= s[0] and s[-1] <= 300
+        seen |= {m for s in sets.values() for m in s}
+    assert len(seen) > 290
+
+
+@pytest.mark.parametrize("k", [2, 3, 4])
+def test_largest_choice_is_exact(spark, k):
+    """Around every coefficient of small numbers and of the largest ones in use."""
+    near = [*range(k, 400), *range(mc.UNIVERSE - 200, mc.UNIVERSE)]
+    rows = [(math.comb(n, k) + d,) for n in near for d in (-1, 0, 1)]
+    guess, found = rng.largest_choice("x", k, "g")
+    got = spark.createDataFrame(rows, "x BIGINT").selectExpr("x", guess, f"{found} AS n")
+    for r in got.collect():
+        assert math.comb(r.n, k) <= r.x < math.comb(r.n + 1, k)
+
+
+@pytest.mark.parametrize("n, total", [(1, 1), (5, 7), (7, 7), (1000, 3 * 10**17)])
+def test_picks_are_distinct_and_even(spark, n, total):
+    keys = spark.range(200).selectExpr("id", "pmod(hash(id), 2147483647) AS _b", "pmod(hash(id, 1), 2147483647) AS _c")
+    rows = keys.selectExpr("*", f"explode(sequence(0L, {n - 1}L)) AS rank").selectExpr(
+        "*", "pmod(hash(id, rank, 2), 2147483647) AS u", "pmod(hash(id, rank, 3), 2147483647) AS v"
+    )
+    texts = rng.stratified("rank", f"{n}L", f"{total}L", ("u", "v"))
+    got = rows.selectExpr("*", *texts).selectExpr("id", "rank", "_pick").collect()
+    assert len({(r.id, r._pick) for r in got}) == len(got) and all(0 <= r._pick < total for r in got)
+    first = [r._pick / total for r in got if r.rank == 0]  # one pick of each key is even over all numbers
+    assert total == 1 or 0.35 < np.mean(first) < 0.65
 
 
 def test_nodes_must_be_numbered(spark):
