@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 
 def node_key(col):
-    """Number of an id such as ``node12``."""
-    return F.regexp_extract(col, r"(\d+)$", 1).cast("bigint")
+    """Number of an id such as ``node12``; null where there is none."""
+    return F.regexp_extract(col, r"(\d+)$", 1).try_cast("bigint")
 
 
 def score(value, mean, sd):

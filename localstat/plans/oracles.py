@@ -255,7 +255,9 @@ def oracle_sql():
             r6("stddev_pop(seconds)", "std_dev"),
         ]
     )
-    files = "SELECT batch, event_id % 8 AS file, count(*) AS lines FROM readings GROUP BY 1, 2 HAVING count(*) > 42"
+    files = """
+        SELECT * FROM (SELECT batch, event_id % 8 AS file, count(*) AS lines FROM readings GROUP BY 1, 2)
+        QUALIFY lines > floor(median(lines) OVER ())"""
     word_rows = """
         SELECT unnest(string_split(rtrim(text, ' '), ' ')) AS word FROM documents
         WHERE length(text) = 0 OR rtrim(text, ' ') <> ''"""

@@ -656,15 +656,21 @@ def parse_delays(spark, d):
     return show(runs.parse_delays(spark.read.text(path)), "batch", seconds="seconds")
 
 
+def _median_lines(lines):
+    """Lines of the median part, rounded down: parts with more of them count as data."""
+    parts = lines.groupBy("batch", "file").count()
+    return int(parts.agg(F.percentile("count", F.lit(0.5)).alias("m")).first().m or 0)
+
+
 def batches_with_data(spark, d):
-    """Part files of each day; a day counts when one of them exceeds 42 lines."""
+    """Part files of each day; a day counts when one of them has more lines than the median part."""
     path = fresh_path(spark, "parts")
     rows = inputs.readings(spark, d).withColumn("part", F.col("event_id") % 8)
     rows.repartition("batch", "part").select(
         "batch", "part", F.concat_ws(",", F.col("node").cast("string"), F.col("value").cast("string")).alias("value")
     ).write.partitionBy("batch", "part").text(path)
     lines = spark.read.text(path).select("batch", F.col("_metadata.file_path").alias("file"))
-    return runs.batches_with_data(lines, min_rows=42)
+    return runs.batches_with_data(lines, min_rows=_median_lines(lines))
 
 
 def run_durations(spark, d):
@@ -672,7 +678,7 @@ def run_durations(spark, d):
     rows = inputs.readings(spark, d)
     lines = rows.select(day.alias("batch"), (F.col("event_id") % 8).alias("file"))
     delays = rows.select("event_id", day.alias("batch"), F.col("value").alias("seconds"))
-    return runs.run_durations(delays, runs.batches_with_data(lines, min_rows=42))
+    return runs.run_durations(delays, runs.batches_with_data(lines, min_rows=_median_lines(lines)))
 
 
 def _summary(df, *by):

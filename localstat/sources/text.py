@@ -1,4 +1,8 @@
-"""Readers for the text formats: matrices, value lists and result tuples."""
+"""Readers for the text formats: matrices, value lists and result tuples.
+
+One rule for all: blank lines are dropped (they count in line numbers), and a field that is
+missing or no number is null, or no edge in a matrix. :func:`bad_cells` lists such cells.
+"""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -33,6 +37,10 @@ def _numbered(spark, path, per_file):
     )
 
 
+def _not_blank(lines):
+    return lines.where(F.trim("value") != "")
+
+
 def read_lines(spark, path):
     """Text lines with their number ``line`` over all files in name order."""
     return _numbered(spark, path, per_file=False).drop("file")
@@ -40,10 +48,10 @@ def read_lines(spark, path):
 
 def read_node_files(spark, path):
     """One file per node, named by its 0-based number, ``v;`` per tick -> node, tick, value."""
-    return _numbered(spark, path, per_file=True).select(
-        (F.regexp_extract("file", r"(\d+)\.[^/]*$", 1).cast("bigint") + 1).alias("node"),
+    return _not_blank(_numbered(spark, path, per_file=True)).select(
+        (F.regexp_extract("file", r"(\d+)\.[^/]*$", 1).try_cast("bigint") + 1).alias("node"),
         F.col("line").alias("tick"),
-        F.split("value", ";")[0].cast("double").alias("value"),
+        F.trim(F.split("value", ";")[0]).try_cast("double").alias("value"),
     )
 
 
@@ -67,15 +75,19 @@ def bad_cells(spark, path, separator=",", kind="int"):
 
 
 def read_keyed_values(spark, path):
-    """``node7_42;0.31`` lines -> node, count (may be null), value; the last one wins."""
-    key, value = F.split("value", ";")[0], F.split("value", ";")[1]
-    rows = read_lines(spark, path).select(
+    """``node7_42;0.31`` lines -> node, count (may be null), value; the last one wins.
+
+    Lines without a node are dropped.
+    """
+    key, value = F.split("value", ";")[0], F.get(F.split("value", ";"), F.lit(1))
+    rows = _not_blank(read_lines(spark, path)).select(
         "line",
         node_key(F.split(key, "_")[0]).alias("node"),
         F.try_element_at(F.split(key, "_"), F.lit(2)).alias("count"),
-        value.cast("double").alias("value"),
+        F.trim(value).try_cast("double").alias("value"),
     )
-    return rows.groupBy("node", "count").agg(F.max_by("value", "line").alias("value"))
+    last = F.max_by("value", "line").alias("value")
+    return rows.where("node IS NOT NULL").groupBy("node", "count").agg(last)
 
 
 def read_wide_values(spark, path):
@@ -99,20 +111,20 @@ def read_tuples(spark, path, columns):
     partitioned result add their partition columns.
     """
     fields = F.split(F.translate("value", "()", ""), ",")
-    lines = spark.read.text(path)
+    lines = _not_blank(spark.read.text(path))
     extra = [c for c in lines.columns if c != "value"]
-    return lines.select(
-        *extra, *[F.trim(fields[i]).cast(t).alias(name) for i, (name, t) in enumerate(columns)]
-    )
+    cell = lambda i: F.trim(F.get(fields, F.lit(i)))
+    return lines.select(*extra, *[cell(i).try_cast(t).alias(name) for i, (name, t) in enumerate(columns)])
 
 
 def read_tuple_sets(spark, path):
     """``(7,List(3, 12, 5))`` lines -> node, draw-less sets as ``members``."""
-    lines = spark.read.text(path)
+    lines = _not_blank(spark.read.text(path))
     extra = [c for c in lines.columns if c != "value"]
-    listed = F.regexp_extract("value", r"List\(([^)]*)\)", 1)
+    listed = F.split(F.regexp_extract("value", r"List\(([^)]*)\)", 1), ",")
+    members = F.transform(listed, lambda m: F.trim(m).try_cast("bigint"))
     return lines.select(
         *extra,
-        F.regexp_extract("value", r"^\((\d+),", 1).cast("bigint").alias("node"),
-        F.split(listed, r",\s*").cast("array<bigint>").alias("members"),
+        F.regexp_extract("value", r"^\((\d+),", 1).try_cast("bigint").alias("node"),
+        F.filter(members, lambda m: m.isNotNull()).alias("members"),
     )

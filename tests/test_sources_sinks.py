@@ -118,3 +118,24 @@ def test_split_counts_are_broadcast(spark, tmp_path):
     path.write_text("a\nb\n")
     plan = text.read_lines(spark, str(path))._jdf.queryExecution().toString()
     assert "ResolvedHint (strategy=broadcast)" in plan or "BroadcastHashJoin" in plan
+
+
+def test_blank_and_malformed_lines(spark, tmp_path):
+    """Blank lines are dropped, fields that are missing or no number are null."""
+
+    def file(name, body):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "0.txt").write_text(body)
+        return str(tmp_path / name)
+
+    keyed = text.read_keyed_values(spark, file("keyed", "node1_5;0.5\n\n   \nnode2;x\nnode3_1\nrubbish;1\nnode1_5;0.75\n"))
+    got = {(r.node, r["count"]): r.value for r in keyed.collect()}
+    assert got == {(1, "5"): 0.75, (2, None): None, (3, "1"): None}
+    columns = [("count", "bigint"), ("node", "bigint"), ("value", "double")]
+    tuples = text.read_tuples(spark, file("tuples", "(1,(2,0.5))\n\n(3)\n(x,(4,y))\n"), columns)
+    assert sorted(map(tuple, tuples.collect()), key=str) == sorted([(1, 2, 0.5), (3, None, None), (None, 4, None)], key=str)
+    sets = text.read_tuple_sets(spark, file("sets", "(7,List(3, 12))\n\n(8,List())\n(z,List(1, q))\n"))
+    assert {(r.node, tuple(r.members)) for r in sets.collect()} == {(7, (3, 12)), (8, ()), (None, (1,))}
+    ticks = text.read_node_files(spark, file("ticks", "1.5;\n\nbad;\n2.5;\n"))
+    assert sorted((r.node, r.tick, r.value) for r in ticks.where("value IS NOT NULL").collect()) == [(1, 0, 1.5), (1, 3, 2.5)]
+    assert ticks.count() == 3
