@@ -481,6 +481,9 @@ def oracle_sql():
         "expected_positions": sql(
             f"SELECT batch, node, {r6('(below + 1) / (n + 1)', 'position')} FROM ranked", *BASE, **mc_temporal_r
         ),
+        "stored_positions": sql(
+            f"SELECT batch, node, {r6('(below + 1) / (n + 1)', 'position')} FROM ranked", *BASE, **mc_temporal_r
+        ),
         "compare_results": sql(
             """SELECT 'degree' AS check, count(*) AS bad FROM lisa l
             FULL JOIN expected x ON x.batch = l.batch AND x.node = l.node

@@ -413,6 +413,7 @@ def _run_in_parts(spark, d, name, start):
     """The same over events that arrive in two parts, split at a day in the middle.
 
     The job drains the first part, stops, and goes on from its checkpoint with the second.
+    Several names give a list of results.
     """
     path, events = fresh_path(spark, "stream"), inputs.table(spark, d, "events")
     day = F.col("ts").cast("date")
@@ -422,6 +423,8 @@ def _run_in_parts(spark, d, name, start):
         part.write.mode("append").parquet(f"{path}/events")
         source = spark.readStream.schema(events.schema).parquet(f"{path}/events")
         start(inputs.as_readings(source), f"{path}/results", f"{path}/checkpoint", f"{path}/state").awaitTermination()
+    if not isinstance(name, str):
+        return [spark.read.parquet(f"{path}/results/{n}") for n in name]
     return spark.read.parquet(f"{path}/results/{name}")
 
 
@@ -568,17 +571,26 @@ def stream_temporal_mc_global(spark, d):
     return _stream_temporal_mc(spark, d, "global")
 
 
-def stream_lisa_mc(spark, d):
+def _stream_lisa_mc(spark, d, *names):
     edges, n = inputs.edges(spark, d), _n(spark, d)
-    found = _run_in_parts(
-        spark, d, sinks.POSITIONS,
-        lambda rows, sink, checkpoint, _: jobs.stream_lisa(
-            rows, sink, checkpoint,
-            lambda df: montecarlo.spatial_lisa_mc(inputs.daily(df), edges, n, R_TEMPORAL, SEED),
-            name=sinks.POSITIONS,
+    return _run_in_parts(
+        spark, d, names,
+        lambda rows, sink, checkpoint, _: jobs.stream_spatial_mc(
+            rows, edges, n, R_TEMPORAL, SEED, sink, checkpoint, before=inputs.daily
         ),
     )
-    return _mc(found)
+
+
+def stream_lisa_mc(spark, d):
+    return _mc(*_stream_lisa_mc(spark, d, sinks.POSITIONS))
+
+
+def stored_positions(spark, d):
+    """Positions recomputed from what a Monte Carlo stream has stored: readings, sets, statistic."""
+    values, sets, lisa = _stream_lisa_mc(spark, d, sinks.VALUES, sinks.SETS, sinks.LISA)
+    z = materialise(stats.standardise(values).select("batch", "node", "z"), "z")
+    found = verify.expected_positions(z, sets.drop("batch_id"), lisa.drop("batch_id"))
+    return show(found, "batch", "node", position="position")
 
 
 def stream_word_count(spark, d):
@@ -742,7 +754,7 @@ QUERIES = [
     run_durations, duration_summary, duration_summary_combined, run_averages_wide, history_pivot,
     topology_averages, run_series_wide, duration_by_k, run_averages, history_averages, run_series,
     stream_temporal_mc_local, stream_temporal_mc_global, stream_open_lisa, stream_open_lisa_multi,
-    stream_window_lisa_multi,
+    stream_window_lisa_multi, stored_positions,
 ]
 
 

@@ -11,11 +11,11 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from localstat import schemas
 from localstat.functions.scalars import score
-from localstat.operators.montecarlo import temporal_mc_from_history
+from localstat.operators.montecarlo import random_sets, spatial_lisa_mc, temporal_mc_from_history
 from localstat.operators.stats import lisa_from_z, spatial_lisa
 from localstat.operators.temporal import history_arrays, lisa_from_history
 from localstat.plans.scale import materialise, sized, staged, staging
-from localstat.sinks import BATCHES, LISA, POSITIONS, VALUES, write_batch
+from localstat.sinks import BATCHES, LISA, POSITIONS, SETS, VALUES, write_batch
 from localstat.streaming.state import RunState
 
 
@@ -74,6 +74,24 @@ def stream_lisa(sdf, sink, checkpoint, fn, name=LISA, trigger=None):
     )
 
 
+def stream_spatial_mc(sdf, edges, n_nodes, r, seed, sink, checkpoint, before=None, trigger=None):
+    """Spatial statistic with its Monte Carlo position, and all it was made of.
+
+    Stored are the readings, the random sets, the statistic and the positions of every
+    micro-batch, so that the positions can be checked from the stored folders alone. The
+    readings of a micro-batch (prepared by ``before``) and its ranks are computed once.
+    """
+    edges = staged(edges, "edges")
+
+    def fn(df):
+        obs = materialise(before(df) if before else df, "obs")
+        ranked = materialise(spatial_lisa_mc(obs, edges, n_nodes, r, seed), "ranked")
+        sets = random_sets(ranked.select("batch", "node"), n_nodes, r, seed)
+        return {VALUES: obs, SETS: sets, LISA: ranked.select("batch", "node", "lisa"), POSITIONS: ranked}
+
+    return stream_lisa(sdf, sink, checkpoint, fn, trigger=trigger)
+
+
 def stream_window_lisa(sdf, edges, width, delay, sink, checkpoint, ts="ts", trigger=None):
     """Local statistic per event-time window.
 

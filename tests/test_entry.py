@@ -16,7 +16,7 @@ DRAWN = {
     "random_sets", "random_sets_shared", "explode_sets", "set_members", "random_set_mean", "simulated_lisa",
     "rank_position", "spatial_lisa_mc", "spatial_lisa_mc_shared", "spatial_lisa_mc_whole",
     "temporal_mc_local", "temporal_mc_global", "tuple_sets", "stream_lisa_mc", "expected_positions",
-    "stream_temporal_mc_local", "stream_temporal_mc_global",
+    "stream_temporal_mc_local", "stream_temporal_mc_global", "stored_positions",
 }
 # Queries of the optional subpackage have tests of their own.
 QUERIES = sorted(n for n in entry.queries() if not re.fullmatch(r"op\d+_\w+|pipeline", n))
