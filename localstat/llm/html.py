@@ -7,10 +7,10 @@ decoder then takes the likeliest labelling in which a node can only be kept if i
 is: with ``p`` the chances, ``drop(v)`` is the sum of ``log(1 - p)`` over the subtree of ``v`` and
 ``keep(v) = log p(v) + sum over children of max(keep, drop)``.
 
-There are no labelled pages. The trees learn from at most ``SAMPLE`` pages of the input
-that mark their article themselves (a teacher reads the marks), from templates of common page
-parts, and from copies of both whose marks are hidden, so that the shape of the text has to
-tell.
+There are no labelled pages. The trees learn from at most ``SAMPLE`` pages among those of the
+input that mark their article themselves (a teacher reads the marks; of longer pages ``SAMPLE_NODES``
+nodes, spread evenly over the page), from templates of common page parts, and from copies of both
+whose marks are hidden, so that the shape of the text has to tell.
 """
 
 import html as entities
@@ -25,6 +25,7 @@ from localstat.llm import trees
 from localstat.llm.shipping import ship
 
 SAMPLE = 400
+SAMPLE_NODES = 500
 BATCH_NODES = 20_000
 
 # Elements of the HTML standard by their role here, and the usual names of page parts.
@@ -55,17 +56,13 @@ SCOPES = ["ul", "ol", "dl", "table", "menu", "dir"]
 
 _HIDDEN, _BLOCKS, _BREAKS = set(HIDDEN), set(BLOCKS), set(BREAKS)
 _AWAY_TAGS, _MAIN_TAGS, _AWAY, _MAIN = set(AWAY_TAGS), set(MAIN_TAGS), set(AWAY_WORDS), set(MAIN_WORDS)
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?:svg|math)(?=[\s/>])(?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s>\"']+(?=[\s>]))*/>"  # empty
-    rf"|<(?P<hidden>{'|'.join(HIDDEN)})(?=[\s/>])[^>]*>.*?(?:</(?P=hidden)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_QUOTED = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
+_SPECIAL = re.compile(r"[>\"']")
+_ENDS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in HIDDEN}
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_LONG_NUMBER = re.compile(r"&#([0-9]{1000,}+)")
 
 
 @dataclass
@@ -87,13 +84,107 @@ class Page:
     blocks: list  # (node, text) in page order
 
 
+class Tags:
+    """Where tags end. Every character is looked at a bounded number of times, whatever the markup."""
+
+    def __init__(self, text):
+        self.text, self.last, self.ends = text, text.rfind(">"), None
+
+    def end(self, at):
+        """Place of the ``>`` that ends the tag whose name ends at ``at``.
+
+        Quoted values may hold a ``>``; where quotes never close, the next ``>`` ends the tag.
+        """
+        if self.ends is None:
+            found = _QUOTED.match(self.text, at)
+            if found:
+                return found.end() - 1
+            self._fill()
+        found = self.ends.get(self._next_special(at), -1)
+        return found if found >= 0 else self.text.find(">", at)
+
+    def _next_special(self, at):
+        found = _SPECIAL.search(self.text, at)
+        return found.start() if found else -1
+
+    def _fill(self):
+        """The end for each place where the next special character stands outside of quotes.
+
+        Filled from right to left, and only for pages in which a quote does not close: a second
+        scan of the same stretch would make such pages quadratic.
+        """
+        self.ends, later, after = {}, {}, {}
+        places = [m.start() for m in _SPECIAL.finditer(self.text)]
+        for i in range(len(places) - 1, -1, -1):
+            at, c = places[i], self.text[places[i]]
+            if c == ">":
+                self.ends[at] = at
+            else:
+                closer = later.get(c)
+                self.ends[at] = after.get(closer, -1) if closer is not None else -1
+                later[c] = at
+            # What a closing quote here leads to: the end found from the next special character.
+            after[at] = self.ends[places[i + 1]] if i + 1 < len(places) else -1
+
+
+def _closes_itself(attrs):
+    """Whether a tag ends in a slash that is not the last character of an unquoted value."""
+    if not attrs.endswith("/"):
+        return False
+    head = attrs[:-1]
+    value = re.split(r"[\s\"']", head)[-1]
+    return "=" not in value and not head[: len(head) - len(value)].rstrip().endswith("=")
+
+
+def _tokens(text):
+    """Text pieces ``(piece, None, None, None)`` and tags ``("", name, is an end tag, attributes)`` in page order."""
+    tags, at, look = Tags(text), 0, 0
+    while True:
+        i = text.find("<", look)
+        if i > tags.last or i < 0:  # no tag can end any more; an open comment hides the rest
+            i = text.find("<!--", max(i, 0)) if i >= 0 else -1
+            piece = text[at:] if i < 0 else text[at:i]
+            if piece:
+                yield piece, None, None, None
+            return
+        end, name, tag = -1, "", _NAME.match(text, i)
+        if tag:
+            name = tag[2].lower()
+            end = tags.end(tag.end())
+            attrs = text[tag.end() : end]
+            if not tag[1] and name in _HIDDEN and not (name in ("svg", "math") and _closes_itself(attrs)):
+                closer = _ENDS[name].search(text, end)
+                end, name = closer.end() - 1 if closer else len(text) - 1, ""
+            elif name in _HIDDEN:
+                name = ""
+        elif text.startswith("<!--", i):
+            closer = text.find("-->", i + 4)
+            end = closer + 2 if closer >= 0 else len(text) - 1
+        elif text.startswith(("<!", "<?", "</"), i):
+            end = text.find(">", i + 2)
+        if end < 0:  # an ordinary character
+            look = i + 1
+            continue
+        if i > at:
+            yield text[at:i], None, None, None
+        if name:
+            yield "", name, bool(tag[1]), attrs
+        at = look = end + 1
+
+
+def _decoded(text):
+    """Character references decoded; numbers of thousands of digits are cut to what tells their value."""
+    return entities.unescape(_LONG_NUMBER.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), text))
+
+
 def parse(text):
-    """Tree of block elements and the texts of its blocks; never fails, whatever the markup."""
-    nodes, blocks, stack, run, link, at = [Node("#root", frozenset(), -1, 0)], [], [0], [], False, 0
+    """Tree of block elements and the texts of its blocks; never fails, and takes time linear in the page."""
+    nodes, blocks, stack, run, link = [Node("#root", frozenset(), -1, 0)], [], [0], [], False
+    open_at = {}  # tag: places in the stack where it is open
 
     def close_run():
         if run:
-            words = " ".join(entities.unescape("".join(t for t, _ in run)).split())
+            words = " ".join(_decoded("".join(t for t, _ in run)).split())
             if words:
                 node = nodes[stack[-1]]
                 blocks.append((stack[-1], words))
@@ -103,44 +194,43 @@ def parse(text):
                 node.digits += sum(map(words.count, "0123456789"))
             run.clear()
 
-    def pop_to(tags, limits):
-        for k in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[k]].tag
-            if tag in tags:
-                close_run()
-                del stack[k:]
-                return
-            if tag in limits:
-                return
-
-    for m in _TOKEN.finditer(text):
-        if m.start() > at:
-            run.append((text[at : m.start()], link))
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
-        if tag == "a":
-            link = not (m["end"] or m["end2"])
+    def innermost(tags):
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
+    def pop_to(tags, limits=()):
+        """Close the innermost open element of ``tags``, unless one of ``limits`` stands between."""
+        k = innermost(tags)
+        if k and k > innermost(limits):
+            close_run()
+            for at in range(len(stack) - 1, k - 1, -1):
+                open_at[nodes[stack[at]].tag].pop()
+            del stack[k:]
+
+    for piece, tag, ends, attrs in _tokens(text):
+        if tag is None:
+            run.append((piece, link))
+        elif tag == "a":
+            link = not ends
         elif tag in _BREAKS:
             run.append((" ", False))
         elif tag in _BLOCKS:
-            if m["end"] or m["end2"]:
-                pop_to({tag}, ())
+            if ends:
+                pop_to((tag,))
                 close_run()
                 link = False
                 continue
-            pop_to({"p"}, _BLOCKS - {"p"})  # a paragraph ends where a block begins
+            if nodes[stack[-1]].tag == "p":  # a paragraph ends where a block begins
+                pop_to(("p",))
             if tag in CLOSES:
                 pop_to(CLOSES[tag], SCOPES)
             close_run()
             link = False
-            attrs = m["attrs"] if m["tag"] else m["attrs2"]
             found = _ATTRIBUTE.findall(attrs) if attrs else ()
             words = frozenset(w.lower() for v in found for x in v for w in _WORD.findall(x))
             nodes.append(Node(tag, words, stack[-1], len(stack)))
             nodes[stack[-1]].children.append(len(nodes) - 1)
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(len(nodes) - 1)
-    if at < len(text):
-        run.append((text[at:], link))
     close_run()
     return Page(nodes, blocks)
 
@@ -261,8 +351,19 @@ def templates():
 
     parts = [f"<p>{prose(n)}</p>" for n in (4, 9, 25, 60, 140)]
     parts += [f"<h2>{prose(4)}</h2>", f"<ul><li>{prose(12)}</li><li>{prose(15)}</li></ul>", f"<blockquote>{prose(30)}</blockquote>"]
-    for k in range(160):
-        body = "".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(2, 14)))
+    lines = "\n".join(f"{word[i]}_{i} = {word[i - 1]}({i})" for i in range(8))
+    cells = "".join(f"<tr><td>{prose(1)}</td><td>{i * 37}</td></tr>" for i in range(4))
+    other = [
+        f"<pre>{lines}</pre>", f"<pre><code>{lines[:40]}</code></pre>", f"<table><tr><th>{prose(1)}</th><th>{prose(1)}</th></tr>{cells}</table>",
+        f"<table><tbody>{cells}</tbody></table>", f"<dl><dt>{prose(2)}</dt><dd>{prose(9)}</dd></dl>", f"<p>{prose(1)}</p>", f"<div>{prose(2)}</div>",
+        f"<figure><figcaption>{prose(6)}</figcaption></figure>", f"<ol><li>{prose(3)}</li><li>{prose(2)}</li></ol>", f"<h3>{prose(2)}</h3>",
+        f'<p><a href="/x">{prose(3)}</a></p>', f'<p>{prose(3)} <a href="/x">{prose(5)}</a></p>',
+    ]
+    for k in range(320):
+        short, pool = k >= 160 and k % 4 < 2, parts if k < 160 else parts + other
+        body = "".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(1, 3) if short else rng.integers(2, 14)))
+        if short:
+            body = other[5 + k // 4 % 2] if k % 8 < 4 else body
         name = AWAY_WORDS[k % len(AWAY_WORDS)]
         asides = [
             f"<nav><ul>{anchors(5)}</ul></nav>", f"<header><div>{prose(3)}</div>{anchors(3, 'span')}</header>",
@@ -295,15 +396,17 @@ def _taught_rows(text, named=False):
 
 
 def fit(pages, sample=SAMPLE):
-    """Trees learnt from the ``sample`` pages whose ids hash lowest and from the templates."""
+    """Trees learnt from templates and the ``sample`` pages, of those with marks, whose ids hash lowest."""
     ship(pages.sparkSession)
     chosen = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html"))
-    chosen = chosen.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    marked = F.col("html").rlike(rf"(?i)<(?:{'|'.join(MAIN_TAGS)})[\s/>]")
+    chosen = chosen.where(marked).orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
 
     def run(batches):
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                rows = _taught_rows(text)[:500]
+                rows = _taught_rows(text)
+                rows = rows[np.linspace(0, len(rows) - 1, min(len(rows), SAMPLE_NODES)).astype(int)]
                 yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()], pa.binary())], names=["rows"])
 
     own = [np.frombuffer(r.rows).reshape(-1, len(FEATURES) + 1) for r in chosen.mapInArrow(run, "rows binary").collect()]

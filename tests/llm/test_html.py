@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import pytest
 
@@ -33,9 +34,12 @@ UNSEEN = f"""<html><head><title>T</title><script>if (a<b) x("</p>")</script></he
 <footer>&copy; 2024 Some company. All rights reserved.</footer></body></html>"""
 
 
-def test_unseen_layout(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    model = html.fit(pages)
+@pytest.fixture(scope="module")
+def model(spark, sf):
+    return html.fit(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def test_unseen_layout(model):
     (text,) = html._texts([html.parse(UNSEEN)], model)
     p = PROSE.strip()
     assert text.split("\n") == ["A & B", p, p + " Second part.", p]
@@ -83,6 +87,74 @@ def test_parse(markup, blocks):
     assert [t for _, t in html.parse(markup).blocks] == blocks
 
 
+MB = 1_000_000
+HOSTILE = {
+    "open tags": "<a " * (MB // 3),
+    "one end": "<a " * (MB // 3) + ">",
+    "empty elements": "<svg a=b " * (MB // 9) + ">",
+    "open quotes": '<a href="x ' * (MB // 11) + ">",
+    "ends in quotes": '<a "> " ' * (MB // 8),
+    "hidden in quotes": '<svg a="></svg>" ' * (MB // 17),
+    "stray ends": "<div>" * 100_000 + "</section>" * 100_000,
+    "cells": "<td><table>" + "<div>" * 50_000 + "<td></td>" * 50_000,
+    "comments": "<!--" * (MB // 4),
+    "equals": "<svg " + "=" * MB + "/>",
+    "long number": "<p>&#" + "1" * MB + ";",
+}
+
+
+@pytest.mark.parametrize("markup", HOSTILE.values(), ids=HOSTILE.keys())
+def test_time_is_linear(markup):
+    start = time.perf_counter()
+    html.parse(markup)
+    assert time.perf_counter() - start < 4  # about 0.5 s at most on an idle core; a quadratic parser takes hours
+
+
+def test_quotes_that_never_close():
+    assert [t for _, t in html.parse('<p a="1>x<p>y').blocks] == ["x", "y"]
+    assert html.parse("&#" + "0" * 5000 + "65;").blocks[0][1] == "A"
+
+
+NAV, FOOT = "<nav><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul></nav>", "<footer><p>Copyright 2024</p></footer>"
+
+
+@pytest.mark.parametrize(
+    "article,text",
+    [
+        ("<main><h1>Note</h1><p>Closed today.</p></main>", ["Note", "Closed today."]),
+        ("<article><p>Hi</p></article>", ["Hi"]),
+        ("<article>bare text</article>", ["bare text"]),
+        ("<article><table><tr><td>only</td></tr></table></article>", ["only"]),
+        ("<article><h1>T</h1><p>P</p><pre>x = 1\ny = 2</pre><p>P</p></article>", ["T", "P", "x = 1 y = 2", "P"]),
+        (
+            "<article><h1>T</h1><p>P</p><table><tr><th>A<th>B<tr><td>1<td>2</table><p>End.</p></article>",
+            ["T", "P", "A", "B", "1", "2", "End."],
+        ),
+        (
+            "<article><h1>T</h1><div class=comments><p>Nice one, thanks.</p></div><dl><dt>k<dd>v</dl><ul><li>one<li>two</ul></article>",
+            ["T", "k", "v", "one", "two"],
+        ),
+    ],
+)
+def test_marked_articles_stay_whole(model, article, text):
+    """Short ones, and blocks that are set differently."""
+    expected = [t.replace("P", PROSE.strip()) if t == "P" else t for t in text]
+    page = article.replace("<p>P</p>", f"<p>{PROSE}</p>")
+    for before, after in (("", ""), (NAV, FOOT)):
+        (found,) = html._texts([html.parse(f"<html><body>{before}{page}{after}</body></html>")], model)
+        assert found.split("\n") == expected
+
+
+def test_sample_takes_marked_pages(spark):
+    """However rare they are; long ones count with nodes from all over the page."""
+    plain = [(i, "u", f"<div><p>{PROSE}</p></div>") for i in range(40)]
+    marked = [(100, "u", "<main>" + f"<p>{PROSE}</p>" * 700 + "</main>" + FOOT)]
+    pages = spark.createDataFrame(plain + marked, "page_id BIGINT, url STRING, html STRING")
+    only = spark.createDataFrame(marked, "page_id BIGINT, url STRING, html STRING")
+    a, b = (html.fit(p, sample=1) for p in (pages, only))
+    assert a[1] == b[1] and all((x.value == y.value).all() for x, y in zip(a[0], b[0], strict=True))
+
+
 @pytest.mark.parametrize("part", ["<title-bar>t</title-bar>", "<video-js></video-js>", "<p>i <svg width='1'/></p>", "<math/>"])
 def test_rest_of_page_after_custom_and_empty_elements(spark, sf, part):
     """In the main text and in conversion records."""
