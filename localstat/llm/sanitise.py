@@ -23,6 +23,7 @@ KINDS = ["email", "ip", "card", "phone"]
 SUPPORT = 2
 BANDS, ROWS = 6, 3  # texts are near if all minhashes of a band agree
 DISCLOSURE = 0.9
+BLOCK = 256  # elements of an array that are folded together
 TERM = r"\p{L}{3,}"
 MASKS = {k: f"[{k.upper()}]" for k in KINDS} | {"term": "[TERM]"}
 
@@ -55,32 +56,58 @@ def _valid(kind, c):
     return n.between(10, 15)
 
 
-def _found(kind, text):
-    """Checked matches of a kind, in order: ``start, end, value``.
+def _let(value, use):
+    """``use(value)`` with the value worked out once, though ``use`` may name it in a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(xs):
+    last = F.floor((F.size(xs) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(xs, b * BLOCK + 1, BLOCK))
+
+
+def _running(xs, value, merge, start):
+    """``struct(before, x)`` for each ``x``: ``before`` merges the values of all elements before it.
 
-    The pieces between the matches give the positions.
+    Blocks are merged first, so no accumulator grows with the array: the time is linear in it.
     """
-    pattern = F.lit(PATTERNS[kind])
-    struct = "struct<start:bigint,end:bigint,value:string>"
-    matches, pieces = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1)
-    steps = F.arrays_zip(matches.alias("m"), pieces.alias("p"))
-    steps = F.slice(steps, 1, F.size(matches))
-
-    def walk(acc, x):
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        hit = F.struct(
-            start.alias("start"),
-            end.alias("end"),
-            x["m"].alias("value"),
-        )
-        out = F.when(_valid(kind, x["m"]), F.concat(acc["out"], F.array(hit))).otherwise(acc["out"])
-        return F.struct(end.cast("bigint").alias("at"), out.cast(f"array<{struct}>").alias("out"))
+    def within(block, first):
+        def step(acc, x):
+            seen = F.concat(acc["seen"], F.array(acc["at"]))
+            return F.struct(merge(acc["at"], value(x)).alias("at"), seen.alias("seen"))
+
+        empty = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("seen"))
+        seen = F.aggregate(block, empty, step, lambda acc: acc["seen"])
+        return F.zip_with(seen, block, lambda s, x: F.struct(s.alias("before"), x.alias("x")))
+
+    def all_blocks(blocks):
+        totals = F.transform(blocks, lambda b: F.aggregate(b, start, lambda acc, x: merge(acc, value(x))))
+        firsts = F.aggregate(totals, F.array(start), lambda acc, t: F.concat(acc, F.array(merge(F.element_at(acc, -1), t))))
+        firsts = F.slice(firsts, 1, F.size(blocks))
+        return F.flatten(F.zip_with(blocks, firsts, within))
+
+    return _let(xs, lambda held: _let(_blocks(held), all_blocks))
+
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{struct}>").alias("out"))
-    found = F.aggregate(steps, start, walk, lambda acc: acc["out"])
+def _placed(matches, pieces):
+    """``start, end, value`` of each match; the pieces of text between them give the positions."""
+    steps = F.slice(F.arrays_zip(matches.alias("m"), pieces.alias("p")), 1, F.size(matches))
+    long = lambda c: F.length(c).cast("bigint")
+    placed = _running(steps, lambda s: long(s["p"]) + long(s["m"]), lambda a, b: a + b, F.lit(0).cast("bigint"))
+
+    def span(r):
+        start = r["before"] + long(r["x"]["p"])
+        return F.struct(start.alias("start"), (start + long(r["x"]["m"])).alias("end"), r["x"]["m"].alias("value"))
+
+    return F.transform(placed, span)
+
+
+def _found(kind, text):
+    """Checked matches of a kind, in order: ``start, end, value``."""
+    placed = _placed(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), F.split(text, PATTERNS[kind], -1))
     needs = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]"))
-    return F.when(needs, found).otherwise(F.array().cast(f"array<{struct}>"))
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    return F.when(needs, F.filter(placed, lambda s: _valid(kind, s["value"]))).otherwise(empty)
 
 
 def base_spans(docs):
@@ -178,17 +205,21 @@ def _term_spans(base, docs):
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     rows = rows.select("doc_id", "mark", "text", pattern.alias("pattern"))
     matches, pieces = F.expr("regexp_extract_all(text, pattern, 0)"), F.expr("split(text, pattern, -1)")
-    steps = F.slice(F.arrays_zip(matches.alias("m"), pieces.alias("p")), 1, F.size(matches))
-    kind = "array<struct<start:bigint,end:bigint>>"
+    placed = F.transform(_placed(matches, pieces), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return rows.select("doc_id", "mark", placed.alias("term"))
 
-    def walk(acc, x):
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        out = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).cast(kind)
-        return F.struct(end.cast("bigint").alias("at"), out.alias("out"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
-    return rows.select("doc_id", "mark", F.aggregate(steps, start, walk, lambda acc: acc["out"]).alias("term"))
+def _free(spans, base_last):
+    """Spans of ``spans``, sorted by start and rank, that overlap none of rank up to ``base_last``."""
+    is_base = lambda s: s["rank"] <= base_last
+    far = F.lit(1 << 62).cast("bigint")
+    ends = lambda s: F.when(is_base(s), s["end"]).otherwise(F.lit(0).cast("bigint"))
+    left = _running(spans, ends, lambda a, b: F.greatest(a, b), F.lit(0).cast("bigint"))
+    left = F.transform(F.filter(left, lambda r: is_base(r["x"]) | (r["before"] <= r["x"]["start"])), lambda r: r["x"])
+    starts = lambda s: F.when(is_base(s), s["start"]).otherwise(far)
+    right = _running(F.reverse(left), starts, lambda a, b: F.least(a, b), far)
+    right = F.filter(right, lambda r: ~is_base(r["x"]) & (r["before"] >= r["x"]["end"]))
+    return F.transform(right, lambda r: r["x"])
 
 
 def find(docs):
@@ -215,11 +246,10 @@ def find(docs):
 
     found = F.array_sort(F.concat(*[named(k, F.col(k)) for k in KINDS]))
     rows = rows.select("doc_id", "mark", found.alias("base"), "term")
-    free = F.filter(
-        F.coalesce("term", F.array().cast("array<struct<start:bigint,end:bigint>>")),
-        lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
-    )
-    return rows.select("doc_id", "mark", "base", F.array_sort(F.concat("base", named("term", free))).alias("spans"))
+    terms = F.coalesce("term", F.array().cast("array<struct<start:bigint,end:bigint>>"))
+    free = _free(F.array_sort(F.concat("base", named("term", terms))), order["term"] - 1)
+    spans = F.when(F.size(terms) > 0, F.array_sort(F.concat("base", free))).otherwise(F.col("base"))
+    return rows.select("doc_id", "mark", "base", spans.alias("spans"))
 
 
 def count_of(kind, column):
@@ -234,17 +264,24 @@ def spans_text(column):
 
 def masked(text, spans):
     """``text`` with each span, or run of overlapping spans, replaced by the mask of its kind."""
-    kind = "struct<at:bigint,out:array<string>>"
     mask = lambda s: F.create_map(*[F.lit(x) for kv in MASKS.items() for x in kv])[s["kind"]]
+    runs = _running(spans, lambda s: s["end"], lambda a, b: F.greatest(a, b), F.lit(0).cast("bigint"))
+    runs = F.filter(runs, lambda r: r["x"]["start"] >= r["before"])
+    part = lambda t, start, end: F.substring(t, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def cleaned(block):  # positions are counted from the block's own piece of the text, not from the start of it
+        first = F.get(block, F.lit(0))["before"]
+        cut = part(text, first, F.element_at(block, -1)["x"]["start"])
+
+        def pieces(held):
+            one = lambda r: F.concat(part(held, r["before"] - first, r["x"]["start"] - first), mask(r["x"]))
+            return F.array_join(F.transform(block, one), "")
 
-    def walk(acc, s):
-        between = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(between, mask(s)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out")).cast(kind)
+        return _let(cut, pieces)
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
-    tail = lambda acc: F.concat(acc["out"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, F.array_join(F.aggregate(spans, start, walk, tail), "")).otherwise(text)
+    tail = part(text, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text).cast("bigint"))
+    clean = F.array_join(_let(runs, lambda held: F.transform(_blocks(held), cleaned)), "")
+    return F.when(F.size(spans) > 0, F.concat(clean, tail)).otherwise(text)
 
 
 def sanitise(docs):

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,43 @@ def test_masks_and_odd_rows(spark):
     assert sanitise.sanitise(docs.limit(0)).collect() == [] and sanitise.find(docs.limit(0)).collect() == []
 
 
+def test_many_matches_in_a_text(spark):
+    """Folds work by blocks, so their time grows with the text, not with its square."""
+    n = 100_000
+    text = "".join(f"a{i}@b.cc 1.2.3.{i % 300} " for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id BIGINT, text STRING")
+    start = time.perf_counter()
+    (row,) = sanitise.find(docs).collect()
+    (clean,) = sanitise.sanitise(docs).collect()
+    assert time.perf_counter() - start < 60
+    expected = sorted((m.start(), m.end()) for p in (r"a[0-9]+@b\.cc", r"1\.2\.3\.(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?= )") for m in re.finditer(p, text))
+    assert [(s.start, s.end) for s in row.base] == expected
+    assert clean.text == "".join(f"[EMAIL] {'[IP]' if i % 300 < 256 else f'1.2.3.{i % 300}'} " for i in range(n))
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 255, 256, 257, 700])
+def test_free_spans_and_masks_equal_brute_force(spark, n):
+    """Sizes around a block, with spans of all kinds of overlap."""
+    rng = random.Random(n)
+    text = "".join(rng.choice("xyzä𝒳 ") for _ in range(n * 4 + 10))
+    spans = set()
+    while len(spans) < n:
+        start, rank = rng.randrange(len(text) - 6), rng.choice([0, 3, 4, 4])
+        spans.add((start, rank, [*sanitise.KINDS, "term"][rank], start + rng.randint(1, 6)))
+    kind = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+    rows = spark.createDataFrame([(text, sorted(spans))], f"text string, spans {kind}")
+    (row,) = rows.select(sanitise._free(F.col("spans"), 3).alias("free"), sanitise.masked(F.col("text"), F.col("spans")).alias("clean")).collect()
+    base = [s for s in spans if s[1] < 4]
+    free = [s for s in spans if s[1] == 4 and not any(b[0] < s[3] and s[0] < b[3] for b in base)]
+    assert sorted(map(tuple, row.free)) == sorted(free)
+    clean, at = "", 0
+    for start, _, name, end in sorted(spans):
+        if start >= at:
+            clean += text[at:start] + sanitise.MASKS[name]
+        at = max(at, end)
+    assert row.clean == clean + text[at:]
+
+
 def test_plan_is_native(spark):
     docs = documents(spark, [(1, "a@b.cd")])
     plan = sanitise.sanitise(docs)._jdf.queryExecution().toString()
