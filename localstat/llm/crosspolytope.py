@@ -172,7 +172,8 @@ def search(vectors, queries, k=20, probes=PROBES):
     width = common.width if common else 1
 
     def classes(rows, name):
-        band = F.floor(F.log("norm") / float(np.log(BAND))).alias("band")
+        # Rounded, so that unit vectors lie inside a band, not on the edge of two.
+        band = F.floor(F.log("norm") / float(np.log(BAND)) + 0.5).alias("band")
         rows = rows.where(F.size("vec") == width).select("vec_id", "vec", band).distinct()
         first = Window.partitionBy("vec").orderBy("vec_id")
         kept = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
@@ -217,9 +218,11 @@ def _usable(rows):
     vec = F.transform("embedding", lambda x: x.cast("double"))
     rows = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), vec.alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     rows = rows.where("vec_id is not null and vec is not null").where(finite)
-    return rows.withColumn("norm", norm).where("norm > 0")
+    # Squares of parts of the largest component neither underflow nor overflow.
+    rows = rows.withColumn("most", F.array_max(F.transform("vec", F.abs))).where("most > 0")
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most")))
+    return rows.withColumn("norm", F.col("most") * F.sqrt(square)).drop("most")
 
 
 def _as_bytes(rows, width, kind):

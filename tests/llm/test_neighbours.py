@@ -72,6 +72,32 @@ def test_recall_of_mixed_lengths(spark, n, kind):
     assert np.mean(hits) >= (0.9 if n > 1000 else 1)
 
 
+def test_given_vectors_are_hashed(spark, sf, monkeypatch):
+    """Unit vectors fill one band, so their neighbours come out of the tables, with enough recall."""
+    vectors = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    slots, met = [], cp._met
+
+    def watched(own, looked, *rest):
+        slots.append((own.where(f"slot <> {cp.SCAN}").count(), own.where(f"slot = {cp.SCAN}").count()))
+        return met(own, looked, *rest)
+
+    monkeypatch.setattr(cp, "_met", watched)
+    got = found(cp.search(vectors, vectors.where("vec_id % 20 = 0"), k=20))
+    usable = cp._usable(vectors).select("vec").distinct().count()
+    assert slots[0] == (cp.TABLES * usable, 0)
+    rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
+    expected = brute_force(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    hits = [len({i for i, _ in got[q]} & {i for i, _ in r}) / len(r) for q, r in expected.items()]
+    assert np.mean(hits) >= 0.9
+
+
+def test_lengths_beyond_squares(spark):
+    """Squares of these components are 0 or infinite, the vectors are neither."""
+    for scale in (1e-200, 1e160):
+        rows = spark.createDataFrame([(i, [scale * (i + 1), scale]) for i in range(3)], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+        assert sorted(r.vec_id for r in cp._usable(rows).where("norm > 0 and norm < double('inf')").collect()) == [0, 1, 2]
+
+
 def test_queries_without_hits_are_ranked_whole(spark):
     """All rows lie in one direction, the query in the opposite one: no probe meets them."""
     rng = np.random.default_rng(6)

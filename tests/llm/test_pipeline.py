@@ -22,7 +22,12 @@ COLUMNS = {
     "op8": ["doc_id", "held_out", "score", "predicted"],
     "op9": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op10": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
-}
+    "op11": [
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256",
+    ],
+    "op12": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    "op13": ["vec_id", "n_links", "component_id", "kept"],
+}
 
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
@@ -33,7 +38,7 @@ def test_query_columns(spark, sf, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def flat(text):
@@ -95,6 +100,17 @@ def test_stages_keep_odd_rows(spark, sf):
         assert stage(spark, docs.limit(0), sf).collect() == [], name
 
 
+def test_unlike_texts_under_one_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in ("red", "blue", "green"))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b + " more"), (4, c), (4, c), (5, None), (5, ""), (None, a), (None, a)]
+    docs = documents(spark, rows).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, None).collect()]
+    by_text = {t: [i for i, x in got if x == t] for t in (a, b, b + " more", c)}
+    assert by_text[a].count(None) == 2 and len(by_text[a]) == 3
+    assert len(by_text[b]) + len(by_text[b + " more"]) == 1 and by_text[c] == [4]
+    assert sum(not t for _, t in got) == 1  # null and empty are one text
+
+
 STRANGE = {
     "Russian": "Это предложение написано на русском языке и не имеет ничего общего с другими языками.",
     "Japanese": "これは日本語で書かれた文章です。他の言語とは関係がありません。",
