@@ -29,14 +29,23 @@ def keep_language(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near copies stays: 5-word shingles, similarity 0.8."""
-    found = minhash.near_duplicates(docs, size=5, threshold_percent=80)
-    kept = materialise(found.where("kept and doc_id is not null").select("doc_id"), "kept")
+    """One document of each group of near copies stays: 5-word shingles, similarity 0.8.
+
+    Rows of one id and one text are copies, and one of them stays. Unlike texts under one id are
+    documents of their own: all but one of them are compared under a number hashed from id and text.
+    """
+    rows = docs.withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    first = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("_mark").alias("_first"), F.max("_mark").alias("_last"))
+    unlike = materialise(first.where("_first <> _last").select("doc_id", "_first"), "unlike")
+    own = F.when(F.col("_mark") != F.col("_first"), F.xxhash64("doc_id", "_mark")).otherwise(F.col("doc_id"))
+    rows = rows.join(sized(unlike), "doc_id", "left").withColumn("_id", own).select("_id", *docs.columns)
+    found = minhash.near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text"), size=5, threshold_percent=80)
+    kept = materialise(found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")), "kept")
     ids = materialise(kept.distinct(), "kept_ids")
-    rows = docs.join(sized(ids), "doc_id", "left_semi")
-    if ids.count() < kept.count():  # repeated rows are copies, too
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null")).select(DOCUMENT)
+    single = rows.join(sized(ids), "_id", "left_semi")
+    if ids.count() < kept.count():
+        single = single.dropDuplicates(["_id"])
+    return single.unionByName(rows.where("_id is null")).select(DOCUMENT)
 
 
 def mask_personal_data(spark, docs, sf_dir):
