@@ -4,6 +4,7 @@ from conftest import obs_frame, rows_of
 
 from localstat import sinks
 from localstat.operators import words
+from localstat.plans import inputs, registered
 from localstat.sources import text
 
 
@@ -139,3 +140,30 @@ def test_blank_and_malformed_lines(spark, tmp_path):
     ticks = text.read_node_files(spark, file("ticks", "1.5;\n\nbad;\n2.5;\n"))
     assert sorted((r.node, r.tick, r.value) for r in ticks.where("value IS NOT NULL").collect()) == [(1, 0, 1.5), (1, 3, 2.5)]
     assert ticks.count() == 3
+
+
+def test_lines_of_few_ones_are_cut_at_them(spark, tmp_path, monkeypatch):
+    """The same edges whether a line is cut at its ones or into its cells, also of odd lines."""
+    lines = ["1,1,1,1,1", "1,0,1,0,0", "0,1,0,1", "+1, 1,01,0,0", "1,1,1,1,1", "10,0,x,1,1,0", "0,", "1,1", "", "0,0,0,0,0,0,0,0,1,1"]
+    path = tmp_path / "matrix.txt"
+    path.write_text("\n".join(lines) + "\n")
+    found = []
+    for most in (1_000, 2, -1):
+        monkeypatch.setattr(text, "FEW_ONES", most, raising=False)
+        found.append(sorted((r.src, r.dst) for r in text.read_adjacency(spark, str(path)).collect()))
+    lower = [(2, 1), (3, 2), (4, 1), (4, 2), (4, 3), (5, 1), (5, 2), (5, 3), (5, 4), (6, 4), (6, 5), (8, 1), (8, 2), (10, 9)]
+    assert found[0] == found[1] == found[2] == sorted(lower + [(b, a) for a, b in lower])
+
+
+def test_matrix_of_a_sparse_graph_is_written_packed(spark, tmp_path, monkeypatch):
+    """The matrix has a cell for every two nodes; its files do not grow like that."""
+    n, path = 800, str(tmp_path / "matrix")
+    spark.range(n).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id AS user_id", "'view' AS event_type", "0.5D AS value"
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(registered, "fresh_path", lambda *_: path)
+    got = sorted((r.src, r.dst) for r in registered.adjacency_edges(spark, str(tmp_path)).collect())
+    assert got == sorted((r.src, r.dst) for r in inputs.grid(spark, str(tmp_path)).collect()) and len(got) > n
+    rows = [r.value for r in spark.read.text(path).collect()]
+    assert len(rows) == n and {len(r) for r in rows} == {2 * n - 1}
+    assert sum(f.stat().st_size for f in (tmp_path / "matrix").rglob("part-*")) < n * n // 10
