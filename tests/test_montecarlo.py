@@ -7,6 +7,8 @@ import pytest
 from conftest import obs_frame
 from test_stats import agree, found, some_rows
 
+from pyspark.sql import functions as F
+
 from localstat.functions import rng
 from localstat.operators import montecarlo as mc
 from localstat.operators import stats, temporal, verify
@@ -299,3 +301,40 @@ def test_sparse_batches_are_joined_not_laid_out(spark, graph, monkeypatch):
     assert mc._Scores(z, 16).arrays is None
     monkeypatch.setattr(mc, "SPARSE", 1_000)
     assert mc._Scores(z, 16).arrays is not None
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_set_means_are_looked_up_next_to_the_sets(spark, monkeypatch, rows):
+    """The means of drawn sets agree with a join of every member, and members are not shuffled."""
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(mc, "DRAWS_PER_TASK", 300)
+    monkeypatch.setattr(mc, "_joined_means", None)
+    z = scale.materialise(stats.standardise(obs_frame(spark, some_rows(seed=31, batches=3, present=0.6))).select("batch", "node", "z"))
+    sets = mc.random_sets(z.withColumn("lisa", F.col("z") * 2), 16, 30, seed=5)
+    means = mc.random_set_mean(sets, z)
+    assert means.columns == ["batch", "node", "draw", "mean", "z", "lisa"]
+    score = {(r.batch, r.node): r.z for r in z.collect()}
+    want = {}
+    for (batch, node), drawn in sets_by_key(sets).items():
+        for draw, members in drawn.items():
+            here = [score[batch, m] for m in members if (batch, m) in score]
+            want[batch, node, draw] = float(np.mean(here)) if here else math.nan
+    got = {(r.batch, r.node, r.draw): r["mean"] for r in means.collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[k], v, abs_tol=1e-9) or (math.isnan(v) and math.isnan(got[k])) for k, v in want.items())
+
+
+def test_means_of_repeated_or_null_keys(spark):
+    """Sets under one key and draw, and readings that repeat, count together; null keys stay."""
+    z = scale.materialise(obs_frame(spark, [(0, 1, 1.0), (0, 2, 2.0), (0, 3, 4.0), (0, 3, 8.0)]).withColumnRenamed("value", "z"))
+    once = mc.random_sets(z.select("batch", "node").distinct(), 3, 3, seed=1)
+    by_hand = spark.createDataFrame([(r.batch, r.node, r.draw, r.members) for r in once.collect()], once.schema)
+    key = lambda r: (r.batch, r.node, r.draw, r["mean"])
+    assert sorted(map(key, mc.random_set_mean(once, z).collect())) == sorted(map(key, mc.random_set_mean(by_hand, z).collect()))
+    single = scale.materialise(z.where("node < 3"))
+    keys = obs_frame(spark, [(0, 1, 0.0), (0, 1, 0.0), (0, None, 0.0), (None, 2, 0.0)])
+    for some in (keys, keys.distinct()):
+        sets = mc.random_sets(some.select("batch", "node"), 3, 3, seed=1)
+        plain = spark.createDataFrame(sets.collect(), sets.schema)
+        want = sorted((str(key(r)) for r in mc.random_set_mean(plain, single).collect()))
+        assert sorted(str(key(r)) for r in mc.random_set_mean(sets, single).collect()) == want and len(want) == 9
