@@ -338,3 +338,21 @@ def test_means_of_repeated_or_null_keys(spark):
         plain = spark.createDataFrame(sets.collect(), sets.schema)
         want = sorted((str(key(r)) for r in mc.random_set_mean(plain, single).collect()))
         assert sorted(str(key(r)) for r in mc.random_set_mean(sets, single).collect()) == want and len(want) == 9
+
+
+@pytest.mark.parametrize("scope", ["local", "global"])
+def test_positions_of_a_draw_count_as_work(spark, graph, monkeypatch, scope):
+    """A task gets few draws where each has a row for all positions of the history."""
+    seen = []
+    place = mc._Scores.place
+    monkeypatch.setattr(mc._Scores, "place", lambda self, df, rows, per: seen.append((df.columns, rows, per)) or place(self, df, rows, per))
+    obs = obs_frame(spark, some_rows(seed=32, batches=3, present=1.0))
+    mc.temporal_lisa_mc(obs, graph, 16, 3, 20, seed=4, scope=scope)
+    ((columns, rows, per),) = seen
+    assert (rows, per) == (48, 60)
+    assert ("neighbours" in columns) == (scope == "local")  # lists are joined before the draws
+
+
+def test_histories_of_large_graphs_stay_in_arrays():
+    """Half a million nodes with four positions: their members are not joined one by one."""
+    assert 4 * 540_000 <= mc.ARRAY_SCORES
