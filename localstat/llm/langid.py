@@ -30,6 +30,8 @@ UNDETERMINED = "und"
 #: the few n-grams of a short text, by ``CHANCE`` over the root of their number.
 LOW, SLACK, CHANCE = 0.05, 2.0, 6.0
 MAX_LANGUAGES = 1000  # bounds the matrix; more learned values raise an error
+#: Counting n-grams takes some 200 times a slice's bytes of text, in all tasks of an executor at once.
+SLICE = 1 << 17
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,7 +72,7 @@ def ngrams(data, offsets):
 def _count(batches):
     counts, texts = {}, {}
     for batch in batches:
-        for lo, hi, data, offsets in slices(batch.column(1)):
+        for lo, hi, data, offsets in slices(batch.column(1), limit=SLICE):
             buckets, first = ngrams(data, offsets)
             langs = np.array(batch.column(0).slice(lo, hi - lo).to_pylist())
             owner = np.repeat(langs, np.diff(first))
@@ -123,7 +125,7 @@ def _scored(docs, model, keep, *names):
     def run(batches):
         known, table, prior = shared.value
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(len(keep)), limit=1 << 19):
+            for lo, hi, data, offsets in slices(batch.column(len(keep)), limit=SLICE):
                 buckets, first = ngrams(data, offsets)
                 best, score, mean = np.full(hi - lo, len(known) - 1), np.zeros(hi - lo), np.zeros(hi - lo)
                 grams = np.diff(first)

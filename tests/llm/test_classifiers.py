@@ -24,6 +24,24 @@ def test_language_held_out_accuracy(spark, sf):
     assert len(own) > 20 and np.mean([r.lang == r.lang_pred for r in own]) >= 0.95
 
 
+def test_ngrams_of_a_batch_are_counted_in_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["na ti no " * 200 + str(i) for i in range(2000)]  # 3.6 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"] * 1000), pa.array(texts)], names=["lang", "text"])
+    tracemalloc.start()
+    (a, b) = langid._count(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+    for own, half in ((a, texts[::2]), (b, texts[1::2])):
+        ((_, _, data, offsets),) = slices(pa.array(half), limit=1 << 30)
+        seen = Counter(langid.ngrams(data, offsets)[0].tolist())
+        assert dict(zip(own["bucket"].to_pylist(), own["n"].to_pylist(), strict=True)) == {**seen, -1: 1000}
+
+
 def test_naive_bayes_equals_brute_force(spark):
     train = [("a", "Na nana no"), ("a", "nono na!"), ("b", "Titi te"), (None, "na"), ("b", None), ("b", "TE 12 ti")]
     langs, matrix, priors = langid.fit(spark.createDataFrame(train, "lang string, text string"))
