@@ -356,3 +356,26 @@ def test_positions_of_a_draw_count_as_work(spark, graph, monkeypatch, scope):
 def test_histories_of_large_graphs_stay_in_arrays():
     """Half a million nodes with four positions: their members are not joined one by one."""
     assert 4 * 540_000 <= mc.ARRAY_SCORES
+
+
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_expected_positions_of_drawn_sets_are_looked_up(spark, monkeypatch, small):
+    rows = [(b, n, float((n * 7 + b * 3) % 11) / 3) for b in (1, 2) for n in range(1, 31) if (n + b) % 9]
+    rows += [(3, 1, float("nan")), (3, 2, float("nan")), (1, None, 0.5), (None, 4, 0.5), (3, 5, None)]
+    z = scale.materialise(spark.createDataFrame(rows, "batch int, node long, z double"), "z")
+    lisa = [(b, n, (v or 0.0) * 0.4) for b, n, v in rows if n != 12] + [(1, 40, 0.1)]
+    lisa = spark.createDataFrame(lisa, "batch int, node long, lisa double")
+    sets = mc.random_sets(z.select("batch", "node"), 35, 9, seed=3)
+    odd = [(1, 2, 100, [999]), (1, 2, 101, []), (1, 2, 102, None), (2, 50, 0, [1]), (1, 3, 103, [None, 4]), (1, 40, 0, [1])]
+    odd = spark.createDataFrame(odd, "batch int, node long, draw int, members array<long>")
+    sets = scale.materialise(sets.unionByName(odd))
+    want = verify.expected_positions(z, sets, lisa).collect()
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", small)
+    monkeypatch.setattr(verify, "SETS_PER_TASK", 50)
+    found = verify.expected_positions(z, sets, lisa, drawn=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "members" in plan and "explode(members" not in plan
+    assert len(want) > 40 and sorted(found.collect()) == sorted(want)
+    again = lisa.unionByName(lisa.limit(1))  # a key that repeats, so the sets are joined
+    found = verify.expected_positions(z, sets, again, drawn=True)
+    assert sorted(found.collect()) == sorted(verify.expected_positions(z, sets, again).collect())
