@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from localstat.llm.shipping import ship
-from localstat.llm.text import kept_columns, slices
+from localstat.llm.text import kept_columns, slices, with_text
 
 BUCKETS, N = 1 << 15, 3
 SMOOTHING = 1.0
@@ -120,12 +120,13 @@ def _scored(docs, model, keep, *names):
     schema = kept_columns(docs, keep, *names)
     types = {"lang_pred": "string", "score": "double", "likelihood": "double", "grams": "bigint"}
     langs, matrix, priors = model
+    rows, at = with_text(docs, keep)
     shared = docs.sparkSession.sparkContext.broadcast((np.array([*langs, UNDETERMINED]), matrix, priors))
 
     def run(batches):
         known, table, prior = shared.value
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(len(keep)), limit=SLICE):
+            for lo, hi, data, offsets in slices(batch.column(at), limit=SLICE):
                 buckets, first = ngrams(data, offsets)
                 best, score, mean = np.full(hi - lo, len(known) - 1), np.zeros(hi - lo), np.zeros(hi - lo)
                 grams = np.diff(first)
@@ -143,7 +144,6 @@ def _scored(docs, model, keep, *names):
                 }
                 yield pa.RecordBatch.from_arrays([*kept, *[found[n] for n in names]], names=[*keep, *names])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     return rows.mapInArrow(run, ", ".join([*([schema] if keep else []), *[f"{n} {types[n]}" for n in names]]))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from localstat.llm.components import components
 from localstat.llm.shipping import ship
-from localstat.llm.text import mix, shingles, slices
+from localstat.llm.text import FINE_BYTES, mix, shingles, slices
 from localstat.plans.scale import materialise, sized
 
 COORDINATES, ROWS = 30, 4
@@ -79,7 +79,7 @@ def _sketch_batches(size):
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for lo, hi, data, offsets in slices(texts):
+            for lo, hi, data, offsets in slices(texts, limit=FINE_BYTES):
                 hashes, first = shingles(data, offsets, size)
                 n, high, low = np.zeros(hi - lo, np.int64), *np.zeros((2, hi - lo), np.uint64)
                 for i in np.flatnonzero(np.diff(first)):
@@ -140,7 +140,7 @@ def shingle_sets(docs, size, ids):
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(1)):
+            for lo, hi, data, offsets in slices(batch.column(1), limit=FINE_BYTES):
                 hashes, first = shingles(data, offsets, size)
                 sets = [np.unique(hashes[first[i] : first[i + 1]]).tobytes() for i in range(hi - lo)]
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())]

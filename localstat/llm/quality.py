@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from localstat.llm import trees
 from localstat.llm.shipping import ship
-from localstat.llm.text import kept_columns, slices, span_hashes, word_spans
+from localstat.llm.text import FINE_BYTES, kept_columns, slices, span_hashes, with_text, word_spans
 
 SAMPLE = 20_000
 PENALTY = 1e-3
@@ -75,23 +75,26 @@ def statistics(data, offsets):
     )
 
 
-def with_statistics(docs, keep=("doc_id",)):
-    """The columns ``keep`` of ``docs`` and a struct ``statistics`` of its column ``text``."""
-    ship(docs.sparkSession)
-    keep = list(keep)
-    schema = kept_columns(docs, keep, "statistics")
-    fields = ", ".join(f"{s}: double" for s in STATISTICS)
-
+def _statistics_batches(keep, at):
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(len(keep))):
+            for lo, hi, data, offsets in slices(batch.column(at), limit=FINE_BYTES):
                 found = statistics(data, offsets)
                 struct = pa.StructArray.from_arrays([pa.array(c) for c in found.T], names=STATISTICS)
                 kept = [batch.column(k).slice(lo, hi - lo) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, struct], names=[*keep, "statistics"])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"{schema}, statistics struct<{fields}>")
+    return run
+
+
+def with_statistics(docs, keep=("doc_id",)):
+    """The columns ``keep`` of ``docs`` and a struct ``statistics`` of its column ``text``."""
+    ship(docs.sparkSession)
+    keep = list(keep)
+    schema = kept_columns(docs, keep, "statistics")
+    fields = ", ".join(f"{s}: double" for s in STATISTICS)
+    rows, at = with_text(docs, keep)
+    return rows.mapInArrow(_statistics_batches(keep, at), f"{schema}, statistics struct<{fields}>")
 
 
 def _holds(rule, x):

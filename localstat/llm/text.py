@@ -1,14 +1,18 @@
 """Byte-level helpers for whole texts inside Arrow batches.
 
 A batch column is seen as one flat byte array with document offsets; work is done on
-slices of about a megabyte, so memory stays bounded whatever the number of rows in a batch
+slices of a megabyte at most, so memory stays bounded whatever the number of rows in a batch
 (a single longer document is a slice of its own). A null text counts as an empty one.
 """
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 20
+#: For work that takes 50 and more times a slice's bytes, in all tasks of an executor at once.
+FINE_BYTES = 1 << 17
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
@@ -58,7 +62,7 @@ def mix(x):
 def powers(n):
     """Powers 0..n of the hash base and of its inverse, modulo 2**64."""
     if _powers.get("n", -1) < n:
-        size = max(n + 1, SLICE_BYTES + 2)
+        size = n + 1 if n > SLICE_BYTES else (1 << max(n - 1, 0).bit_length()) + 2
         up = np.full(size, _P, np.uint64)
         down = np.full(size, _P_INV, np.uint64)
         up[0] = down[0] = 1
@@ -117,3 +121,14 @@ def kept_columns(docs, keep, *added):
     if clash := {k.lower() for k in keep} & {a.lower() for a in added}:
         raise ValueError(f"columns {sorted(clash)} are added here and cannot be carried")
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for k in keep for f in docs.schema.fields if f.name == k)
+
+
+def with_text(docs, keep):
+    """The columns ``keep`` of ``docs`` and its text as a string, and the text's place among them.
+
+    A kept text is that column itself: a batch of texts is the largest thing a task holds, on both
+    sides of the way to Python, so it is not sent twice.
+    """
+    if "text" in keep and any(f.name == "text" and f.dataType == T.StringType() for f in docs.schema.fields):
+        return docs.select(*keep), keep.index("text")
+    return docs.select(*keep, F.col("text").cast("string").alias("_text")), len(keep)

@@ -16,7 +16,7 @@ from functools import cache
 
 import numpy as np
 
-from localstat.llm.text import slices, span_hashes, word_spans
+from localstat.llm.text import FINE_BYTES, slices, span_hashes, word_spans
 
 TABLE_PIECES = 1_000_000
 LETTER, DIGIT, SIGN, RAW = 1, 2, 3, 4
@@ -207,5 +207,5 @@ def gather(values, first, counts):
 
 def encoded(column, coder):
     """Yield ``(first row, last row + 1, ids, each row's first id)`` of an Arrow text column."""
-    for lo, hi, data, offsets in slices(column):
+    for lo, hi, data, offsets in slices(column, limit=2 * FINE_BYTES):
         yield lo, hi, *coder.encode(data, offsets)

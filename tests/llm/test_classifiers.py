@@ -5,8 +5,8 @@ from zlib import crc32
 import numpy as np
 import pytest
 
-from localstat.llm import langid, quality, trees
-from localstat.llm.text import slices
+from localstat.llm import langid, minhash, quality, trees
+from localstat.llm.text import slices, with_text
 from tests.llm.conftest import documents
 
 
@@ -42,6 +42,50 @@ def test_ngrams_of_a_batch_are_counted_in_little_memory():
         assert dict(zip(own["bucket"].to_pylist(), own["n"].to_pylist(), strict=True)) == {**seen, -1: 1000}
 
 
+@pytest.mark.parametrize(
+    "run", [quality._statistics_batches(["doc_id", "text"], 1), minhash._sketch_batches(5)], ids=["statistics", "sketches"]
+)
+def test_a_batch_of_texts_takes_little_memory(run):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["na ti no " * 200 + str(i) for i in range(2000)]  # 3.6 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    rows = sum(len(out) for out in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2000 and peak < 24e6
+
+
+def test_a_kept_text_is_sent_to_python_once(spark):
+    rows = documents(spark, [(1, "Ab ab!"), (2, None), (3, ""), (4, "Na ti 9")])
+    sent, at = with_text(rows, ["doc_id", "text", "lang"])
+    assert (sent.columns, at) == (["doc_id", "text", "lang"], 1)
+    sent, at = with_text(rows, ["doc_id"])
+    assert (sent.columns, at) == (["doc_id", "_text"], 1)
+    raw = rows.withColumn("text", rows.text.cast("binary"))
+    sent, at = with_text(raw, ["text"])
+    assert (sent.dtypes, at) == ([("text", "binary"), ("_text", "string")], 1)
+
+    model = langid.fit(rows.select("lang", "text"))
+    for run in (
+        quality.with_statistics,
+        lambda docs, keep: langid.predict(docs.drop("score"), model, keep),
+    ):
+        kept, plain = run(rows, ["doc_id", "text"]), run(rows, ["doc_id"])
+        sent = kept._jdf.queryExecution().analyzed().children().head().output()
+        assert [sent.apply(i).name() for i in range(sent.size())] == ["doc_id", "text"]
+        texts = {r.doc_id: r.text for r in rows.collect()}
+        got = {r.doc_id: r for r in kept.collect()}
+        assert {i: r.text for i, r in got.items()} == texts
+        assert {i: r[2:] for i, r in got.items()} == {r.doc_id: r[1:] for r in plain.collect()}
+        assert {None if r.text is None else bytes(r.text).decode(): r[1:] for r in run(raw, ["text"]).collect()} == {
+            r.text: r[2:] for r in got.values()
+        }
+
+
 def test_naive_bayes_equals_brute_force(spark):
     train = [("a", "Na nana no"), ("a", "nono na!"), ("b", "Titi te"), (None, "na"), ("b", None), ("b", "TE 12 ti")]
     langs, matrix, priors = langid.fit(spark.createDataFrame(train, "lang string, text string"))
