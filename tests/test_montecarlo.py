@@ -1,3 +1,5 @@
+import datetime
+import hashlib
 import math
 from collections import Counter
 from itertools import combinations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from localstat.functions import rng
 from localstat.operators import montecarlo as mc
 from localstat.operators import stats, temporal, verify
-from localstat.plans import scale
+from localstat.plans import registered, scale
 
 
 def keys_frame(spark, batches, n):
@@ -110,6 +112,81 @@ def test_picks_are_distinct_and_even(spark, n, total):
     assert total == 1 or 0.35 < np.mean(first) < 0.65
 
 
+def redrawn(key, node, n, r, seed):
+    """The generator's loop: draw a size and that many other nodes until there are r different sets."""
+    digest = hashlib.md5(f"{seed}:{key}".encode()).hexdigest()
+    a, b = int(digest[:8], 16) % rng.PRIME, int(digest[8:16], 16) % (rng.PRIME - 1) + 1
+    found, tries = [], 0
+    while len(found) < r:
+        x, u = (a + tries * b) % rng.PRIME, []
+        for step in rng.STEPS:
+            x = pow(x + step, 5, rng.PRIME)
+            u.append(x)
+        size, chosen = u[0] * 4 // rng.PRIME + 1, []
+        for i in range(size):
+            last = n - 1 - size + i
+            pick = u[i + 1] * (last + 1) // rng.PRIME
+            chosen.append(last if pick in chosen else pick)
+        members = tuple(sorted(c + 1 + (c + 1 >= node) for c in chosen))
+        found += [] if members in found else [members]
+        tries += 1
+    return found
+
+
+@pytest.mark.parametrize("n, r", [(16, 200), (16, 1930), (60, 19), (2000, 50)])
+def test_independent_sets_follow_the_loop(spark, monkeypatch, n, r):
+    """All nodes and sizes are drawn from, however the sets before turned out; repeats are drawn anew."""
+    monkeypatch.setattr(mc, "UNIVERSE", 20)
+    keys = keys_frame(spark, 2, 10)
+    got = sets_by_key(mc.random_sets(keys, n, r, seed=1, independent=True))
+    assert got == {(b, i): dict(enumerate(redrawn(f"{b}:{i}", i, n, r, 1))) for b in range(2) for i in range(1, 11)}
+
+
+def test_independent_sets_of_small_graphs_and_odd_keys(spark):
+    for (_, node), sets in sets_by_key(mc.random_sets(keys_frame(spark, 1, 6), 6, 500, 1, independent=True)).items():
+        others = [n for n in range(1, 7) if n != node]
+        assert set(sets.values()) == {c for size in range(1, 5) for c in combinations(others, size)} and len(sets) == 30
+    assert {len(s) for s in sets_by_key(mc.random_sets(keys_frame(spark, 1, 6), 6, 7, 1, independent=True)).values()} == {7}
+    for sets in sets_by_key(mc.random_sets(keys_frame(spark, 1, 3), 16, 1941, 1, independent=True)).values():
+        assert len(set(sets.values())) == len(sets) == 1940
+    assert mc.random_sets(keys_frame(spark, 1, 1), 1, 5, 1, independent=True).collect() == []
+    odd = obs_frame(spark, [(0, 1, 0.0), (0, 1, 1.0), (0, None, 0.0), (None, 2, 0.0)])
+    for n in (3, 16):
+        sets = mc.random_sets(odd, n, 3, 1, independent=True)
+        assert sets.columns == ["batch", "node", "value", "draw", "members"]
+        assert Counter((r.batch, r.node, r.value) for r in sets.collect()) == {tuple(r): 3 for r in odd.collect()}
+
+
+def test_too_few_tries_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mc, "draws_needed", lambda choices, r: r)
+    with pytest.raises(Exception, match="too few distinct sets"):
+        mc.random_sets(keys_frame(spark, 1, 16), 16, 100, 1, independent=True).select("members").collect()
+
+
+@pytest.mark.parametrize("choices, r", [(15, 100), (15, 1940), (149, 99), (1499, 1000), (10**8, 1000)])
+def test_number_of_draws_bounds_the_risk(choices, r):
+    draws = rng.draws_needed(choices, r)
+    assert r <= draws
+    if r < 1500:
+        assert draws < 1.3 * r + 150 or choices == 15
+
+
+def test_stored_sets_are_drawn_independently(spark, tmp_path):
+    """The sets written as text are those of the loop, their sizes not dealt in turn."""
+    days = [datetime.datetime(2024, 1, 1 + i) for i in range(3)]
+    rows = [(i, days[i % 3], i % 40, "click", float(i % 7), "{}") for i in range(240)]
+    events = spark.createDataFrame(rows, "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {}
+    for r in registered.tuple_sets(spark, str(tmp_path)).collect():
+        got.setdefault((str(r.batch), r.node), []).append(tuple(map(int, r.members.split(","))))
+    assert got.keys() == {(str(d.date()), n) for d in days for n in range(1, 41)}
+    for (day, node), sets in got.items():
+        assert sorted(sets) == sorted(redrawn(f"{day}:{node}", node, 40, registered.R_TEMPORAL, registered.SEED))
+    alone = Counter(sum(len(s) == 1 for s in sets) for sets in got.values())
+    assert min(alone) < 4 and max(alone) > 5
+
+
 def test_nodes_must_be_numbered(spark):
     assert mc.node_count(spark.range(1, 9).withColumnRenamed("id", "node")) == 8
     with pytest.raises(ValueError):
